@@ -59,7 +59,7 @@ SELECT transaction_id,
                           '/', CAST(year(date) AS STRING))
             ELSE concat(CAST(year(date) AS STRING), '/', lpad(CAST(month(date) AS STRING), 2, '0'), '/',
                         lpad(CAST(day(date) AS STRING), 2, '0')) END AS date,
-       CASE WHEN transaction_id % 19 = 4 THEN concat('  ', description, ' ') ELSE description END AS description,
+       CASE WHEN transaction_id % 19 = 4 AND description IS NOT NULL THEN concat('  ', description, ' ') ELSE description END AS description,
        CASE WHEN transaction_id % 53 = 0 THEN 'n/a' ELSE CAST(amount AS STRING) END AS amount,
        day_of_week,
        CASE WHEN transaction_id % 101 = 7 THEN 'Crypto' WHEN transaction_id % 103 = 9 THEN NULL
