@@ -39,22 +39,40 @@ def with_class_codes(df: DataFrame, target: str = K.TARGET, out: str = "category
     return df.withColumn(out, code_of(F.col(target), class_labels(df, target)))
 
 
-def encode_categoricals(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Replace text columns by the rank of the label in sorted order; null counts as "unknown".
+def label_text(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit("unknown"))
+
+
+def fit_label_codes(df: DataFrame, columns: list[str] | None = None) -> dict[str, DataFrame]:
+    """Per column a written table ``(label, code, n)``: the rank of the label in sorted order.
 
-    Labels may be as many as there are merchants, so they are ranked by a distributed sort and looked up.
+    Null counts as "unknown".  Labels may be as many as there are merchants, so they are ranked by a
+    distributed sort, never on the driver.
     """
-    rows = df
+    tables = {}
     for column in columns or [c for c in K.CATEGORICAL_FEATURES if c in df.columns]:
-        label = F.coalesce(F.col(column).cast("string"), F.lit("unknown"))
-        rows = rows.withColumn(column, label)
-        sizes = rows.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-        ranked = lookup(sizes, materialize(with_label_rank(rows, column, "__code"), "codes"), [column], ["__code"])
-        joined = lookup(rows, materialize(ranked, "codes"), [column], ["__code"], spread_by=K.ID, weight="n")
-        rows = joined.withColumn(column, F.col("__code").cast("double")).drop("__code")
+        labels = df.groupBy(label_text(column).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+        sizes = materialize(labels, "labels")
+        ranked = with_label_rank(sizes, "label", "code")
+        tables[column] = materialize(ranked.join(sizes, "label"), "codes")
+    return tables
+
+
+def apply_label_codes(df: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """Replace labels by their codes; labels unknown to the tables become -1."""
+    rows = df
+    for column, table in tables.items():
+        rows = rows.withColumn(column, label_text(column))
+        renamed = table.select(F.col("label").alias(column), "code", "n")
+        rows = lookup(rows, renamed, [column], ["code"], spread_by=K.ID, weight="n")
+        rows = rows.withColumn(column, F.coalesce(F.col("code"), F.lit(-1)).cast("double")).drop("code")
     return rows
 
 
+def encode_categoricals(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    return apply_label_codes(df, fit_label_codes(df, columns))
+
+
 @dataclass
 class EncodingStats:
     """Merchant means of the class code, as a written table ``(store_name, mean, n)``, and the overall mean."""
