@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerspark import constants as K
 from ledgerspark.functions.merchants import with_merchant
 from ledgerspark.operators.ordering import with_label_rank
-from ledgerspark.storage import lookup, materialize
+from ledgerspark.storage import broadcast_limit, lookup, materialize
 
 MAX_CLASSES = 1_000
 
@@ -43,34 +43,39 @@ def label_text(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit("unknown"))
 
 
-def fit_label_codes(df: DataFrame, columns: list[str] | None = None) -> dict[str, DataFrame]:
-    """Per column a written table ``(label, code, n)``: the rank of the label in sorted order.
+def fit_label_codes(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Written table ``(column_name, label, code, n)``: per column the rank of the label in sorted order.
 
-    Null counts as "unknown".  Labels may be as many as there are merchants, so they are ranked by a
-    distributed sort, never on the driver.
+    Null counts as "unknown".  All columns are counted in one pass.  Labels may be as many as there are
+    merchants; beyond the broadcast bound they are ranked by a distributed sort.
     """
-    tables = {}
-    for column in columns or [c for c in K.CATEGORICAL_FEATURES if c in df.columns]:
-        labels = df.groupBy(label_text(column).alias("label")).agg(F.count(F.lit(1)).alias("n"))
-        sizes = materialize(labels, "labels")
-        ranked = with_label_rank(sizes, "label", "code")
-        tables[column] = materialize(ranked.join(sizes, "label"), "codes")
-    return tables
-
-
-def apply_label_codes(df: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
-    """Replace labels by their codes; labels unknown to the tables become -1."""
+    columns = columns or [c for c in K.CATEGORICAL_FEATURES if c in df.columns]
+    entries = [F.struct(F.lit(c).alias("column_name"), label_text(c).alias("label")) for c in columns]
+    counted = df.select(F.inline(F.array(*entries))).groupBy("column_name", "label").agg(F.count(F.lit(1)).alias("n"))
+    sizes = materialize(counted, "labels")
+    if sizes.count() <= broadcast_limit(df.sparkSession):
+        rank = F.row_number().over(Window.partitionBy("column_name").orderBy("label")) - 1
+        return materialize(sizes.withColumn("code", rank.cast("long")), "codes")
+    ranked = with_label_rank(sizes, ["column_name", "label"], "rank")
+    first = ranked.groupBy("column_name").agg(F.min("rank").alias("first"))
+    placed = ranked.join(F.broadcast(first), "column_name").withColumn("code", F.col("rank") - F.col("first"))
+    codes = placed.select("column_name", "label", "code")
+    return materialize(codes.join(sizes, ["column_name", "label"]), "codes")
+
+
+def apply_label_codes(df: DataFrame, codes: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Replace labels by their codes; labels unknown to the table become -1."""
     rows = df
-    for column, table in tables.items():
+    for column in columns or [c for c in K.CATEGORICAL_FEATURES if c in df.columns]:
         rows = rows.withColumn(column, label_text(column))
-        renamed = table.select(F.col("label").alias(column), "code", "n")
-        rows = lookup(rows, renamed, [column], ["code"], spread_by=K.ID, weight="n")
+        table = codes.where(F.col("column_name") == column).select(F.col("label").alias(column), "code", "n")
+        rows = lookup(rows, table, [column], ["code"], spread_by=K.ID, weight="n")
         rows = rows.withColumn(column, F.coalesce(F.col("code"), F.lit(-1)).cast("double")).drop("code")
     return rows
 
 
 def encode_categoricals(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    return apply_label_codes(df, fit_label_codes(df, columns))
+    return apply_label_codes(df, fit_label_codes(df, columns), columns)
 
 
 @dataclass

@@ -128,25 +128,24 @@ def values_at_ranks(
     return {rank: found[spot] for rank, spot in wanted.items()}
 
 
-def with_label_rank(df: DataFrame, column: str, label: str = "rank") -> DataFrame:
-    """Distinct non-null values of ``column`` with their 0-based rank in sorted order.
+def with_label_rank(df: DataFrame, columns: list[str], out: str = "rank") -> DataFrame:
+    """Distinct values of ``columns`` with their 0-based rank in sorted order.
 
     Works for text of any cardinality: the distinct values are range-sorted and written once with their
     partition and their position in it; offsets per partition turn these into ranks.
     """
     ordered = (
-        df.where(F.col(column).isNotNull())
-        .select(column)
+        df.select(*columns)
         .distinct()
-        .orderBy(column)
-        .select(column, F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().alias("__at"))
+        .orderBy(*columns)
+        .select(*columns, F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().alias("__at"))
     )
-    written = materialize(ordered, "labels")
+    written = materialize(ordered, "ranks")
     parts = written.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__min"))
     before = Window.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = materialize(
         parts.select("__part", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__min")).alias("__shift")),
-        "labels",
+        "ranks",
     )
     ranked = lookup(written, offsets, ["__part"], ["__shift"])
-    return ranked.select(column, (F.col("__at") + F.col("__shift")).alias(label))
+    return ranked.select(*columns, (F.col("__at") + F.col("__shift")).alias(out))

@@ -11,10 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.mllib.linalg import Vectors
-from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.storagelevel import StorageLevel
 
 from ledgerspark import constants as K
 from ledgerspark.functions import text
@@ -109,7 +106,7 @@ def tfidf_long(vectors: DataFrame, id_column: str = K.ID) -> DataFrame:
 def text_vectors(
     df: DataFrame, vocabularies: dict[str, DataFrame], id_column: str = K.ID, column: str = "description"
 ) -> tuple[DataFrame, int]:
-    """``(id, indices, weights)`` over all vocabularies side by side, and the total number of terms."""
+    """Written table ``(id, indices, weights)`` over all vocabularies side by side, and the number of terms."""
 
     def shifted(by: int) -> Column:
         return F.transform("terms", lambda e: e["index"] + by)
@@ -124,28 +121,55 @@ def text_vectors(
         parts = part if parts is None else parts.join(part, id_column, "full")
         offset += vocabulary.count()
     empty_i, empty_w = F.array().cast("array<int>"), F.array().cast("array<double>")
-    return (
-        parts.select(
-            id_column,
-            F.concat(*[F.coalesce(f"i_{k}", empty_i) for k in vocabularies]).alias("indices"),
-            F.concat(*[F.coalesce(f"w_{k}", empty_w) for k in vocabularies]).alias("weights"),
-        ),
-        offset,
+    joined = parts.select(
+        id_column,
+        F.concat(*[F.coalesce(f"i_{k}", empty_i) for k in vocabularies]).alias("indices"),
+        F.concat(*[F.coalesce(f"w_{k}", empty_w) for k in vocabularies]).alias("weights"),
     )
+    return materialize(joined, "vectors"), offset
 
 
-def fit_svd(vectors: DataFrame, n_terms: int, k: int) -> np.ndarray:
-    """Right singular vectors (terms × k) of the uncentred matrix, by distributed Lanczos iterations.
+def _partial_sums(vectors: DataFrame, basis: np.ndarray, gram: bool) -> np.ndarray:
+    """Sum over all texts of ``a (a·Q)`` (terms × l), or of ``(a·Q)(a·Q)`` (l × l) if ``gram``.
 
-    Their size is bounded by the vocabularies and ``k``, never by the number of texts.
+    Every task adds up its texts and hands on one matrix; the matrices are added in a tree.
+    """
+    shared = vectors.sparkSession.sparkContext.broadcast(basis)
+    shape = (basis.shape[1] if gram else basis.shape[0], basis.shape[1])
+
+    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        q, total = shared.value, np.zeros(shape)
+        for batch in batches:
+            for indices, weights in zip(batch["indices"], batch["weights"]):
+                image = weights @ q[indices]
+                if gram:
+                    total += np.outer(image, image)
+                else:
+                    total[indices] += np.outer(weights, image)
+        yield pd.DataFrame({"total": [total.tobytes()]})
+
+    parts = vectors.select("indices", "weights").mapInPandas(add_up, "total binary").rdd
+    summed = parts.map(lambda r: np.frombuffer(r[0]).reshape(shape)).treeReduce(np.add)
+    shared.unpersist()
+    return summed
+
+
+def fit_svd(
+    vectors: DataFrame, n_terms: int, k: int, iterations: int = 5, oversample: int = 10, seed: int = K.SEED
+) -> np.ndarray:
+    """Right singular vectors (terms × k) of the uncentred matrix, by randomized subspace iteration.
+
+    ``iterations`` + 2 passes over the written ``vectors``, whatever their number.  What the driver holds is
+    bounded by the vocabularies and ``k``.
     """
-    rows = vectors.select("indices", "weights").rdd.map(lambda r: Vectors.sparse(n_terms, r[0], r[1]))
-    rows.persist(StorageLevel.MEMORY_AND_DISK)
-    svd = RowMatrix(rows).computeSVD(min(k, n_terms - 1))
-    rows.unpersist()
-    basis = svd.V.toArray()
-    signs = np.sign(basis[np.abs(basis).argmax(axis=0), np.arange(basis.shape[1])])
-    return basis * np.where(signs == 0, 1.0, signs)
+    width = min(k + oversample, n_terms)
+    basis, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((n_terms, width)))
+    for _ in range(iterations + 1):
+        basis, _ = np.linalg.qr(_partial_sums(vectors, basis, gram=False))
+    values, rotation = np.linalg.eigh(_partial_sums(vectors, basis, gram=True))
+    components = basis @ rotation[:, np.argsort(values)[::-1][: min(k, width)]]
+    largest = components[np.abs(components).argmax(axis=0), np.arange(components.shape[1])]
+    return components * np.where(largest < 0, -1.0, 1.0)
 
 
 def project(vectors: DataFrame, basis: np.ndarray, id_column: str = K.ID, out: str = "text_svd") -> DataFrame:
