@@ -206,7 +206,8 @@ def _text_stats_documents(spark, sf_dir):
 
 @query("amount_percentile", feature_sql("amount_percentile"))
 def _amount_percentile(spark, sf_dir):
-    return ft.with_amount_percentile(txn(spark, sf_dir)).select(K.ID, "amount_percentile")
+    rows = txn(spark, sf_dir)
+    return ft.amount_percentile(rows)(rows).select(K.ID, "amount_percentile")
 
 
 @query("id_gap", feature_sql("time_since_last_transaction", "transaction_gap"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ledgerspark import constants as K
 from ledgerspark.functions.merchants import with_merchant
 from ledgerspark.operators.ordering import with_label_rank
-from ledgerspark.storage import broadcast_limit, lookup, materialize
+from ledgerspark.storage import Sized, broadcast_limit, lookup, materialize, sized
 
 MAX_CLASSES = 1_000
 
@@ -125,33 +125,24 @@ def apply_target_encoding(df: DataFrame, stats: EncodingStats | None, out: str =
 
 def out_of_fold_table(
     parts: DataFrame, smoothing: float = K.TARGET_ENCODING_SMOOTHING, out: str = "store_name_target_enc"
-) -> DataFrame:
-    """Encoding per ``(store_name, __fold)`` from partial sums ``(n, n_ids, code_sum, known, known_sum)``.
+) -> Sized:
+    """Encoding per ``(store_name, __fold)`` from written partial sums (see ``fold_parts``).
 
     A fold's value uses every other fold: the merchant's totals minus the fold's own part.  The table also
     holds the merchant's frequency, so one lookup serves both.
     """
-    cells = materialize(
-        parts.groupBy("store_name", "__fold").agg(
-            *[F.sum(c).alias(c) for c in ("n", "n_ids", "code_sum", "known", "known_sum")]
-        ),
-        "cells",
-    )
-    rows, known, known_sum = cells.agg(F.sum("n"), F.sum("known"), F.sum("known_sum")).first()
+    rows, known, known_sum = parts.agg(F.sum("n"), F.sum("known"), F.sum("known_sum")).first()
     mean = F.lit(known_sum / known if known else 0.0)
-    stores = cells.groupBy("store_name").agg(
+    cells = parts.groupBy("store_name", "__fold").agg(*[F.sum(c).alias(c) for c in ("n", "code_sum")])
+    stores = parts.groupBy("store_name").agg(
         F.sum("n").alias("all_n"), F.sum("code_sum").alias("all_sum"), F.sum("n_ids").alias("store_frequency")
     )
     others = F.col("all_n") - F.col("n")
     encoded = (F.col("all_sum") - F.col("code_sum") + F.lit(smoothing) * mean) / (others + F.lit(smoothing))
     if (rows or 0) < 2:
         encoded = mean
-    return materialize(
-        cells.join(stores, "store_name").select(
-            "store_name", "__fold", "n", "store_frequency", encoded.alias(out)
-        ),
-        "encoding",
-    )
+    table = cells.join(stores, "store_name").select("store_name", "__fold", "n", "store_frequency", encoded.alias(out))
+    return sized(materialize(table, "encoding"), "n")
 
 
 def fold_parts(rows: DataFrame, extra: list[str] | None = None) -> DataFrame:
@@ -177,6 +168,6 @@ def target_encode_out_of_fold(
     """Add the smoothed out-of-fold merchant encoding in one pass instead of one per fold."""
     assigned = default_fold(folds) if fold is None else fold
     rows = coded_stores(df, target).withColumn("__fold", assigned)
-    table = out_of_fold_table(fold_parts(rows), smoothing, out)
+    table = out_of_fold_table(materialize(fold_parts(rows), "parts"), smoothing, out)
     joined = lookup(rows, table, ["store_name", "__fold"], [out], spread_by=K.ID, weight="n")
     return joined.drop("__code", "__fold")

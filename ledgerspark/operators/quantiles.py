@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerspark.operators.ordering import RANGE, ROWS_PER_RANGE, range_offsets, with_ranges
-from ledgerspark.storage import lookup, materialize
+from ledgerspark.storage import Sized, lookup, materialize, sized
 
 
 def value_counts(df: DataFrame, value: Column, by: dict[str, Column] | None = None) -> DataFrame:
@@ -65,16 +65,21 @@ def scalar_quantiles(df: DataFrame, value: Column, shares: dict[str, float]) ->
     return {name: (None if row is None or row[name] is None or math.isnan(row[name]) else row[name]) for name in shares}
 
 
-def with_average_rank_share(
-    df: DataFrame, value: Column, group: Column, out: str, id_column: str, rows_per_range: int = ROWS_PER_RANGE
-) -> DataFrame:
-    """Add the average-tie rank of ``value`` in its group divided by the group's non-null values.
+def average_rank_shares(
+    df: DataFrame, value: Column, group: Column, out: str, rows_per_range: int = ROWS_PER_RANGE
+) -> Sized:
+    """Per group and value: the average-tie rank divided by the group's non-null values, as ``out``.
 
-    Neither ``percent_rank`` nor ``cume_dist``; null values get null, a null group is a group.
+    Neither ``percent_rank`` nor ``cume_dist``; a null group is a group.
     """
-    keyed = df.withColumns({"__group": group, "__value": value})
-    counts = value_counts(keyed, F.col("__value"), {"__group": F.col("__group")})
-    placed = running_counts(counts, ["__group"], rows_per_range)
+    placed = running_counts(value_counts(df, value, {"__group": group}), ["__group"], rows_per_range)
     share = (F.col("below") + (F.col("n") + 1) / 2) / F.col("total")
-    table = materialize(placed.select("__group", F.col("value").alias("__value"), "n", share.alias(out)), "shares")
-    return lookup(keyed, table, ["__group", "__value"], [out], spread_by=id_column, weight="n").drop("__group", "__value")
+    table = placed.select("__group", F.col("value").alias("__value"), "n", share.alias(out))
+    return sized(materialize(table, "shares"), "n")
+
+
+def with_rank_share(df: DataFrame, shares: Sized, value: Column, group: Column, out: str, id_column: str) -> DataFrame:
+    """Look the shares up; a null value gets null."""
+    keyed = df.withColumns({"__group": group, "__value": value})
+    found = lookup(keyed, shares, ["__group", "__value"], [out], spread_by=id_column, weight="n")
+    return found.drop("__group", "__value")

@@ -1,7 +1,15 @@
-"""The feature table: one row per transaction, inputs first, then every engineered column."""
+"""The feature table: one row per transaction, inputs first, then every engineered column.
+
+Columns that depend on other rows come in two steps.  First their statistics are computed from the input
+table and written; these jobs are independent and run at the same time.  Then the statistics are looked up,
+all in one plan, whose only shuffle of whole rows is the one that establishes the id order.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerspark import constants as K
@@ -9,10 +17,12 @@ from ledgerspark.functions import amounts, dates, text
 from ledgerspark.functions.merchants import with_merchant
 from ledgerspark.operators import encoding
 from ledgerspark.operators.ordering import with_gap, with_ranges, with_row_number
-from ledgerspark.operators.quantiles import with_average_rank_share
+from ledgerspark.operators.quantiles import average_rank_shares, with_rank_share
 from ledgerspark.operators.quality import require_columns
-from ledgerspark.operators.recurrence import join_recurring
-from ledgerspark.storage import lookup, materialize
+from ledgerspark.operators.recurrence import join_recurring, repeated_pairs
+from ledgerspark.storage import lookup, materialize, sized
+
+Step = Callable[[DataFrame], DataFrame]
 
 
 def with_sequence_columns(df: DataFrame, rows: int | None = None) -> DataFrame:
@@ -30,52 +40,57 @@ def with_sequence_columns(df: DataFrame, rows: int | None = None) -> DataFrame:
     )
 
 
-def with_amount_percentile(df: DataFrame) -> DataFrame:
-    """Add the rank of the amount among all amounts of its calendar month."""
-    month = dates.month_key(dates.timestamp(df))
-    return with_average_rank_share(df, amounts.number(), month, "amount_percentile", K.ID)
+def amount_percentile(df: DataFrame) -> Step:
+    """Prepare the rank of the amount among all amounts of its calendar month."""
+    out, value, month = "amount_percentile", amounts.number(), dates.month_key(dates.timestamp(df))
+    shares = average_rank_shares(df, value, month, out)
+    return lambda rows: with_rank_share(rows, shares, value, month, out, K.ID)
 
 
-def with_store_columns(
+def store_columns(
     df: DataFrame,
     target: str = K.TARGET,
     stats: encoding.EncodingStats | None = None,
     fold: Column | None = None,
     fit_on: DataFrame | None = None,
-) -> DataFrame:
-    """Add merchant, frequency, recurrence and target encoding.
+) -> Step:
+    """Prepare merchant, frequency, recurrence and target encoding.
 
-    One aggregate over (merchant, amount, fold) feeds all three; ``fit_on`` restricts what the frequency and
-    recurrence counts see to a training subset.
+    One aggregate over (merchant, amount, fold) feeds all three; ``fit_on`` restricts what it sees to a
+    training subset.
     """
-    pair = amounts.pair_amount(amounts.number())
     encode = target in df.columns
-    labels = encoding.class_labels(df, target) if encode else []
+    seen = df if fit_on is None else fit_on
+    labels = encoding.class_labels(seen, target) if encode else []
     assigned = (encoding.default_fold() if fold is None else fold) if encode else F.lit(0)
-
-    def prepared(source: DataFrame) -> DataFrame:
-        code = encoding.code_of(F.col(target), labels).cast("double") if encode else F.lit(0.0)
-        return with_merchant(source).withColumns({"__pair_amount": pair, "__fold": assigned, "__code": code})
-
-    rows = prepared(df)
-    seen = rows if fit_on is None else prepared(fit_on)
-    parts = materialize(encoding.fold_parts(seen, ["__pair_amount"]), "parts")
-    table = encoding.out_of_fold_table(parts)
-    values = ["store_frequency", "store_name_target_enc"]
+    code = encoding.code_of(F.col(target), labels).cast("double") if encode else F.lit(0.0)
+    keyed = with_merchant(seen).select(
+        K.ID,
+        "store_name",
+        amounts.pair_amount(amounts.number()).alias("__pair_amount"),
+        assigned.alias("__fold"),
+        code.alias("__code"),
+    )
+    parts = materialize(encoding.fold_parts(keyed, ["__pair_amount"]), "parts")
+    repeated = repeated_pairs(parts.groupBy("store_name", "__pair_amount").agg(F.sum("n").alias("n")))
     if encode and fit_on is None:
-        rows = lookup(rows, table, ["store_name", "__fold"], values, spread_by=K.ID, weight="n")
+        table, keys = encoding.out_of_fold_table(parts), ["store_name", "__fold"]
+        values = ["store_frequency", "store_name_target_enc"]
     else:
-        stores = table.groupBy("store_name").agg(
-            F.max("store_frequency").alias("store_frequency"), F.sum("n").alias("n")
-        )
-        stores = materialize(stores, "stores")
-        rows = lookup(rows, stores, ["store_name"], values[:1], spread_by=K.ID, weight="n")
+        totals = parts.groupBy("store_name").agg(F.sum("n_ids").alias("store_frequency"), F.sum("n").alias("n"))
+        table, keys, values = sized(materialize(totals, "stores"), "n"), ["store_name"], ["store_frequency"]
         if encode:
             stats = encoding.fit_target_encoding(fit_on, target)
-        rows = encoding.apply_target_encoding(rows, stats)
-    repeated = parts.groupBy("store_name", "__pair_amount").agg(F.sum("n").alias("n")).where("n > 1")
-    rows = join_recurring(rows, materialize(repeated, "pairs"))
-    return rows.withColumn("store_frequency", F.coalesce("store_frequency", F.lit(0))).drop("__fold", "__code")
+
+    def attach(rows: DataFrame) -> DataFrame:
+        named = with_merchant(rows).withColumn("__fold", assigned)
+        named = lookup(named, table, keys, values, spread_by=K.ID, weight="n").drop("__fold")
+        if len(values) == 1:
+            named = encoding.apply_target_encoding(named, stats)
+        named = join_recurring(named, repeated)
+        return named.withColumn("store_frequency", F.coalesce("store_frequency", F.lit(0)))
+
+    return attach
 
 
 def stateless_columns(
@@ -115,7 +130,9 @@ def feature_table(
     without it, fitted ``stats`` are looked up.
     """
     require_columns(df, K.REQUIRED_COLUMNS)
-    rows = with_sequence_columns(df)
-    rows = with_store_columns(rows, target, stats, fold, fit_on)
-    rows = with_amount_percentile(rows)
+    with ThreadPoolExecutor(max_workers=3) as pool:
+        sequence = pool.submit(with_sequence_columns, df)
+        stores = pool.submit(store_columns, df, target, stats, fold, fit_on)
+        percentile = pool.submit(amount_percentile, df)
+        rows = percentile.result()(stores.result()(sequence.result()))
     return rows.withColumns(stateless_columns(df, extended, literal_case))

@@ -13,6 +13,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
+from operator import and_
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -53,53 +56,61 @@ def spread(column: str, salts: int = SALTS) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(salts)).cast("int")
 
 
+class Sized(NamedTuple):
+    """A written table with its counted rows and the rows of the fact table that its keys stand for."""
+
+    table: DataFrame
+    rows: int
+    weight: int | None
+
+
+def sized(table: DataFrame, weight: str | None = None) -> Sized:
+    if weight is None:
+        return Sized(table, table.count(), None)
+    rows, total = table.agg(F.count(F.lit(1)), F.sum(weight)).first()
+    return Sized(table, rows, total)
+
+
 def lookup(
     rows: DataFrame,
-    table: DataFrame,
+    table: DataFrame | Sized,
     keys: list[str],
     values: list[str],
     spread_by: str | None = None,
     weight: str | None = None,
 ) -> DataFrame:
-    """Left join ``values`` of a materialized ``table`` with unique, possibly null ``keys`` onto ``rows``.
+    """Left join ``values`` of a written ``table`` with unique, possibly null ``keys`` onto ``rows``.
 
     ``weight`` names the column of ``table`` that says how many rows carry the key; with it and a
     ``spread_by`` column of ``rows``, hot keys are split off when the table is too large to broadcast.
     Without them the caller vouches that no key can be hot.
     """
+    known = table if isinstance(table, Sized) else sized(table, weight)
     names = {k: f"__key_{i}" for i, k in enumerate(keys)}
     keep = values + ([weight] if weight and weight not in values else [])
-    side = table.select(*[F.col(k).alias(n) for k, n in names.items()], *keep)
-    on = None
-    for k, n in names.items():
-        term = rows[k].eqNullSafe(F.col(n))
-        on = term if on is None else on & term
+    side = known.table.select(*[F.col(k).alias(n) for k, n in names.items()], *keep)
     columns = rows.columns
 
+    def matches(left: DataFrame, suffix: str = "") -> Column:
+        return reduce(and_, [left[k].eqNullSafe(F.col(n + suffix)) for k, n in names.items()])
+
+    if known.rows <= broadcast_limit(rows.sparkSession):
+        return rows.join(F.broadcast(side), matches(rows), "left").select(*columns, *values)
     if weight is None or spread_by is None:
-        total = table.count()
-    else:
-        total, weights = table.agg(F.count(F.lit(1)), F.sum(weight)).first()
-    if total <= broadcast_limit(rows.sparkSession):
-        return rows.join(F.broadcast(side), on, "left").select(*columns, *values)
-    if weight is None or spread_by is None:
-        return rows.join(side, on, "left").select(*columns, *values)
+        return rows.join(side, matches(rows), "left").select(*columns, *values)
 
     # At most HOT_KEYS keys can each own more than 1/HOT_KEYS of all rows.
-    is_hot = F.col(weight) * F.lit(HOT_KEYS) > F.lit(weights)
+    is_hot = F.col(weight) * F.lit(HOT_KEYS) > F.lit(known.weight)
     hot = side.where(is_hot).select(
         *names.values(), *[F.col(v).alias(f"__hot_{v}") for v in values], F.lit(True).alias("__hot")
     )
     cold = side.where(~is_hot).select(
         *[F.col(n).alias(f"{n}_cold") for n in names.values()], *values, F.lit(0).alias("__salt_cold")
     )
-    tagged = rows.join(F.broadcast(hot), on, "left").withColumn(
+    tagged = rows.join(F.broadcast(hot), matches(rows), "left").withColumn(
         "__salt", F.when(F.col("__hot"), F.lit(1) + spread(spread_by)).otherwise(F.lit(0))
     )
-    cold_on = F.col("__salt") == F.col("__salt_cold")
-    for k, n in names.items():
-        cold_on = cold_on & tagged[k].eqNullSafe(F.col(f"{n}_cold"))
-    joined = tagged.join(cold, cold_on, "left")
+    joined = tagged.join(cold, (F.col("__salt") == F.col("__salt_cold")) & matches(tagged, "_cold"), "left")
     return joined.select(
         *[tagged[c] for c in columns],
         *[F.when(F.col("__hot"), F.col(f"__hot_{v}")).otherwise(F.col(v)).alias(v) for v in values],
