@@ -79,7 +79,7 @@ def any_time_of_day(df: DataFrame, date: Column) -> bool:
 
 
 def weekday_name(date: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(d) for d in K.WEEKDAYS]), F.weekday(date) + 1)
+    return F.get(F.array(*[F.lit(d) for d in K.WEEKDAYS]), F.weekday(date))
 
 
 def with_day_of_week(df: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ def code_of(column: Column, labels: list[str]) -> Column:
 
 
 def label_at(index: Column, labels: list[str]) -> Column:
-    return F.element_at(F.array(*[F.lit(x) for x in labels]), (index + 1).cast("int"))
+    return F.get(F.array(*[F.lit(x) for x in labels]), index.cast("int"))
 
 
 def with_class_codes(df: DataFrame, target: str = K.TARGET, out: str = "category_code") -> DataFrame:
