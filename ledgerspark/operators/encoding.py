@@ -63,14 +63,17 @@ def fit_label_codes(df: DataFrame, columns: list[str] | None = None) -> DataFram
     return materialize(codes.join(sizes, ["column_name", "label"]), "codes")
 
 
-def apply_label_codes(df: DataFrame, codes: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Replace labels by their codes; labels unknown to the table become -1."""
+def apply_label_codes(
+    df: DataFrame, codes: DataFrame, columns: list[str] | None = None, prefix: str = ""
+) -> DataFrame:
+    """Codes of the labels, in columns named with ``prefix`` or in place; -1 for labels not in the table."""
     rows = df
     for column in columns or [c for c in K.CATEGORICAL_FEATURES if c in df.columns]:
-        rows = rows.withColumn(column, label_text(column))
-        table = codes.where(F.col("column_name") == column).select(F.col("label").alias(column), "code", "n")
-        rows = lookup(rows, table, [column], ["code"], spread_by=K.ID, weight="n")
-        rows = rows.withColumn(column, F.coalesce(F.col("code"), F.lit(-1)).cast("double")).drop("code")
+        rows = rows.withColumn("__label", label_text(column))
+        table = codes.where(F.col("column_name") == column).select(F.col("label").alias("__label"), "code", "n")
+        rows = lookup(rows, table, ["__label"], ["code"], spread_by=K.ID, weight="n")
+        rows = rows.withColumn(prefix + column, F.coalesce(F.col("code"), F.lit(-1)).cast("double"))
+        rows = rows.drop("code", "__label")
     return rows
 
 

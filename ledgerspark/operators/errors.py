@@ -89,7 +89,7 @@ def misclassified_profile(df: DataFrame) -> DataFrame:
     frequency = F.when(F.col("store_frequency") == 1, "single").when(F.col("store_frequency") > 1, "repeat")
     facets = F.array(
         F.struct(F.lit("amount").alias("facet"), bucket.alias("value")),
-        F.struct(F.lit("day_of_week").alias("facet"), F.col("day_of_week").alias("value")),
+        F.struct(F.lit("day_of_week").alias("facet"), F.col("day_of_week").cast("string").alias("value")),
         F.struct(F.lit("store_frequency").alias("facet"), frequency.alias("value")),
     )
     rows = df.where(is_error()).select(F.inline(facets)).where("value is not null")
