@@ -59,7 +59,7 @@ def _eda_top_words_documents(spark, sf_dir):
 @query(
     "eda_desc_length",
     duck(
-        """SELECT category, round(avg(length(coalesce(description, ''))), 2) AS mean_length,
+        """SELECT category, round_even(avg(length(coalesce(description, ''))), 2) AS mean_length,
         (SELECT round(avg(length(coalesce(description, ''))), 6) FROM txn) AS overall_mean,
         (SELECT CAST(median(length(coalesce(description, ''))) AS DOUBLE) FROM txn) AS overall_median
         FROM txn GROUP BY category"""
@@ -76,9 +76,9 @@ def _eda_desc_length(spark, sf_dir):
 @query(
     "eda_amount_overall",
     duck(
-        """SELECT count(amount) AS n, round(avg(amount), 2) AS mean, round(stddev_samp(amount), 2) AS std,
-        round(min(amount), 2) AS min, round(max(amount), 2) AS max, round(quantile_cont(amount, 0.25), 2) AS q1,
-        round(quantile_cont(amount, 0.5), 2) AS median, round(quantile_cont(amount, 0.75), 2) AS q3 FROM txn"""
+        """SELECT count(amount) AS n, round_even(avg(amount), 2) AS mean, round_even(stddev_samp(amount), 2) AS std,
+        round_even(min(amount), 2) AS min, round_even(max(amount), 2) AS max, round_even(quantile_cont(amount, 0.25), 2) AS q1,
+        round_even(quantile_cont(amount, 0.5), 2) AS median, round_even(quantile_cont(amount, 0.75), 2) AS q3 FROM txn"""
     ),
 )
 def _eda_amount_overall(spark, sf_dir):
@@ -88,8 +88,8 @@ def _eda_amount_overall(spark, sf_dir):
 @query(
     "eda_amount_by_category",
     duck(
-        """SELECT category, count(amount) AS n, round(avg(amount), 2) AS mean, round(median(amount), 2) AS median,
-        round(stddev_samp(amount), 2) AS std, round(min(amount), 2) AS min, round(max(amount), 2) AS max
+        """SELECT category, count(amount) AS n, round_even(avg(amount), 2) AS mean, round_even(median(amount), 2) AS median,
+        round_even(stddev_samp(amount), 2) AS std, round_even(min(amount), 2) AS min, round_even(max(amount), 2) AS max
         FROM txn GROUP BY category"""
     ),
 )

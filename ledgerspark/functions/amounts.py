@@ -13,6 +13,12 @@ def number(column: str = "amount") -> Column:
     return F.nanvl(value, F.lit(None).cast("double"))
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """Round halves to even on the scaled binary value, as numeric array libraries do."""
+    scale = 10.0**digits
+    return F.rint(value * scale) / scale
+
+
 def is_round(amount: Column) -> Column:
     return F.coalesce(F.pmod(amount, F.lit(1.0)) == 0, F.lit(True)).cast("int")
 
@@ -39,7 +45,7 @@ def amount_bins(amount: Column) -> Column:
 
 def pair_amount(amount: Column) -> Column:
     """The amount as used to recognise repeats of the same charge."""
-    return F.round(amount, 8)
+    return rounded(amount, 8)
 
 
 def amount_columns(amount: Column) -> dict[str, Column]:

@@ -21,7 +21,7 @@ def description_length_by_category(df: DataFrame, target: str = K.TARGET) -> Dat
     return (
         df.where(F.col(target).isNotNull())
         .groupBy(target)
-        .agg(F.round(F.avg(F.length(text.description())), 2).alias("mean_length"))
+        .agg(amounts.rounded(F.avg(F.length(text.description())), 2).alias("mean_length"))
     )
 
 
@@ -37,13 +37,13 @@ def amount_by_category(df: DataFrame, target: str = K.TARGET) -> DataFrame:
     labelled = df.where(F.col(target).isNotNull())
     stats = labelled.select(target, value.alias("v")).groupBy(target).agg(
         F.count("v").alias("n"),
-        F.round(F.avg("v"), 2).alias("mean"),
-        F.round(F.when(F.count("v") > 1, F.stddev_samp("v")), 2).alias("std"),
-        F.round(F.min("v"), 2).alias("min"),
-        F.round(F.max("v"), 2).alias("max"),
+        amounts.rounded(F.avg("v"), 2).alias("mean"),
+        amounts.rounded(F.when(F.count("v") > 1, F.stddev_samp("v")), 2).alias("std"),
+        amounts.rounded(F.min("v"), 2).alias("min"),
+        amounts.rounded(F.max("v"), 2).alias("max"),
     )
     medians = quantiles(labelled, value, {"median": 0.5}, {target: F.col(target)})
-    return stats.join(medians.select(target, F.round("median", 2).alias("median")), target, "left")
+    return stats.join(medians.select(target, amounts.rounded(F.col("median"), 2).alias("median")), target, "left")
 
 
 def iqr_outliers(df: DataFrame) -> DataFrame:

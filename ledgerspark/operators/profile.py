@@ -37,11 +37,11 @@ def describe_amount(df: DataFrame) -> DataFrame:
     marks = scalar_quantiles(df, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     stats = df.select(value.alias("v")).agg(
         F.count("v").alias("n"),
-        F.round(F.avg("v"), 2).alias("mean"),
-        F.round(F.when(F.count("v") > 1, F.stddev_samp("v")), 2).alias("std"),
-        F.round(F.min("v"), 2).alias("min"),
-        F.round(F.max("v"), 2).alias("max"),
+        amounts.rounded(F.avg("v"), 2).alias("mean"),
+        amounts.rounded(F.when(F.count("v") > 1, F.stddev_samp("v")), 2).alias("std"),
+        amounts.rounded(F.min("v"), 2).alias("min"),
+        amounts.rounded(F.max("v"), 2).alias("max"),
     )
-    return stats.withColumns({k: F.round(F.lit(v).cast("double"), 2) for k, v in marks.items()})
+    return stats.withColumns({k: amounts.rounded(F.lit(v).cast("double"), 2) for k, v in marks.items()})
 
 
