@@ -42,9 +42,9 @@ SQL_BY_TERM = """SELECT term, CAST(any_value(n_uses) AS BIGINT) AS n_uses, any_v
 
 def _by_term(df, kind, id_column, column):
     vocabulary = textvec.fit_vocabulary(df, kind, id_column, column)
-    long = textvec.tfidf_long(textvec.tfidf(df, vocabulary, kind, id_column, column), id_column)
-    totals = long.groupBy("term").agg(F.round(F.sum("weight"), 4).alias("total_weight"))
-    return vocabulary.select("term", "n_uses", "n_texts", "idf").join(totals, "term")
+    weights = textvec.tfidf_long(df, vocabulary, kind, id_column, column)
+    totals = weights.groupBy("index").agg(F.round(F.sum("weight"), 4).alias("total_weight"))
+    return vocabulary.select("term", "n_uses", "n_texts", "idf", "index").join(totals, "index").drop("index")
 
 
 SQL_TXN_TEXTS = "texts AS (SELECT transaction_id AS id, lower(coalesce(description, '')) AS t FROM txn)"

@@ -49,17 +49,18 @@ def word_grams(words: Column, low: int = K.WORD_NGRAMS[0], high: int = K.WORD_NG
     return F.concat(*[runs(n) for n in range(low, high + 1)])
 
 
-def term_counts(df: DataFrame, kind: str, id_column: str, column: str) -> DataFrame:
-    """``(id, term, tf)`` for every text."""
+def term_uses(df: DataFrame, kind: str, id_column: str, column: str) -> DataFrame:
+    """``(id, term, n)``: the terms of every text, all rows of a text in one partition.
+
+    A character gram comes once per distinct word of the text, with the uses of that word.
+    """
     texts = df.select(F.col(id_column).alias("id"), F.lower(text.description(column)).alias("t")).repartition("id")
     if kind == CHAR:
         words = texts.select("id", F.explode(F.regexp_extract_all("t", F.lit(rf"[^{K.SPACE}]+"), F.lit(0))).alias("word"))
         counted = words.groupBy("id", "word").agg(F.count(F.lit(1)).alias("n"))
-        grams = counted.select("id", F.explode(char_grams(F.col("word"))).alias("term"), "n")
-        return grams.groupBy("id", "term").agg(F.sum("n").alias("tf"))
+        return counted.select("id", F.explode(char_grams(F.col("word"))).alias("term"), "n")
     words = texts.select("id", text.tokens(F.col("t")).alias("words"))
-    terms = words.select("id", F.explode(word_grams(F.col("words"))).alias("term"))
-    return terms.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return words.select("id", F.explode(word_grams(F.col("words"))).alias("term"), F.lit(1).alias("n"))
 
 
 def fit_vocabulary(
@@ -67,40 +68,40 @@ def fit_vocabulary(
 ) -> DataFrame:
     """The ``max_terms`` most used terms (ties by term) with position, text frequency and smooth idf."""
     n_texts = df.count()
-    stats = term_counts(df, kind, id_column, column).groupBy("term").agg(
-        F.sum("tf").alias("n_uses"), F.count(F.lit(1)).alias("n_texts")
-    )
+    per_text = term_uses(df, kind, id_column, column).groupBy("id", "term").agg(F.sum("n").alias("tf"))
+    stats = per_text.groupBy("term").agg(F.sum("tf").alias("n_uses"), F.count(F.lit(1)).alias("n_texts"))
     kept = stats.orderBy(F.desc("n_uses"), "term").limit(max_terms)
     position = (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("term")) - 1).cast("int")
     idf = F.log((F.lit(n_texts) + 1.0) / (F.col("n_texts") + 1.0)) + 1.0
     return materialize(kept.select("term", position.alias("index"), "n_uses", "n_texts", idf.alias("idf")), "vocabulary")
 
 
-def tfidf(df: DataFrame, vocabulary: DataFrame, kind: str, id_column: str = K.ID, column: str = "description") -> DataFrame:
-    """``(id, terms)``: per text the unit-length weights as an array of ``(index, term, weight)``.
+def tfidf_long(
+    df: DataFrame, vocabulary: DataFrame, kind: str, id_column: str = K.ID, column: str = "description"
+) -> DataFrame:
+    """``(id, index, weight)``: unit-length weights of the known terms of every text.
 
-    A text without any known term has no row.  The array is bounded by the vocabulary.
+    Terms outside the vocabulary go before anything is counted.  A text without known terms has no row.
     """
-    terms = vocabulary.select("term", "index", "idf")
-    counts = term_counts(df, kind, id_column, column).join(F.broadcast(terms), "term")
-    weight = (F.lit(1.0) + F.log("tf")) * F.col("idf")
-    rows = counts.select("id", F.struct("index", "term", weight.alias("weight")).alias("entry"))
-    gathered = rows.groupBy("id").agg(
-        F.collect_list("entry").alias("entries"), F.sqrt(F.sum(F.pow("entry.weight", 2))).alias("norm")
-    )
+    known = F.broadcast(vocabulary.select("term", "index", "idf"))  # at most ``max_terms`` rows
+    uses = term_uses(df, kind, id_column, column).join(known, "term")
+    counts = uses.groupBy("id", "index", "idf").agg(F.sum("n").alias("tf"))
+    weighted = counts.select("id", "index", ((F.lit(1.0) + F.log("tf")) * F.col("idf")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("id")))
+    return weighted.select(F.col("id").alias(id_column), "index", (F.col("weight") / norm).alias("weight"))
 
-    def unit(entry: Column) -> Column:
-        return F.struct(
-            entry["index"].alias("index"),
-            entry["term"].alias("term"),
-            (entry["weight"] / F.col("norm")).alias("weight"),
-        )
 
-    return gathered.select(F.col("id").alias(id_column), F.transform(F.sort_array("entries"), unit).alias("terms"))
+def tfidf(
+    df: DataFrame, vocabulary: DataFrame, kind: str, id_column: str = K.ID, column: str = "description"
+) -> DataFrame:
+    """``(id, indices, weights)`` per text, in index order; the arrays are bounded by the vocabulary."""
+    long = tfidf_long(df, vocabulary, kind, id_column, column)
+    entries = long.groupBy(id_column).agg(F.sort_array(F.collect_list(F.struct("index", "weight"))).alias("entries"))
+    return entries.select(id_column, F.col("entries.index").alias("indices"), F.col("entries.weight").alias("weights"))
 
 
-def tfidf_long(vectors: DataFrame, id_column: str = K.ID) -> DataFrame:
-    return vectors.select(id_column, F.inline("terms"))
+def shifted(by: int) -> Column:
+    return F.transform("indices", lambda i: i + by)
 
 
 def text_vectors(
@@ -108,15 +109,10 @@ def text_vectors(
 ) -> tuple[DataFrame, int]:
     """Written table ``(id, indices, weights)`` over all vocabularies side by side, and the number of terms."""
 
-    def shifted(by: int) -> Column:
-        return F.transform("terms", lambda e: e["index"] + by)
-
     offset, parts = 0, None
     for kind, vocabulary in vocabularies.items():
         part = tfidf(df, vocabulary, kind, id_column, column).select(
-            id_column,
-            shifted(offset).alias(f"i_{kind}"),
-            F.col("terms.weight").alias(f"w_{kind}"),
+            id_column, shifted(offset).alias(f"i_{kind}"), F.col("weights").alias(f"w_{kind}")
         )
         parts = part if parts is None else parts.join(part, id_column, "full")
         offset += vocabulary.count()

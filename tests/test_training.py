@@ -40,7 +40,7 @@ def test_tfidf_against_brute_force(spark):
     texts = ["CVS pharmacy a", "cvs CVS", "", None, "zoo"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "transaction_id long, description string")
     vocabulary = textvec.fit_vocabulary(df, "char", max_terms=20)
-    long = textvec.tfidf_long(textvec.tfidf(df, vocabulary, "char"))
+    long = textvec.tfidf_long(df, vocabulary, "char").join(vocabulary, "index")
     got = {(r["transaction_id"], r["term"]): r["weight"] for r in long.collect()}
     counts = [{} for _ in texts]
     for i, t in enumerate(texts):
