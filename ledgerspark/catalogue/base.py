@@ -23,9 +23,9 @@ def canonical(df: DataFrame, digits: int = 6) -> DataFrame:
         elif isinstance(kind, FractionalType):
             column = F.round(column.cast("double"), digits)
         elif isinstance(kind, (TimestampType, TimestampNTZType)):
-            column = F.date_format(column, "yyyy-MM-dd HH:mm:ss")
+            column = F.left(column.cast("string"), F.lit(19))
         elif isinstance(kind, DateType):
-            column = F.date_format(column, "yyyy-MM-dd")
+            column = column.cast("string")
         columns.append(column.alias(field.name))
     return df.select(*columns)
 

@@ -158,10 +158,8 @@ def _oof_table(spark, sf_dir):
 
 @query("ensemble_models")
 def _ensemble_models(spark, sf_dir):
-    matrix = training.build_matrix(transactions(spark, sf_dir))
-    first = training.cross_validate(matrix, "forest", FOREST)
-    second = training.cross_validate(matrix, "logistic", {"iterations": 10})
-    return training.ensemble_summary(first, second, matrix.labels)
+    settings = {"forest": FOREST, "logistic": {"iterations": 10}}
+    return training.train_ensemble(transactions(spark, sf_dir), ("forest", "logistic"), settings).summary
 
 
 @query("hyperparam_search")

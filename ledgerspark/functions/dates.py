@@ -74,8 +74,8 @@ def time_columns(date: Column, has_time: bool) -> dict[str, Column]:
 
 
 def any_time_of_day(df: DataFrame, date: Column) -> bool:
-    row = df.select(date.alias("d")).agg(F.bool_or(F.col("d") != F.date_trunc("DAY", "d")).alias("any")).first()
-    return bool(row["any"])
+    midnight = F.to_date(date).cast("timestamp_ntz")
+    return bool(df.agg(F.bool_or(date != midnight)).first()[0])
 
 
 def weekday_name(date: Column) -> Column:

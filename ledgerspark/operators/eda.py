@@ -65,7 +65,8 @@ def _by_period(df: DataFrame, label: Column) -> DataFrame:
 
 
 def by_month(df: DataFrame) -> DataFrame:
-    return _by_period(df, F.date_format(dates.timestamp(df), "yyyy-MM"))
+    date = dates.timestamp(df)
+    return _by_period(df, F.when(date.isNotNull(), F.format_string("%04d-%02d", F.year(date), F.month(date))))
 
 
 def by_quarter(df: DataFrame) -> DataFrame:

@@ -93,6 +93,13 @@ def default_fold(folds: int = K.N_FOLDS) -> Column:
     return F.pmod(F.xxhash64(F.col(K.ID), F.lit(K.SEED)), F.lit(folds)).cast("int")
 
 
+def fold_assignment(df: DataFrame, fold: Column | None = None, folds: int = K.N_FOLDS) -> Column:
+    """The given folds, or hashed ones; a table of at most ``folds`` rows gets one fold per row."""
+    if fold is not None:
+        return fold
+    return default_fold(folds) if df.limit(folds + 1).count() > folds else F.col(K.ID)
+
+
 def coded_stores(df: DataFrame, target: str = K.TARGET) -> DataFrame:
     if target not in df.columns:
         raise ValueError(f"target column is required to fit the encoding: {target}")
@@ -169,8 +176,7 @@ def target_encode_out_of_fold(
     out: str = "store_name_target_enc",
 ) -> DataFrame:
     """Add the smoothed out-of-fold merchant encoding in one pass instead of one per fold."""
-    assigned = default_fold(folds) if fold is None else fold
-    rows = coded_stores(df, target).withColumn("__fold", assigned)
+    rows = coded_stores(df, target).withColumn("__fold", fold_assignment(df, fold, folds))
     table = out_of_fold_table(materialize(fold_parts(rows), "parts"), smoothing, out)
     joined = lookup(rows, table, ["store_name", "__fold"], [out], spread_by=K.ID, weight="n")
     return joined.drop("__code", "__fold")

@@ -27,8 +27,7 @@ def profile_amount(df: DataFrame) -> DataFrame:
 def profile_date_range(df: DataFrame) -> DataFrame:
     """First and last date and the whole days between them."""
     bounds = df.select(dates.timestamp(df).alias("d")).agg(F.min("d").alias("start"), F.max("d").alias("end"))
-    seconds = F.timestamp_diff("SECOND", F.col("start"), F.col("end"))
-    return bounds.withColumn("days_span", F.floor(seconds / 86400))
+    return bounds.withColumn("days_span", F.extract(F.lit("DAY"), F.col("end") - F.col("start")))
 
 
 def describe_amount(df: DataFrame) -> DataFrame:

@@ -62,7 +62,7 @@ def store_columns(
     encode = target in df.columns
     seen = df if fit_on is None else fit_on
     labels = encoding.class_labels(seen, target) if encode else []
-    assigned = (encoding.default_fold() if fold is None else fold) if encode else F.lit(0)
+    assigned = encoding.fold_assignment(df, fold) if encode else F.lit(0)
     code = encoding.code_of(F.col(target), labels).cast("double") if encode else F.lit(0.0)
     keyed = with_merchant(seen).select(
         K.ID,

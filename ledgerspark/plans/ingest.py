@@ -33,6 +33,21 @@ def load_transactions(
     return build() if cache is None else cached_table(spark, path, cache, build, force_reload)
 
 
+def load_report(raw: DataFrame, is_train: bool = True) -> dict[str, DataFrame]:
+    """What the repair of a raw table finds: failed amounts, fills, date formats, unknown labels."""
+    sections = {
+        "amounts": quality.amount_coercion_report(raw),
+        "filled": quality.fill_report(raw),
+        "columns": quality.null_counts(raw),
+    }
+    if dict(raw.dtypes)["date"] == "string":
+        sections["date_formats"] = quality.date_format_report(raw)
+    if is_train:
+        sections["unexpected_categories"] = quality.unexpected_categories(raw)
+        sections["summary"] = quality.load_summary(raw)
+    return sections
+
+
 def load_sample(spark: SparkSession, path: str, n: int = 1000, stratified: bool = True, cache: str | None = None) -> DataFrame:
     df = load_transactions(spark, path, cache=cache)
     if stratified and K.TARGET in df.columns:

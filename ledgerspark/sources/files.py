@@ -19,6 +19,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ledgerspark import constants as K
 from ledgerspark.functions import amounts
+from ledgerspark.storage import materialize
 
 CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"', "enforceSchema": False}
 ARCHIVE_SUFFIXES = (".zip", ".xz")
@@ -111,16 +112,19 @@ def probe_encodings(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def read_csv_any_encoding(spark: SparkSession, path: str | list[str], nrows: int | None = None) -> DataFrame:
-    """CSV whose files may differ in encoding.  The driver sees file names only, as for any listing."""
-    files = [(r["file"], r["encoding"]) for r in probe_encodings(spark, path).select("file", "encoding").collect()]
+    """CSV whose files may differ in encoding.
+
+    Usually every file is UTF-8 and the path is read as it is; only a mixed folder needs its file names.
+    """
+    probed = materialize(probe_encodings(spark, path).select("file", "encoding"), "encodings")
+    found = {r["encoding"] for r in probed.select("encoding").distinct().collect()}
+    if len(found) < 2:
+        return read_csv(spark, path, nrows, encoding=found.pop() if found else "UTF-8")
     parts = []
-    for encoding in ("UTF-8", "ISO-8859-1"):
-        chosen = [f for f, e in files if e == encoding]
-        if chosen:
-            parts.append(read_csv(spark, chosen, encoding=encoding))
-    if not parts:
-        return read_csv(spark, path, nrows)
-    df = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
+    for encoding in sorted(found):
+        names = [r["file"] for r in probed.where(F.col("encoding") == encoding).select("file").collect()]
+        parts.append(read_csv(spark, names, encoding=encoding))
+    df = parts[0].unionByName(parts[1], allowMissingColumns=True)
     return df if nrows is None else df.limit(nrows)
 
 

@@ -180,6 +180,14 @@ def test_out_of_fold_encoding_against_the_fold_by_fold_definition(make):
         assert got[i]["store_name_target_enc"] == pytest.approx(want)
 
 
+def test_tiny_tables_leave_one_out(make):
+    df = make([(i, "2023-01-01", "SHOP", 1.0, "Sunday", c) for i, c in enumerate(["A", "B", "C"])])
+    got = rows_by_id(encoding.target_encode_out_of_fold(df))
+    assert [got[i]["store_name_target_enc"] for i in range(3)] == pytest.approx([13 / 12, 12 / 12, 11 / 12])
+    single = encoding.target_encode_out_of_fold(df.where("transaction_id = 2")).first()
+    assert single["store_name_target_enc"] == 0.0
+
+
 def test_fit_and_apply_encoding(make):
     df = labelled(make)
     stats = encoding.fit_target_encoding(df)

@@ -170,6 +170,7 @@ def test_jobs_from_file_to_submission(spark, rows, tmp_path, monkeypatch):
         jobs.run(spark, jobs.parser().parse_args(list(args)))
 
     cached = ["--train", source, "--cache", str(tmp_path / "cache")]
+    job("load", *cached, "--out", str(tmp_path / "load"))
     job("eda", *cached, "--out", str(tmp_path / "eda"))
     job("features", *cached, "--out", str(tmp_path / "features"), "--extended")
     job("train", *cached, "--out", str(tmp_path / "model"), "--model", "forest", "--text-rank", "2")
@@ -178,6 +179,8 @@ def test_jobs_from_file_to_submission(spark, rows, tmp_path, monkeypatch):
         "--out", str(tmp_path / "submission"))
     assert len(list((tmp_path / "eda").iterdir())) == 18 and len(list((tmp_path / "errors").iterdir())) == 16
     assert spark.read.parquet(str(tmp_path / "features")).count() == 1000
+    assert spark.read.json(str(tmp_path / "load" / "report" / "filled")).first()["amounts_filled"] == 12  # ids 5, 94, …, 984
+    assert spark.read.json(str(tmp_path / "load" / "metadata" / "load")).first()["n_rows"] == 1000
     submission = spark.read.option("header", True).csv(str(tmp_path / "submission"))
     assert submission.columns == [K.ID, K.TARGET] and submission.count() == 1000
     assert spark.read.json(str(tmp_path / "errors" / "overall")).first()["n_rows"] == 830
