@@ -96,7 +96,8 @@ def _error_rate_chart(spark, sf_dir):
 
 @query("time_series_folds", duck(f"WITH {SQL_FOLDS} SELECT transaction_id, fold FROM f WHERE fold IS NOT NULL"))
 def _time_series_folds(spark, sf_dir):
-    return folds.with_folds(txn(spark, sf_dir)).where("fold is not null").select(K.ID, "fold")
+    rows = txn(spark, sf_dir)
+    return folds.validated(rows, folds.fold_cuts(rows)).select(K.ID, "fold")
 
 
 @query(
@@ -113,7 +114,8 @@ def _fold_sizes(spark, sf_dir):
 
 
 def _validated(spark, sf_dir):
-    return folds.with_folds(predictions(spark, sf_dir)).where("fold is not null")
+    rows = predictions(spark, sf_dir)
+    return folds.validated(rows, folds.fold_cuts(rows))
 
 
 @query("fold_macro_f1", duck(f"WITH {SQL_FOLD_F1} SELECT fold, round(macro_f1, 6) AS macro_f1, n_rows FROM ff"))
@@ -385,8 +387,7 @@ def _ensemble_fold_scores(spark, sf_dir):
     }
     scored = None
     for name, df in models.items():
-        valid = df.withColumn("fold", folds.fold_of(cuts)).where("fold is not null")
-        labelled = valid.select(
+        labelled = folds.validated(df, cuts).select(
             F.lit(name).alias("model"),
             "fold",
             F.col(K.TARGET).alias("actual"),

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ledgerspark import constants as K
+from ledgerspark.storage import materialize
 
 _LABELS = """CASE {0} WHEN 0 THEN 'Food & Dining' WHEN 1 THEN 'Groceries' WHEN 2 THEN 'Transportation'
                WHEN 3 THEN 'Entertainment' WHEN 4 THEN 'Shopping' WHEN 5 THEN 'Bills & Utilities'
@@ -85,22 +89,20 @@ def txn_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(TXN_RAW.replace("FROM txn", "FROM {txn}"), txn=txn(spark, sf_dir))
 
 
-def probabilities(factor: int = PROBS_FACTOR) -> Column:
-    """Class probabilities of a row of ``txn`` as an array in the order of ``CATEGORIES``."""
-
-    def weight(k: Column) -> Column:
-        noise = (F.col(K.ID) * (k + 3) * factor) % 23
-        return F.lit(1) + noise + F.when(k == F.col("pi"), 25).otherwise(0)
+def probs(spark: SparkSession, sf_dir: str, factor: int = PROBS_FACTOR) -> DataFrame:
+    """``txn`` ids with labels and an array of class probabilities in the order of ``CATEGORIES``.
 
-    weights = F.transform(F.sequence(F.lit(0), F.lit(len(K.CATEGORIES) - 1)), weight)
-    total = F.aggregate(weights, F.lit(0).cast("long"), lambda a, b: a + b)
-    return F.transform(weights, lambda w: w.cast("double") / total.cast("double"))
+    Written as a table, as the output of a model would be.
+    """
 
+    def weight(k: int) -> Column:
+        noise = (F.col(K.ID) * F.lit((k + 3) * factor)) % 23
+        return F.lit(1) + noise + F.when(F.col("pi") == k, 25).otherwise(0)
 
-def probs(spark: SparkSession, sf_dir: str, factor: int = PROBS_FACTOR) -> DataFrame:
-    """``txn`` ids with labels and a probability array, one row per transaction."""
-    rows = txn(spark, sf_dir)
-    return rows.select(K.ID, K.TARGET, "ci", "pi", probabilities(factor).alias("probabilities"))
+    weights = [weight(k) for k in range(len(K.CATEGORIES))]
+    rows = txn(spark, sf_dir).withColumn("total", reduce(add, weights).cast("double"))
+    shares = F.array(*[w.cast("double") / F.col("total") for w in weights])
+    return materialize(rows.select(K.ID, K.TARGET, "ci", "pi", shares.alias("probabilities")), "probs")
 
 
 def duck(query: str, *tables: str) -> str:

@@ -26,11 +26,20 @@ def is_round(amount: Column) -> Column:
 def decimal_digits(amount: Column) -> Column:
     """Digits left after rounding to ten places and dropping trailing zeros.
 
-    Only the fraction is formatted: it is exact in binary, so large amounts round like small ones.
+    Only the fraction is looked at: it is exact in binary, so large amounts round like small ones.  Fractions
+    near a rounding boundary of the tenth place are formatted as text; all others take integer arithmetic.
     """
     size = F.abs(amount)
-    text = F.format_string("%.10f", size - F.floor(size).cast("double"))
-    return F.coalesce(F.length(F.regexp_extract(text, r"\.(\d*?)0*$", 1)), F.lit(0))
+    fraction = size - F.floor(size).cast("double")
+    scaled = fraction * F.lit(1e10)
+    units = F.rint(scaled).cast("long")
+    counted = F.when(units % F.lit(10**10) == 0, 0)
+    for digits in range(1, 10):
+        counted = counted.when(units % F.lit(10 ** (10 - digits)) == 0, digits)
+    text = F.format_string("%.10f", fraction)
+    printed = F.length(F.regexp_extract(text, r"\.(\d*?)0*$", 1))
+    clear = F.abs(scaled - F.rint(scaled)) < 0.4
+    return F.when(amount.isNull(), 0).when(clear, counted.otherwise(10)).otherwise(printed)
 
 
 def log_amount(amount: Column) -> Column:

@@ -33,6 +33,17 @@ def fold_of(cuts: list[int], key: str = K.ID) -> Column:
     return F.when(passed > 0, passed)
 
 
+def in_fold(cuts: list[int], k: int, key: str = K.ID) -> Column:
+    """Rows that fold ``k`` validates, as a range of the key that reaches the scan."""
+    lower = F.col(key) >= cuts[k - 1]
+    return lower if k == len(cuts) else lower & (F.col(key) < cuts[k])
+
+
+def validated(df: DataFrame, cuts: list[int], key: str = K.ID) -> DataFrame:
+    """All rows that some fold validates, with their ``fold``."""
+    return df.where(F.col(key) >= cuts[0]).withColumn("fold", fold_of(cuts, key))
+
+
 def with_folds(df: DataFrame, n_folds: int = K.N_FOLDS, key: str = K.ID) -> DataFrame:
     return df.withColumn("fold", fold_of(fold_cuts(df, n_folds, key), key))
 

@@ -20,12 +20,12 @@ from ledgerspark.storage import materialize
 CHAR, WORD = "char", "word"
 
 
-def char_grams(word: Column, low: int = K.CHAR_NGRAMS[0], high: int = K.CHAR_NGRAMS[1]) -> Column:
-    """N-grams of a word padded with one blank on either side.
+def padded_word(word: Column) -> Column:
+    return F.concat(F.lit(" "), word, F.lit(" "))
 
-    All windows of each size, up to the first size that covers the whole padded word.
-    """
-    padded = F.concat(F.lit(" "), word, F.lit(" "))
+
+def char_grams(padded: Column, low: int = K.CHAR_NGRAMS[0], high: int = K.CHAR_NGRAMS[1]) -> Column:
+    """N-grams of a padded word: all windows of each size, up to the first size that covers all of it."""
     length = F.length(padded)
     sizes = F.sequence(F.lit(low), F.greatest(F.lit(low), F.least(F.lit(high), length)))
     return F.flatten(
@@ -56,9 +56,10 @@ def term_uses(df: DataFrame, kind: str, id_column: str, column: str) -> DataFram
     """
     texts = df.select(F.col(id_column).alias("id"), F.lower(text.description(column)).alias("t")).repartition("id")
     if kind == CHAR:
-        words = texts.select("id", F.explode(F.regexp_extract_all("t", F.lit(rf"[^{K.SPACE}]+"), F.lit(0))).alias("word"))
+        words = texts.select("id", F.explode(F.regexp_extract_all("t", F.lit(rf"[{K.NON_SPACE}]+"), F.lit(0))).alias("word"))
         counted = words.groupBy("id", "word").agg(F.count(F.lit(1)).alias("n"))
-        return counted.select("id", F.explode(char_grams(F.col("word"))).alias("term"), "n")
+        padded = counted.select("id", padded_word(F.col("word")).alias("padded"), "n")
+        return padded.select("id", F.explode(char_grams(F.col("padded"))).alias("term"), "n")
     words = texts.select("id", text.tokens(F.col("t")).alias("words"))
     return words.select("id", F.explode(word_grams(F.col("words"))).alias("term"), F.lit(1).alias("n"))
 

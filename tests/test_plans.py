@@ -10,7 +10,7 @@ from conftest import SMALL
 from ledgerspark import constants as K
 from ledgerspark.fixtures import txn
 from ledgerspark.operators import errors, evaluation
-from ledgerspark.operators.folds import fold_cuts, fold_of
+from ledgerspark.operators.folds import fold_cuts, fold_of, in_fold
 from ledgerspark.plans.feature_table import feature_table
 
 
@@ -41,8 +41,10 @@ def test_feature_table_without_broadcast_has_no_single_task(rows, many_ranges, n
 
 
 def test_folds_do_not_shuffle_rows(rows, many_ranges):
-    plan = plan_of(rows.withColumn("fold", fold_of(fold_cuts(rows))).where("fold = 3"))
+    cuts = fold_cuts(rows)
+    plan = plan_of(rows.where(in_fold(cuts, 3)).withColumn("fold", fold_of(cuts)))
     assert "Exchange" not in plan and "Window" not in plan
+    assert f"GreaterThanOrEqual(event_id,{cuts[2]}), LessThan(event_id,{cuts[3]})" in plan
 
 
 def test_scans_read_only_needed_columns_and_filters_reach_them(spark):
