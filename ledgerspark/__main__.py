@@ -23,6 +23,7 @@ from ledgerspark.plans.feature_table import feature_table
 from ledgerspark.plans.ingest import load_report, load_transactions
 from ledgerspark.sources.cache import load_metadata
 from ledgerspark.sources.files import read_transactions
+from ledgerspark.session import tune
 from ledgerspark.sources.sinks import write_report
 
 
@@ -79,4 +80,4 @@ def parser() -> argparse.ArgumentParser:
 
 
 if __name__ == "__main__":
-    run(SparkSession.builder.appName("ledgerspark").getOrCreate(), parser().parse_args())
+    run(tune(SparkSession.builder.appName("ledgerspark").getOrCreate()), parser().parse_args())

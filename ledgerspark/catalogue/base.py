@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BooleanType, DateType, FractionalType, IntegralType, TimestampNTZType, TimestampType
 
+from ledgerspark.session import tune
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -33,7 +35,7 @@ def canonical(df: DataFrame, digits: int = 6) -> DataFrame:
 def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     def register(fn: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return canonical(fn(spark, sf_dir))
+            return canonical(fn(tune(spark), sf_dir))
 
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")

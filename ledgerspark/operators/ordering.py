@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerspark.storage import lookup, materialize
 
-ROWS_PER_RANGE = 1_000_000
-SMALL_RANGE = 20_000
+ROWS_PER_RANGE = 100_000
+SMALL_RANGE = 10_000
 MAX_RANGES = 20_000
 CUT_SAMPLE = 200  # sampled keys per range
 RANGE = "__range"
@@ -22,7 +22,7 @@ RANGE = "__range"
 
 def range_count(df: DataFrame, rows: int, rows_per_range: int = ROWS_PER_RANGE) -> int:
     cores = df.sparkSession.sparkContext.defaultParallelism
-    spread = min(cores, rows // SMALL_RANGE)
+    spread = min(4 * cores, rows // SMALL_RANGE)
     return max(1, min(MAX_RANGES, max(spread, math.ceil(rows / rows_per_range))))
 
 
