@@ -41,7 +41,7 @@ def compare(spark, con, name: str, sf_dir: str) -> str | None:
     names = [d[0] for d in result.description]
     if sorted(names) != columns:
         return f"columns {columns} != {sorted(names)}"
-    wanted_types = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR"}
+    wanted_types = {"bigint": "BIGINT", "int": "INTEGER", "boolean": "BOOLEAN", "double": "DOUBLE", "string": "VARCHAR"}
     for field, kind in df.dtypes:
         if kinds[field] != wanted_types.get(kind, kind):
             return f"type of {field}: spark {kind}, duckdb {kinds[field]}"
