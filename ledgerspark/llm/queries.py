@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerspark.llm import bpe_trie, gear, tiles
+from ledgerspark.llm import bottomk, bpe_trie, gear, mcd, ppm, tiles
 from ledgerspark.llm.base import arrow_rows, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,6 +43,30 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"))
 
 
+def fifth_held_out(id_col: str = "doc_id"):
+    """The documents that the language model does not learn from."""
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 1
+
+
+@query("op5_ppm")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrow_rows(spark, 2000)
+    return ppm.score(table(spark, sf_dir, "documents"), fifth_held_out())
+
+
+@query("op6_bottom_k")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrow_rows(spark, 1000)
+    found = bottomk.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+@query("op7_mcd_outliers")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = mcd.judge(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return judged.drop("n_lines", "distance")
+
+
 @query("op8_gear_chunks")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     arrow_rows(spark, 1000)
