@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerspark.llm import bottomk, bpe_trie, gear, mcd, ppm, tiles
+from ledgerspark.llm import bottomk, bpe_trie, gear, line_chunks, mcd, mixing, ppm, tiles
 from ledgerspark.llm.base import arrow_rows, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,37 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
     )
 
 
+_CHUNK_SQL = f"""
+WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+     l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM t),
+     w AS (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS n,
+                  CAST('0x' || left(md5(line), 8) AS BIGINT) % {line_chunks.MODULUS} AS x
+           FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+     m AS (SELECT *, (x + 31 * coalesce(lag(x) OVER (PARTITION BY doc_id ORDER BY n), 0)) % {line_chunks.MODULUS} % {line_chunks.DIVISOR} = 0
+                     OR n = max(n) OVER (PARTITION BY doc_id) AS mark FROM w),
+     p AS (SELECT *, coalesce(max(CASE WHEN mark THEN n END)
+                     OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS last_mark FROM m),
+     e AS (SELECT doc_id, i AS last, coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY n) + 1, 0) AS first
+           FROM p WHERE mark OR (n - last_mark) % {line_chunks.MAX_LINES} = 0),
+     c AS (SELECT e.doc_id, e.first, e.last, string_agg(l.line, chr(10) ORDER BY l.i) AS body,
+                  count(*) FILTER (WHERE regexp_matches(l.line, '[^\\x20\\x09-\\x0D]')) AS worded
+           FROM e JOIN l ON l.doc_id = e.doc_id AND l.i BETWEEN e.first AND e.last GROUP BY ALL),
+     g AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, first) AS copy
+           FROM c WHERE worded >= {line_chunks.MIN_LINES} AND length(body) >= {line_chunks.MIN_CHARS}),
+     r AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.i) FILTER (WHERE g.doc_id IS NULL) AS text,
+                  count(g.doc_id) AS removed_lines
+           FROM l LEFT JOIN g ON g.copy > 1 AND g.doc_id = l.doc_id AND l.i BETWEEN g.first AND g.last GROUP BY l.doc_id)
+SELECT r.doc_id, coalesce(r.text, '') AS text, removed_lines, length(d.text) - length(coalesce(r.text, '')) AS removed_chars
+FROM r JOIN documents d USING (doc_id)
+"""
+
+
+@query("op3_line_chunks", _CHUNK_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_chunks.dedup_lines(docs)
+
+
 @query("op4_bpe_trie")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"))
@@ -84,3 +115,70 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiles.nearest(table(spark, sf_dir, "embeddings"), "id % 20 = 0", 20)
+
+
+#: Targets of the mixing query: half of all tokens, at most two epochs.
+SHARE, EPOCHS, SEED = 0.5, 2, 7
+DOMAIN_WEIGHTS = {"d0": 2.0, "d1": 1.0, "d2": 4.0}
+LANGUAGE_WEIGHTS = {"en": 3.0, "es": 4.0}
+SOURCE_WEIGHTS = {"src3": 2.0, "src7": 0.5}
+
+
+def domain_of(source_col: str = "source"):
+    """The tables have no domain; sources are dealt to four by their number."""
+    number = F.regexp_extract(source_col, "([0-9]+)$", 1).cast("int")
+    return F.concat(F.lit("d"), (number % 4).cast("string"))
+
+
+def mixed(docs: DataFrame, share: float = SHARE) -> DataFrame:
+    return mixing.mix(docs, domain_of(), share, EPOCHS, (DOMAIN_WEIGHTS, LANGUAGE_WEIGHTS, SOURCE_WEIGHTS), SEED)
+
+
+def _case(column: str, weights: dict[str, float]) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {v}e0" for k, v in weights.items()) + " ELSE 1e0 END"
+
+
+def _level_sql(depth: int) -> str:
+    """Budgets of one level of the tree, from those of the level above."""
+    keys = [f"l{i}" for i in range(depth + 1)]
+    up, name = ", ".join(keys[:-1]), keys[-1]
+    part = f"PARTITION BY {up}" if up else ""
+    filled = f"OVER ({part} ORDER BY supply / weight, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    source = (
+        f"(SELECT {', '.join(keys)}, sum(supply) AS supply, max(w{depth}) AS weight, sum(avail) AS avail FROM tree GROUP BY ALL) n "
+    )
+    total = (
+        f"JOIN b{depth - 1} u ON " + " AND ".join(f"n.{k} IS NOT DISTINCT FROM u.{k}" for k in keys[:-1])
+        if up
+        else "CROSS JOIN (SELECT least((SELECT sum(avail) FROM leaves) * {share}e0, (SELECT sum(supply) FROM tree)) AS budget) u"
+    ).replace("{share}", str(SHARE))
+    return f"""
+     n{depth} AS (SELECT n.*, u.budget AS total FROM {source} {total}),
+     f{depth} AS (SELECT *, sum(supply) {filled} + supply / weight * (sum(weight) OVER ({part}) - sum(weight) {filled}) <= total AS is_full
+                  FROM n{depth}),
+     b{depth} AS (SELECT {', '.join(keys)}, avail,
+                  CASE WHEN is_full THEN CAST(supply AS DOUBLE)
+                       ELSE (total - coalesce(sum(CASE WHEN is_full THEN supply END) OVER ({part}), 0)) * weight
+                            / sum(CASE WHEN NOT is_full THEN weight END) OVER ({part}) END AS budget FROM f{depth}),"""
+
+
+ORACLES["op10_tree_mixing"] = f"""
+WITH d AS (SELECT doc_id, 'd' || CAST(CAST(regexp_extract(source, '([0-9]+)$', 1) AS INT) % 4 AS VARCHAR) AS l0, lang AS l1, source AS l2,
+                  len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS n FROM documents),
+     leaves AS (SELECT l0, l1, l2, CAST(sum(n) AS DOUBLE) AS avail FROM d GROUP BY ALL),
+     tree AS (SELECT *, avail * {EPOCHS} AS supply, {_case('l0', DOMAIN_WEIGHTS)} AS w0, {_case('l1', LANGUAGE_WEIGHTS)} AS w1,
+                     {_case('l2', SOURCE_WEIGHTS)} AS w2 FROM leaves WHERE avail > 0),
+     {_level_sql(0)}{_level_sql(1)}{_level_sql(2)}
+     q AS (SELECT *, CAST(least(floor(budget / avail), {EPOCHS}) AS BIGINT) AS whole FROM b2),
+     o AS (SELECT d.*, q.whole, CAST(floor(q.budget) AS BIGINT) - q.whole * CAST(q.avail AS BIGINT) AS rest,
+                  CAST('0x' || left(md5('{SEED}:' || q.whole || ':' || d.doc_id), 15) AS BIGINT) AS place
+           FROM d JOIN q ON d.l0 IS NOT DISTINCT FROM q.l0 AND d.l1 IS NOT DISTINCT FROM q.l1 AND d.l2 IS NOT DISTINCT FROM q.l2),
+     r AS (SELECT *, sum(n) OVER (PARTITION BY l0, l1, l2 ORDER BY place, doc_id) <= rest AND rest > 0 AS taken FROM o)
+SELECT doc_id, l0 AS domain, l1 AS lang, l2 AS source, CAST(n AS BIGINT) AS n_tokens, whole + CASE WHEN taken THEN 1 ELSE 0 END AS copies
+FROM r WHERE whole + CASE WHEN taken THEN 1 ELSE 0 END > 0
+"""
+
+
+@query("op10_tree_mixing")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(table(spark, sf_dir, "documents")).select("doc_id", "domain", "lang", "source", "n_tokens", "copies")
