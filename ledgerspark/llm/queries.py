@@ -7,8 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerspark.llm import bottomk, bpe_trie, gear, line_chunks, mcd, mixing, ppm, tiles
-from ledgerspark.llm.base import arrow_rows, table
+from ledgerspark.llm import bottomk, bpe_trie, gear, html_blocks, line_chunks, mcd, mixing, ppm, tiles, warc
+from ledgerspark.llm.base import arrow_rows, materialize, table
+from ledgerspark.storage import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,6 +39,13 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
     )
 
 
+@query("op1_html_blocks")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrow_rows(spark, 500)
+    found = html_blocks.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 _CHUNK_SQL = f"""
 WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
      l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM t),
@@ -182,3 +190,32 @@ FROM r WHERE whole + CASE WHEN taken THEN 1 ELSE 0 END > 0
 @query("op10_tree_mixing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents")).select("doc_id", "domain", "lang", "source", "n_tokens", "copies")
+
+
+@query(
+    "op2_warc_captures",
+    """WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS digest FROM pages),
+            h AS (SELECT *, max(page_id) OVER (PARTITION BY digest) AS holder FROM p)
+       SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+              CASE WHEN n >= 1000 AND holder <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+              CASE WHEN n >= 1000 AND holder <> page_id THEN holder END AS refers_to FROM h""",
+)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc-archives")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    captures = warc.assemble(materialize(warc.read_archives(spark, path), "warc-records"))
+    field = lambda name: F.get("metadata", F.lit(0))["fields"][name].cast("long")
+    rows = captures.select(
+        "capture_id",
+        field("pageId").alias("page_id"),
+        F.coalesce(field("payloadLength"), F.octet_length("capture.payload").cast("long")).alias("payload_bytes"),
+        F.when(F.col("capture.type") == "response", F.sha1("capture.payload"))
+        .otherwise(F.regexp_replace("capture.payload_digest", "^sha1:", ""))
+        .alias("payload_digest"),
+        F.col("capture.type").alias("record_type"),
+        F.col("capture.refers_to").alias("target"),
+    )
+    rows = materialize(rows, "warc-captures")
+    # Pages by their records: a revisit names the record, the result the page.
+    pages = rows.where("record_type = 'response'").select(F.col("capture_id").alias("target"), F.col("page_id").alias("refers_to"))
+    return rows.join(pages, "target", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
