@@ -53,9 +53,15 @@ ASIDE_NAMES = frozenset(
 )
 #: The ones that also count on an article or main element, which may carry names of the page's layout.
 ASIDE_ARTICLES = frozenset("ad ads advert advertisement sponsored promo comment comments reply related teaser".split())
+#: Words in the class or id of the article's own part.
+ARTICLE_NAMES = frozenset("article post entry story content prose main articlebody".split())
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
+def _names(attrs: dict[str, str | None]) -> set[str]:
+    return {x.lower() for x in NAME_PARTS.findall(f"{attrs.get('class') or ''} {attrs.get('id') or ''}")}
+
+
 def _aside(tag: str, attrs: dict[str, str | None], in_article: bool) -> bool:
     if tag in ASIDES or (tag == "header" and not in_article):
         return True
@@ -67,8 +73,7 @@ def _aside(tag: str, attrs: dict[str, str | None], in_article: bool) -> bool:
         return True
     if tag in ("html", "body"):
         return False
-    names = {x.lower() for x in NAME_PARTS.findall(f"{attrs.get('class') or ''} {attrs.get('id') or ''}")}
-    return not names.isdisjoint(ASIDE_ARTICLES if tag in ("article", "main") else ASIDE_NAMES)
+    return not _names(attrs).isdisjoint(ASIDE_ARTICLES if tag in ("article", "main") else ASIDE_NAMES)
 
 
 class BlockReader(HTMLParser):
@@ -123,9 +128,10 @@ class BlockReader(HTMLParser):
         own = _aside(tag, attrs, in_article)
         if own != aside and own and not block:
             self.flush()
-        self.stack.append(
-            (tag, aside or own, in_article or tag in ("article", "main") or attrs.get("role") == "main", heading or tag in HEADINGS, label or "data-main" in attrs)
-        )
+        of_article = tag in ("article", "main") or attrs.get("role") == "main"
+        if block and tag != "body" and not _names(attrs).isdisjoint(ARTICLE_NAMES):
+            of_article = True
+        self.stack.append((tag, aside or own, in_article or of_article, heading or tag in HEADINGS, label or "data-main" in attrs))
 
     def _imply(self, tag: str) -> None:
         """Ends that HTML implies before a block starts."""
@@ -203,12 +209,12 @@ def page_blocks(pages: DataFrame, html_col: str = "html") -> DataFrame:
     return frame.mapInArrow(run, f"{schema}, blocks array<{BLOCK_TYPE}>")
 
 
-def train_tree(spark: SparkSession, samples: list[str] = PAGES, depth: int = 5):
+def train_tree(spark: SparkSession, samples: list[str] = PAGES, depth: int = 6):
     """A decision tree over the blocks of labelled sample pages, in which ``data-main`` marks the main text."""
     rows = [([b[f] for f in FEATURES], b["label"]) for html in samples for b in read_blocks(html)]
     table = spark.createDataFrame(rows, "values array<double>, label double").coalesce(1)
     table = table.select(array_to_vector("values").alias("features"), "label")
-    return DecisionTreeClassifier(maxDepth=depth, maxBins=64, minInstancesPerNode=2, seed=1).fit(table)
+    return DecisionTreeClassifier(maxDepth=depth, maxBins=64, minInstancesPerNode=1, seed=1).fit(table)
 
 
 def is_main(model, block: Column) -> Column:

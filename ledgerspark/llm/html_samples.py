@@ -17,7 +17,30 @@ def _article(*paragraphs: str) -> str:
     return "".join(f"<p>{p}</p>" for p in paragraphs)
 
 
+def _cut(*sizes: int) -> list[str]:
+    """Passages of given numbers of words."""
+    words = (_LONG + " " + _MIDDLE).split()
+    return [" ".join((words * 4)[at : at + size]) for at, size in enumerate(sizes)]
+
+
+def _plain(*sizes: int, tag: str = "p") -> str:
+    return "".join(f"<{tag}>{x}</{tag}>" for x in _cut(*sizes))
+
+
 PAGES = [
+    # Text in unnamed divisions, paragraphs of all lengths, the last ones short.
+    f"<body><div data-main><h1>{_TITLE}</h1>{_plain(30, 12, 45, 9)}</div><div><ul>{_LINKS}</ul></div>",
+    f"<body><div><ul>{_LINKS}</ul></div><div data-main><h2>{_SHORT}</h2>{_plain(60, 22, 18, 11, 34)}</div>",
+    f"<body data-main>{_plain(25, 40, 16, 70, 20)}</body>",
+    f"<body><div data-main>{_plain(80, 35, 50, tag='div')}</div><div>{_LINK_LINE}</div>",
+    f"<div data-main>{_cut(28)[0]}</div>",
+    f"<body><div>{_LINK_LINE}</div><div data-main><h1>{_TITLE}</h1>{_plain(15, 33, 27, 13)}</div><div>{_SHORT}</div><div>{_LINK_LINE}</div>",
+    f"<body><table><tr><td><ul>{_LINKS}</ul></td><td data-main>{_plain(44, 19, 26)}</td></tr></table><p>{_LINK_LINE}</p><p>{_SHORT}</p>",
+    # Named content, with a list of links at its end that has no name.
+    f"<body><div class='post-content'><div data-main><h1>{_TITLE}</h1>{_plain(8, 25, 4, 14)}</div><ul>{_LINKS}</ul></div><div>{_LINK_LINE}</div>",
+    f"<body><div id='content'><ul>{_LINKS}</ul><div data-main>{_plain(5, 6, 31)}<ul><li>{_MIDDLE}</li><li>{_SHORT}</li></ul></div></div>",
+    f"<body><main><p>{_LINK_LINE}</p><div data-main><h1>{_SHORT}</h1>{_plain(3, 10, 2)}</div><p>{_LINK_LINE}</p><ul>{_LINKS}</ul></main>",
+    f"<body><article data-main><h1>{_TITLE}</h1><p>{_LONG} <a href='/y'>{_MIDDLE}</a></p><p>{_SHORT} <a href='/z'>Yes.</a></p></article>",
     # An article between a menu, an advert and a footer; unclosed elements.
     f"<html><head><title>{_TITLE}</title></head><body><nav><ul>{_LINKS}</ul></nav><div class='ad'>{_MIDDLE}</div>"
     f"<article data-main><h1>{_TITLE}</h1><p><b>{_SHORT}<br><p>{_LONG}</p><p>{_MIDDLE}</p><p>{_SHORT}</p></article>"
