@@ -66,8 +66,9 @@ def shingle_set(text: str, words: int) -> np.ndarray:
         return np.zeros(0, np.int64)
     if len(known) > KEPT_WORDS:
         known.clear()
-    for token in set(tokens) - known.keys():
-        known[token] = xxhash.xxh3_64_intdigest(token)
+    for token in set(tokens):
+        if token not in known:
+            known[token] = xxhash.xxh3_64_intdigest(token)
     h = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
     n = max(1, len(h) - words + 1)
     out = np.full(n, len(h) if len(h) < words else words, np.uint64)
