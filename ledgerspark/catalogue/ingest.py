@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import lzma
+import zipfile
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ledgerspark import constants as K
@@ -35,6 +40,55 @@ def _src_csv_compressed(spark, sf_dir):
     return files.typed(parts[0].unionByName(parts[1]))
 
 
+def packed_csv(spark, sf_dir):
+    """Raw rows as files that tasks have packed, ``path, content``: zip files with two members, and xz files."""
+    quoted = [F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit('"'), F.lit('""')) for c in K.REQUIRED_TRAIN_COLUMNS]
+    line = F.concat(F.lit('"'), F.concat_ws('","', *quoted), F.lit('"'))
+    rows = txn_raw(spark, sf_dir).select(line.alias("line"), (F.col(K.ID) % 3).alias("part"))
+    header = ",".join(K.REQUIRED_TRAIN_COLUMNS)
+
+    def pack(frames):
+        for frame in frames:
+            texts = ["\n".join([header, *frame["line"][frame["part"] == i], ""]) for i in range(3)]
+            packed = io.BytesIO()
+            with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
+                archive.writestr("inside/", "")
+                archive.writestr("inside/one.csv", texts[0])
+                archive.writestr("two.csv", texts[1])
+            yield pd.DataFrame({"path": ["a.csv.zip", "b.csv.xz"], "content": [packed.getvalue(), lzma.compress(texts[2].encode())]})
+
+    return rows.mapInPandas(pack, "path string, content binary")
+
+
+@query("src_csv_archived", duck(RAW_SQL, "txn_raw"))
+def _src_csv_archived(spark, sf_dir):
+    return files.typed(files.parse_archives(packed_csv(spark, sf_dir), K.REQUIRED_TRAIN_COLUMNS))
+
+
+@query(
+    "src_csv_quoted_newlines",
+    duck(
+        f"""SELECT transaction_id, replace(description, 'a', concat('a', chr(10))) AS description, amount
+        FROM ({RAW_SQL}) WHERE description IS NOT NULL""",
+        "txn_raw",
+    ),
+)
+def _src_csv_quoted_newlines(spark, sf_dir):
+    path = scratch_path(spark, "csv-breaks")
+    broken = F.replace("description", F.lit("a"), F.lit("a\n"))
+    rows = txn_raw(spark, sf_dir).where("description is not null").withColumn("description", broken)
+    rows.write.options(**WRITE, quoteAll=True).csv(path)
+    return files.read_transactions(spark, path).select(K.ID, "description", "amount")
+
+
+@query("cache_after_partial_load", duck("SELECT count(*) AS n_rows, 3::BIGINT AS n_partial, sum(transaction_id)::BIGINT AS id_sum FROM txn_raw", "txn_raw"))
+def _cache_after_partial_load(spark, sf_dir):
+    source, cached = written_csv(spark, sf_dir), scratch_path(spark, "cache")
+    partial = ingest.load_transactions(spark, source, cache=cached, nrows=3).count()
+    whole = ingest.load_transactions(spark, source, cache=cached)
+    return whole.agg(F.count(F.lit(1)).alias("n_rows"), F.lit(partial).alias("n_partial"), F.sum(K.ID).alias("id_sum"))
+
+
 @query("src_parquet", "SELECT event_id, user_id, event_type, round(value, 6) AS value FROM events")
 def _src_parquet(spark, sf_dir):
     return files.read_transactions(spark, f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type", "value")
@@ -199,7 +253,8 @@ def _dq_fill_report(spark, sf_dir):
 
 SQL_PARSED = """parsed AS (SELECT transaction_id, coalesce(
   try_strptime(date, '%Y-%m-%d'), try_strptime(date, '%m/%d/%Y'), try_strptime(date, '%d/%m/%Y'),
-  try_strptime(date, '%Y/%m/%d')) AS mixed, try_strptime(date, '%Y-%m-%d') AS f1, try_strptime(date, '%m/%d/%Y') AS f2,
+  try_strptime(date, '%Y/%m/%d'), try_strptime(date, '%b %d, %Y'), try_strptime(date, '%d %B %Y'),
+  try_strptime(date, '%m/%d/%Y %H:%M'), try_strptime(date, '%Y-%m-%d %H:%M:%S')) AS mixed, try_strptime(date, '%Y-%m-%d') AS f1, try_strptime(date, '%m/%d/%Y') AS f2,
   try_strptime(date, '%d/%m/%Y') AS f3, try_strptime(date, '%Y/%m/%d') AS f4 FROM txn_raw)"""
 
 

@@ -112,6 +112,12 @@ WEEKDAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday",
 DATE_FORMATS = ["mixed", "yyyy-M-d", "M/d/yyyy", "d/M/yyyy", "yyyy/M/d"]
 DATE_MAX_FAILURE_RATIO = 0.05
 
+# What an amount may look like as text.
+DECIMAL_NUMBER = r"(?i)^\s*[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?|inf|infinity|nan)\s*$"
+
+# Date forms that the mixed parse also takes, with or without a time of day.
+MIXED_DATE_FORMATS = ["MMM d, yyyy", "MMMM d, yyyy", "MMM d yyyy", "MMMM d yyyy", "d MMM yyyy", "d MMMM yyyy", "d-MMM-yyyy", "yyyyMMdd"]
+
 # Texts a CSV reader takes as missing.
 NA_TEXTS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",

@@ -50,11 +50,27 @@ FROM (SELECT *, CASE WHEN transaction_id % 9 = 0 THEN (ci + 1) % 10
             FROM events) a) b
 """
 
+_MONTH = (
+    "CASE month(date) WHEN 1 THEN 'January' WHEN 2 THEN 'February' WHEN 3 THEN 'March' WHEN 4 THEN 'April' WHEN 5 THEN 'May' "
+    "WHEN 6 THEN 'June' WHEN 7 THEN 'July' WHEN 8 THEN 'August' WHEN 9 THEN 'September' WHEN 10 THEN 'October' "
+    "WHEN 11 THEN 'November' ELSE 'December' END"
+)
+
 # Text columns as a raw file would hold them: mixed date formats, bad values, blanks, an unknown label.
 TXN_RAW = """
 SELECT transaction_id,
        CASE WHEN transaction_id % 211 = 0 THEN 'not a date'
             WHEN transaction_id % 307 = 1 THEN NULL
+            WHEN transaction_id % 37 = 5
+              THEN concat(substr(__MONTH__, 1, 3), ' ', CAST(day(date) AS STRING), ', ', CAST(year(date) AS STRING))
+            WHEN transaction_id % 41 = 6 THEN concat(CAST(day(date) AS STRING), ' ', __MONTH__, ' ', CAST(year(date) AS STRING))
+            WHEN transaction_id % 43 = 7
+              THEN concat(lpad(CAST(month(date) AS STRING), 2, '0'), '/', lpad(CAST(day(date) AS STRING), 2, '0'), '/',
+                          CAST(year(date) AS STRING), ' ', lpad(CAST(hour(date) AS STRING), 2, '0'), ':',
+                          lpad(CAST(minute(date) AS STRING), 2, '0'))
+            WHEN transaction_id % 47 = 8
+              THEN concat(CAST(year(date) AS STRING), '-', lpad(CAST(month(date) AS STRING), 2, '0'), '-',
+                          lpad(CAST(day(date) AS STRING), 2, '0'), ' ', lpad(CAST(hour(date) AS STRING), 2, '0'), ':00:07')
             WHEN transaction_id % 3 = 0
               THEN concat(CAST(year(date) AS STRING), '-', lpad(CAST(month(date) AS STRING), 2, '0'), '-',
                           lpad(CAST(day(date) AS STRING), 2, '0'))
@@ -64,12 +80,14 @@ SELECT transaction_id,
             ELSE concat(CAST(year(date) AS STRING), '/', lpad(CAST(month(date) AS STRING), 2, '0'), '/',
                         lpad(CAST(day(date) AS STRING), 2, '0')) END AS date,
        CASE WHEN transaction_id % 19 = 4 AND description IS NOT NULL THEN concat('  ', description, ' ') ELSE description END AS description,
-       CASE WHEN transaction_id % 53 = 0 THEN 'n/a' ELSE CAST(amount AS STRING) END AS amount,
+       CASE WHEN transaction_id % 53 = 0 THEN 'n/a' WHEN transaction_id % 59 = 3 THEN '12f'
+            WHEN transaction_id % 61 = 5 THEN '0x1p3' WHEN transaction_id % 67 = 2 THEN '1d'
+            WHEN transaction_id % 71 = 4 THEN '12.5.1' ELSE CAST(amount AS STRING) END AS amount,
        day_of_week,
        CASE WHEN transaction_id % 101 = 7 THEN 'Crypto' WHEN transaction_id % 103 = 9 THEN NULL
             ELSE category END AS category
 FROM txn
-"""
+""".replace("__MONTH__", _MONTH)
 
 _PROBS = """
 SELECT transaction_id, k, w * 1e0 / sum(w) OVER (PARTITION BY transaction_id) AS p

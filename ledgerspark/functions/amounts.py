@@ -8,9 +8,14 @@ from ledgerspark import constants as K
 
 
 def number(column: str = "amount") -> Column:
-    """The column as a double; text that is no number, and NaN, become null."""
-    value = F.col(column).try_cast("double")
-    return F.nanvl(value, F.lit(None).cast("double"))
+    """The column as a double; text that is no decimal number, and NaN, become null.
+
+    A cast alone would also take literals of the JVM, such as ``1d`` or ``0x1p3``.  For a column that is no text the
+    guard folds away when the query is planned.
+    """
+    value = F.col(column)
+    plain = (F.typeof(value) != "string") | value.cast("string").rlike(K.DECIMAL_NUMBER)
+    return F.nanvl(F.when(plain, value.try_cast("double")), F.lit(None).cast("double"))
 
 
 def rounded(value: Column, digits: int) -> Column:

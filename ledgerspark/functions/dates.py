@@ -8,11 +8,36 @@ from pyspark.sql.types import DateType, StringType, TimestampNTZType
 from ledgerspark import constants as K
 
 
+#: A date, then a time of day with or without seconds and half of the day.
+DATE_AND_TIME = r"^\s*(.*?\S)[ T]+(\d{1,2}):(\d{2})(?::(\d{2}(?:\.\d{1,6})?))?\s*([AaPp])?\.?(?:[Mm]\.?)?\s*$"
+
+
+def _date_of(text: Column) -> Column:
+    """Text without a time as a date, by the fixed formats in order, then by those with month names."""
+    named = F.initcap(F.lower(F.trim(text)))
+    fixed = [F.try_to_date(text, f) for f in K.DATE_FORMATS if f != "mixed"]
+    return F.coalesce(*fixed, *[F.try_to_date(named, f) for f in K.MIXED_DATE_FORMATS])
+
+
+def _date_and_time(text: Column) -> Column:
+    def part(i: int) -> Column:
+        return F.regexp_extract(text, DATE_AND_TIME, i)
+
+    hour, half = part(2).try_cast("int"), F.lower(part(5))
+    hour = F.when((half == "p") & (hour < 12), hour + 12).when((half == "a") & (hour == 12), 0).otherwise(hour)
+    minute, second = part(3).try_cast("int"), F.coalesce(part(4).try_cast("decimal(8,6)"), F.lit(0).cast("decimal(8,6)"))
+    valid = (hour < 24) & (minute < 60) & (second < 60)
+    return F.when(valid, _date_of(part(1)).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), hour, minute, second))
+
+
 def parse_with(column: Column, fmt: str) -> Column:
-    """Parse text with one format of ``DATE_FORMATS``; null where it does not fit."""
+    """Parse text with one format of ``DATE_FORMATS``; null where it does not fit.
+
+    ``mixed`` takes ISO timestamps, the fixed formats in order and dates with month names, each with or without a
+    time of day, which is kept.
+    """
     if fmt == "mixed":
-        fixed = [parse_with(column, f) for f in K.DATE_FORMATS if f != "mixed"]
-        return F.coalesce(column.try_cast("timestamp_ntz"), *fixed)
+        return F.coalesce(column.try_cast("timestamp_ntz"), _date_of(column).cast("timestamp_ntz"), _date_and_time(column))
     return F.try_to_date(column, fmt).cast("timestamp_ntz")
 
 

@@ -26,6 +26,15 @@ def require_valid(df: DataFrame, is_train: bool = True) -> DataFrame:
     return df
 
 
+def require_unique_ids(df: DataFrame) -> DataFrame:
+    """Raise when an id is missing or stands on several rows; otherwise pass the table on."""
+    if K.ID in df.columns:
+        bad = df.groupBy(K.ID).agg(F.count(F.lit(1)).alias("n")).where(F.col(K.ID).isNull() | (F.col("n") > 1)).first()
+        if bad is not None:
+            raise ValueError(f"{K.ID} {bad[K.ID]} stands on {bad['n']} rows; ids must be present and unique")
+    return df
+
+
 def coerce_amount(df: DataFrame, column: str = "amount") -> DataFrame:
     return df.withColumn(column, amounts.number(column))
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerspark import constants as K
 from ledgerspark.operators import quality, sampling
 from ledgerspark.sources.cache import cached_table
 from ledgerspark.sources.files import read_transactions
+from ledgerspark.storage import materialize
 
 
 def repair(df: DataFrame, is_train: bool = True, compat: bool = False) -> DataFrame:
@@ -24,13 +27,24 @@ def load_transactions(
     force_reload: bool = False,
     nrows: int | None = None,
 ) -> DataFrame:
-    """A repaired transaction table from a file or folder, cached next to it if asked."""
+    """A repaired transaction table from a file or folder, cached next to it if asked.
+
+    Text files are read once: their typed rows are written, and validation and repair work on these.  The cache always
+    holds the whole table; ``nrows`` cuts what is returned.
+    """
     columns = K.REQUIRED_TRAIN_COLUMNS if is_train else K.REQUIRED_COLUMNS
 
-    def build() -> DataFrame:
-        return repair(read_transactions(spark, path, nrows, columns), is_train)
+    def build(limit: int | None = None) -> DataFrame:
+        raw = read_transactions(spark, path, limit, columns)
+        if not path.rstrip("/").lower().endswith((".parquet", ".pq")):
+            raw = materialize(raw, "typed")
+        return repair(quality.require_unique_ids(raw), is_train)
 
-    return build() if cache is None else cached_table(spark, path, cache, build, force_reload)
+    if cache is None:
+        return build(nrows)
+    identity = json.dumps({"is_train": is_train, "columns": columns})
+    table = cached_table(spark, path, cache, build, force_reload, identity)
+    return table if nrows is None else table.limit(nrows)
 
 
 def load_report(raw: DataFrame, is_train: bool = True) -> dict[str, DataFrame]:

@@ -161,3 +161,85 @@ def test_align_columns(make):
     test = train.drop("category").withColumn("extra", F.lit(1))
     left, right = quality.align_columns(train, test)
     assert left.columns == train.columns and right.columns == train.drop("category").columns
+
+
+def test_all_members_of_a_zip_file_are_read(spark, tmp_path, monkeypatch):
+    with zipfile.ZipFile(tmp_path / "train.csv.zip", "w") as archive:
+        archive.writestr("a/", "")
+        archive.writestr("a/one.csv", text(LINES[:2]))
+        archive.writestr("empty.csv", "")
+        archive.writestr("two.csv", text(LINES[2:]))
+    check_raw(files.read_transactions(spark, str(tmp_path / "train.csv.zip")))
+    monkeypatch.setattr(files, "STREAM_BYTES", 1)  # every file is streamed by its path
+    check_raw(files.read_transactions(spark, str(tmp_path / "train.csv.zip")))
+
+
+def test_large_files_are_hashed_by_path(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    (tmp_path / "a.csv").write_text(text())
+    monkeypatch.setattr(files, "STREAM_BYTES", 10)
+    assert cache.file_hashes(spark, str(tmp_path)).first()["md5"] == hashlib.md5(text().encode()).hexdigest()
+
+
+def test_line_breaks_inside_quotes(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(HEADER + '1,2024-01-05,"two\nlines, ""quoted""",12.50,Friday,Groceries\n')
+    (tmp_path / "b.csv").write_text(text(LINES[1:]))
+    rows = as_rows(files.read_transactions(spark, str(tmp_path)))
+    assert len(rows) == 4 and rows[1]["description"] == 'two\nlines, "quoted"' and rows[1]["amount"] == 12.5
+    assert files.read_transactions(spark, str(tmp_path), nrows=2).count() == 2
+
+
+def test_a_partial_load_leaves_the_cache_whole(spark, tmp_path):
+    source, cached = str(tmp_path / "train.csv"), str(tmp_path / "cache")
+    with open(source, "w") as out:
+        out.write(text())
+    assert ingest.load_transactions(spark, source, cache=cached, nrows=3).count() == 3
+    assert ingest.load_transactions(spark, source, cache=cached).count() == 4
+    assert ingest.load_transactions(spark, source, cache=cached, nrows=1).count() == 1
+
+
+def test_a_cache_counts_only_when_complete_and_of_its_kind(spark, tmp_path):
+    source, cached = str(tmp_path / "train.csv"), str(tmp_path / "cache")
+    with open(source, "w") as out:
+        out.write(text())
+    ingest.load_transactions(spark, source, cache=cached)
+    test = ingest.load_transactions(spark, source, is_train=False, cache=cached)
+    assert test.count() == 4 and not cache.is_cache_valid(spark, cached, source, "something else")
+    os.remove(tmp_path / "cache" / "_SUCCESS")
+    assert not cache.is_cache_valid(spark, cached, source)
+    assert not [p for p in os.listdir(tmp_path) if "writing" in p]
+
+
+def test_repeated_ids_are_refused(spark, tmp_path):
+    path = str(tmp_path / "train.csv")
+    with open(path, "w") as out:
+        out.write(text([*LINES, LINES[0]]))
+    with pytest.raises(ValueError, match="transaction_id 1"):
+        ingest.load_transactions(spark, path)
+
+
+def test_only_decimal_numbers_are_amounts(spark):
+    from ledgerspark.functions import amounts
+
+    texts = ["1d", "12f", "0x1p3", "1_0", "", "-", ".", "e5", "1e", "1.5", " 2 ", "+3.", ".5", "1E3", "-inf", "Infinity", "nan", None]
+    got = spark.createDataFrame([(t,) for t in texts], "amount string").select(amounts.number()).collect()
+    assert [r[0] for r in got] == [None] * 9 + [1.5, 2.0, 3.0, 0.5, 1000.0, float("-inf"), float("inf"), None, None]
+    assert spark.createDataFrame([(1.5,), (None,)], "amount double").select(amounts.number()).collect() == [(1.5,), (None,)]
+
+
+def test_mixed_dates_with_names_and_times(spark):
+    from datetime import datetime
+
+    wanted = {
+        "01/05/2024 10:30": (1, 5, 10, 30, 0), "Jan 5, 2024": (1, 5, 0, 0, 0), "5 January 2024": (1, 5, 0, 0, 0),
+        "13/02/2024 23:59:58": (2, 13, 23, 59, 58), "JAN 5, 2024 1:05 pm": (1, 5, 13, 5, 0), "1/5/2024 12:00 AM": (1, 5, 0, 0, 0),
+        "2024/3/4 7:08": (3, 4, 7, 8, 0), "2024-05-06T07:08:09": (5, 6, 7, 8, 9), "5-Jan-2024": (1, 5, 0, 0, 0),
+    }
+    table = dates_table(spark, [*wanted, "25:00", "Foo 5, 2024", "1/5/2024 25:00", None])
+    got = [r["date"] for r in quality.parse_dates(table.where("transaction_id < 9")).orderBy("transaction_id").collect()]
+    assert got == [datetime(2024, *w) for w in wanted.values()]
+    from ledgerspark.functions import dates
+
+    rest = table.where("transaction_id >= 9").select(dates.parse_with(F.col("date"), "mixed"))
+    assert [r[0] for r in rest.collect()] == [None] * 4
