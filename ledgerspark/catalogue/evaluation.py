@@ -431,7 +431,7 @@ def _tune_thresholds_grid(spark, sf_dir):
 
 @query("tune_thresholds")
 def _tune_thresholds(spark, sf_dir):
-    weights, steps = thresholds.tune_weights(_indexed(spark, sf_dir), len(K.CATEGORIES), GRID, max_steps=10)
+    weights, steps = thresholds.tune_weights(_indexed(spark, sf_dir), len(K.CATEGORIES), GRID)
     rows = [
         F.struct(F.lit(label).alias("label"), F.lit(w).alias("multiplier")) for label, w in zip(K.CATEGORIES, weights)
     ]

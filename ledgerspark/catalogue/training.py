@@ -29,12 +29,15 @@ terms AS (SELECT id, substring(w, CAST(pos AS INT), CAST(n AS INT)) AS term FROM
 SQL_WORD_TERMS = r"""lists AS (SELECT id, regexp_extract_all(t, '[\p{L}\p{N}_]{2,}') AS ws FROM texts),
 terms AS (SELECT id, unnest(ws) AS term FROM lists UNION ALL
   SELECT id, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM lists WHERE len(ws) > 1)"""
-SQL_TFIDF = """tf AS (SELECT id, term, count(*) AS tf FROM terms GROUP BY 1, 2),
+_SQL_TFIDF = """tf AS (SELECT id, term, count(*) AS tf FROM terms GROUP BY 1, 2),
 vocab AS (SELECT term, sum(tf) AS n_uses, count(*) AS n_texts,
   ln((1e0 + (SELECT count(*) FROM texts)) / (1e0 + count(*))) + 1 AS idf
-  FROM tf GROUP BY 1 ORDER BY n_uses DESC, term LIMIT 50000),
+  FROM tf GROUP BY 1 {limit}),
 w AS (SELECT id, term, (1 + ln(tf)) * idf AS w FROM tf JOIN vocab USING (term)),
 norms AS (SELECT id, sqrt(sum(w * w)) AS norm FROM w GROUP BY id)"""
+SQL_CHAR_TFIDF = _SQL_TFIDF.replace("{limit}", "ORDER BY n_uses DESC, term LIMIT 50000")
+SQL_WORD_TFIDF = _SQL_TFIDF.replace("{limit}", "")
+SQL_WEIGHTS = "SELECT id, term, round(w / norm, 6) AS weight FROM w JOIN norms USING (id)"
 SQL_BY_TERM = """SELECT term, CAST(any_value(n_uses) AS BIGINT) AS n_uses, any_value(n_texts) AS n_texts,
   round(any_value(idf), 6) AS idf, round(sum(w / norm), 4) AS total_weight
   FROM w JOIN norms USING (id) JOIN vocab USING (term) GROUP BY term"""
@@ -50,12 +53,12 @@ def _by_term(df, kind, id_column, column):
 SQL_TXN_TEXTS = "texts AS (SELECT transaction_id AS id, lower(coalesce(description, '')) AS t FROM txn)"
 
 
-@query("tfidf_char", duck(f"WITH {SQL_TXN_TEXTS}, {SQL_CHAR_TERMS}, {SQL_TFIDF} {SQL_BY_TERM}"))
+@query("tfidf_char", duck(f"WITH {SQL_TXN_TEXTS}, {SQL_CHAR_TERMS}, {SQL_CHAR_TFIDF} {SQL_BY_TERM}"))
 def _tfidf_char(spark, sf_dir):
     return _by_term(txn(spark, sf_dir), textvec.CHAR, K.ID, "description")
 
 
-@query("tfidf_word", duck(f"WITH {SQL_TXN_TEXTS}, {SQL_WORD_TERMS}, {SQL_TFIDF} {SQL_BY_TERM}"))
+@query("tfidf_word", duck(f"WITH {SQL_TXN_TEXTS}, {SQL_WORD_TERMS}, {SQL_WORD_TFIDF} {SQL_BY_TERM}"))
 def _tfidf_word(spark, sf_dir):
     return _by_term(txn(spark, sf_dir), textvec.WORD, K.ID, "description")
 
@@ -63,16 +66,37 @@ def _tfidf_word(spark, sf_dir):
 SQL_DOC_TEXTS = "texts AS (SELECT doc_id AS id, lower(coalesce(text, '')) AS t FROM documents)"
 
 
-@query("tfidf_char_documents", f"WITH {SQL_DOC_TEXTS}, {SQL_CHAR_TERMS}, {SQL_TFIDF} {SQL_BY_TERM}")
+@query("tfidf_char_documents", f"WITH {SQL_DOC_TEXTS}, {SQL_CHAR_TERMS}, {SQL_CHAR_TFIDF} {SQL_BY_TERM}")
 def _tfidf_char_documents(spark, sf_dir):
     return _by_term(spark.read.parquet(f"{sf_dir}/documents.parquet"), textvec.CHAR, "doc_id", "text")
 
 
-@query("tfidf_word_documents", f"WITH {SQL_DOC_TEXTS}, {SQL_WORD_TERMS}, {SQL_TFIDF} {SQL_BY_TERM}")
+@query("tfidf_word_documents", f"WITH {SQL_DOC_TEXTS}, {SQL_WORD_TERMS}, {SQL_WORD_TFIDF} {SQL_BY_TERM}")
 def _tfidf_word_documents(spark, sf_dir):
     return _by_term(spark.read.parquet(f"{sf_dir}/documents.parquet"), textvec.WORD, "doc_id", "text")
 
 
+def _weights(df, kind, id_column, column):
+    vocabulary = textvec.fit_vocabulary(df, kind, id_column, column)
+    weights = textvec.tfidf_long(df, vocabulary, kind, id_column, column)
+    return weights.join(vocabulary.select("index", "term"), "index").select(F.col(id_column).alias("id"), "term", "weight")
+
+
+@query("tfidf_char_weights", duck(f"WITH {SQL_TXN_TEXTS}, {SQL_CHAR_TERMS}, {SQL_CHAR_TFIDF} {SQL_WEIGHTS}"))
+def _tfidf_char_weights(spark, sf_dir):
+    return _weights(txn(spark, sf_dir), textvec.CHAR, K.ID, "description")
+
+
+@query("tfidf_word_weights", duck(f"WITH {SQL_TXN_TEXTS}, {SQL_WORD_TERMS}, {SQL_WORD_TFIDF} {SQL_WEIGHTS}"))
+def _tfidf_word_weights(spark, sf_dir):
+    return _weights(txn(spark, sf_dir), textvec.WORD, K.ID, "description")
+
+
+@query("tfidf_word_documents_weights", f"WITH {SQL_DOC_TEXTS}, {SQL_WORD_TERMS}, {SQL_WORD_TFIDF} {SQL_WEIGHTS}")
+def _tfidf_word_documents_weights(spark, sf_dir):
+    return _weights(spark.read.parquet(f"{sf_dir}/documents.parquet"), textvec.WORD, "doc_id", "text")
+
+
 @query("text_svd")
 def _text_svd(spark, sf_dir):
     rows = txn(spark, sf_dir)

@@ -15,7 +15,11 @@ MAX_CLASSES = 1_000
 
 
 def class_labels(df: DataFrame, *columns: str) -> list[str]:
-    """Sorted distinct labels found in ``columns``.  A class list is small; anything else is an error."""
+    """Sorted distinct labels found in ``columns``, as the classes of a classifier.
+
+    A classifier has a probability per class and row, so a column with more labels is an error here; ``with_class_codes``
+    has no such bound.
+    """
     found = df.select(F.explode(F.array(*[F.col(c) for c in columns])).alias("label"))
     labels = [r[0] for r in found.where("label is not null").distinct().limit(MAX_CLASSES + 1).collect()]
     if len(labels) > MAX_CLASSES:
@@ -36,7 +40,12 @@ def label_at(index: Column, labels: list[str]) -> Column:
 
 
 def with_class_codes(df: DataFrame, target: str = K.TARGET, out: str = "category_code") -> DataFrame:
-    return df.withColumn(out, code_of(F.col(target), class_labels(df, target)))
+    """Add the rank of the label among the sorted labels; -1 for null.  Labels may be any number."""
+    present = df.where(F.col(target).isNotNull())
+    sizes = materialize(present.groupBy(target).agg(F.count(F.lit(1)).alias("__n")), "labels")
+    ranked = with_label_rank(sizes, [target], "__code").join(sizes, target)
+    joined = lookup(df, materialize(ranked, "codes"), [target], ["__code"], spread_by=K.ID, weight="__n")
+    return joined.withColumn(out, F.coalesce("__code", F.lit(-1)).cast("int")).drop("__code")
 
 
 def label_text(column: str) -> Column:
@@ -71,7 +80,7 @@ def apply_label_codes(
     for column in columns or [c for c in K.CATEGORICAL_FEATURES if c in df.columns]:
         rows = rows.withColumn("__label", label_text(column))
         table = codes.where(F.col("column_name") == column).select(F.col("label").alias("__label"), "code", "n")
-        rows = lookup(rows, table, ["__label"], ["code"], spread_by=K.ID, weight="n")
+        rows = lookup(rows, table, ["__label"], ["code"], spread_by=K.ID, weight="n", count_keys=True)
         rows = rows.withColumn(prefix + column, F.coalesce(F.col("code"), F.lit(-1)).cast("double"))
         rows = rows.drop("code", "__label")
     return rows
@@ -129,7 +138,7 @@ def apply_target_encoding(df: DataFrame, stats: EncodingStats | None, out: str =
     rows = with_merchant(df)
     if stats is None:
         return rows.withColumn(out, F.lit(0.0))
-    joined = lookup(rows, stats.stores, ["store_name"], ["mean"], spread_by=K.ID, weight="n")
+    joined = lookup(rows, stats.stores, ["store_name"], ["mean"], spread_by=K.ID, weight="n", count_keys=True)
     return joined.withColumn(out, F.coalesce("mean", F.lit(stats.global_mean))).drop("mean")
 
 

@@ -15,7 +15,8 @@ from ledgerspark.storage import lookup, materialize
 
 ROWS_PER_RANGE = 100_000
 SMALL_RANGE = 10_000
-MAX_RANGES = 20_000
+#: Cut points that the driver holds; from 2e10 rows on, ranges grow instead (10^12 rows: 5 million rows each).
+MAX_RANGES = 200_000
 CUT_SAMPLE = 200  # sampled keys per range
 RANGE = "__range"
 

@@ -1,8 +1,8 @@
 """TF-IDF over character n-grams or words, and its truncated SVD.
 
-Texts are shuffled once, as they are, by their id; counting terms per text then needs no further shuffle.
-The vocabulary is a small written table, and a second pass over the texts joins against it, so the full
-table of terms per text is never stored.
+Equal texts are merged first and carry their number of rows, so repeated descriptions are cut into terms once.  The
+vocabulary is a written table, broadcast only when its size allows, and a second pass over the distinct texts joins
+against it, so the full table of terms per text is never stored.
 """
 
 from __future__ import annotations
@@ -11,13 +11,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerspark import constants as K
 from ledgerspark.functions import text
-from ledgerspark.storage import materialize
+from ledgerspark.operators.ordering import with_label_rank
+from ledgerspark.storage import fits_broadcast, materialize
 
 CHAR, WORD = "char", "word"
+BLOCK_TERMS = 4_096
+SUM_GROUPS = 128
 
 
 def padded_word(word: Column) -> Column:
@@ -49,32 +53,47 @@ def word_grams(words: Column, low: int = K.WORD_NGRAMS[0], high: int = K.WORD_NG
     return F.concat(*[runs(n) for n in range(low, high + 1)])
 
 
-def term_uses(df: DataFrame, kind: str, id_column: str, column: str) -> DataFrame:
-    """``(id, term, n)``: the terms of every text, all rows of a text in one partition.
+def distinct_texts(df: DataFrame, id_column: str, column: str) -> tuple[DataFrame, DataFrame]:
+    """Written tables of the ids with their text's key, and of the texts with ``n_rows``: equal texts are worked on once."""
+    rows = df.select(F.col(id_column).alias("id"), F.lower(text.description(column)).alias("t"))
+    keyed = rows.withColumn("key", F.sha2(F.col("t").cast("binary"), 256))
+    ids = keyed.select("id", "key")
+    texts = keyed.groupBy("key").agg(F.first("t").alias("t"), F.count(F.lit(1)).alias("n_rows"))
+    return ids, materialize(texts, "texts")
+
+
+def term_uses(texts: DataFrame, kind: str) -> DataFrame:
+    """``(key, n_rows, term, n)``: the terms of every distinct text.
 
     A character gram comes once per distinct word of the text, with the uses of that word.
     """
-    texts = df.select(F.col(id_column).alias("id"), F.lower(text.description(column)).alias("t")).repartition("id")
     if kind == CHAR:
-        words = texts.select("id", F.explode(F.regexp_extract_all("t", F.lit(rf"[{K.NON_SPACE}]+"), F.lit(0))).alias("word"))
-        counted = words.groupBy("id", "word").agg(F.count(F.lit(1)).alias("n"))
-        padded = counted.select("id", padded_word(F.col("word")).alias("padded"), "n")
-        return padded.select("id", F.explode(char_grams(F.col("padded"))).alias("term"), "n")
-    words = texts.select("id", text.tokens(F.col("t")).alias("words"))
-    return words.select("id", F.explode(word_grams(F.col("words"))).alias("term"), F.lit(1).alias("n"))
+        found = F.regexp_extract_all("t", F.lit(rf"[{K.NON_SPACE}]+"), F.lit(0))
+        words = texts.select("key", "n_rows", F.explode(found).alias("word"))
+        counted = words.groupBy("key", "n_rows", "word").agg(F.count(F.lit(1)).alias("n"))
+        padded = counted.select("key", "n_rows", padded_word(F.col("word")).alias("padded"), "n")
+        return padded.select("key", "n_rows", F.explode(char_grams(F.col("padded"))).alias("term"), "n")
+    words = texts.select("key", "n_rows", text.tokens(F.col("t")).alias("words"))
+    return words.select("key", "n_rows", F.explode(word_grams(F.col("words"))).alias("term"), F.lit(1).alias("n"))
 
 
 def fit_vocabulary(
-    df: DataFrame, kind: str, id_column: str = K.ID, column: str = "description", max_terms: int = K.MAX_TERMS
+    df: DataFrame, kind: str, id_column: str = K.ID, column: str = "description", max_terms: int | None | str = "default"
 ) -> DataFrame:
-    """The ``max_terms`` most used terms (ties by term) with position, text frequency and smooth idf."""
-    n_texts = df.count()
-    per_text = term_uses(df, kind, id_column, column).groupBy("id", "term").agg(F.sum("n").alias("tf"))
-    stats = per_text.groupBy("term").agg(F.sum("tf").alias("n_uses"), F.count(F.lit(1)).alias("n_texts"))
-    kept = stats.orderBy(F.desc("n_uses"), "term").limit(max_terms)
-    position = (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("term")) - 1).cast("int")
+    """The ``max_terms`` most used terms (ties by term) with position, text frequency and smooth idf.
+
+    None keeps all terms; so does the default for words, while character n-grams have a bound.
+    """
+    if max_terms == "default":
+        max_terms = K.MAX_TERMS if kind == CHAR else None
+    _, texts = distinct_texts(df, id_column, column)
+    n_texts = texts.agg(F.sum("n_rows")).first()[0] or 0
+    per_text = term_uses(texts, kind).groupBy("key", "n_rows", "term").agg(F.sum("n").alias("tf"))
+    stats = per_text.groupBy("term").agg(F.sum(F.col("tf") * F.col("n_rows")).alias("n_uses"), F.sum("n_rows").alias("n_texts"))
+    kept = materialize(stats if max_terms is None else stats.orderBy(F.desc("n_uses"), "term").limit(max_terms), "terms")
     idf = F.log((F.lit(n_texts) + 1.0) / (F.col("n_texts") + 1.0)) + 1.0
-    return materialize(kept.select("term", position.alias("index"), "n_uses", "n_texts", idf.alias("idf")), "vocabulary")
+    placed = with_label_rank(kept, ["term"], "index").join(kept, "term")
+    return materialize(placed.select("term", F.col("index").cast("int"), "n_uses", "n_texts", idf.alias("idf")), "vocabulary")
 
 
 def tfidf_long(
@@ -84,12 +103,17 @@ def tfidf_long(
 
     Terms outside the vocabulary go before anything is counted.  A text without known terms has no row.
     """
-    known = F.broadcast(vocabulary.select("term", "index", "idf"))  # at most ``max_terms`` rows
-    uses = term_uses(df, kind, id_column, column).join(known, "term")
-    counts = uses.groupBy("id", "index", "idf").agg(F.sum("n").alias("tf"))
-    weighted = counts.select("id", "index", ((F.lit(1.0) + F.log("tf")) * F.col("idf")).alias("weight"))
-    norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("id")))
-    return weighted.select(F.col("id").alias(id_column), "index", (F.col("weight") / norm).alias("weight"))
+    ids, texts = distinct_texts(df, id_column, column)
+    known = vocabulary.select("term", "index", "idf")
+    if fits_broadcast(known, known.count()):
+        known = F.broadcast(known)
+    uses = term_uses(texts, kind).join(known, "term")
+    counts = uses.groupBy("key", "index", "idf").agg(F.sum("n").alias("tf"))
+    weighted = counts.select("key", "index", ((F.lit(1.0) + F.log("tf")) * F.col("idf")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("key")))
+    per_text = weighted.select("key", "index", (F.col("weight") / norm).alias("weight"))
+    entries = materialize(per_text.groupBy("key").agg(F.collect_list(F.struct("index", "weight")).alias("entries")), "weights")
+    return ids.join(entries, "key").select(F.col("id").alias(id_column), F.inline("entries"))
 
 
 def tfidf(
@@ -126,29 +150,67 @@ def text_vectors(
     return materialize(joined, "vectors"), offset
 
 
+def _flat(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All entries of a batch of sparse rows: row starts, indices, weights.  Rows without entries are left out."""
+    kept = batch[batch["indices"].map(len) > 0]
+    if kept.empty:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    sizes = kept["indices"].map(len).to_numpy()
+    return np.cumsum(sizes) - sizes, np.concatenate(kept["indices"].to_numpy()).astype(np.int64), np.concatenate(kept["weights"].to_numpy())
+
+
+def _images(starts: np.ndarray, indices: np.ndarray, weights: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Rows times ``q``, by segmented sums over a batch's entries."""
+    return np.add.reduceat(q[indices] * weights[:, None], starts, axis=0)
+
+
 def _partial_sums(vectors: DataFrame, basis: np.ndarray, gram: bool) -> np.ndarray:
     """Sum over all texts of ``a (a·Q)`` (terms × l), or of ``(a·Q)(a·Q)`` (l × l) if ``gram``.
 
-    Every task adds up its texts and hands on one matrix; the matrices are added in a tree.
+    Every task adds up its texts and hands on its matrix in blocks of ``BLOCK_TERMS`` rows, without the blocks that it
+    has not touched.  Blocks are summed by a shuffle, so the driver receives one matrix.
     """
-    shared = vectors.sparkSession.sparkContext.broadcast(basis)
+    spark = vectors.sparkSession
+    shared = spark.sparkContext.broadcast(basis)
     shape = (basis.shape[1] if gram else basis.shape[0], basis.shape[1])
 
     def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         q, total = shared.value, np.zeros(shape)
         for batch in batches:
-            for indices, weights in zip(batch["indices"], batch["weights"]):
-                image = weights @ q[indices]
-                if gram:
-                    total += np.outer(image, image)
-                else:
-                    total[indices] += np.outer(weights, image)
-        yield pd.DataFrame({"total": [total.tobytes()]})
-
-    parts = vectors.select("indices", "weights").mapInPandas(add_up, "total binary").rdd
-    summed = parts.map(lambda r: np.frombuffer(r[0]).reshape(shape)).treeReduce(np.add)
+            starts, indices, weights = _flat(batch)
+            if not len(starts):
+                continue
+            image = _images(starts, indices, weights, q)
+            if gram:
+                total += image.T @ image
+            else:
+                rows = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(indices))))
+                order = np.argsort(indices, kind="stable")
+                terms, first = np.unique(indices[order], return_index=True)
+                total[terms] += np.add.reduceat(image[rows[order]] * weights[order][:, None], first, axis=0)
+        for block in range(0, shape[0], BLOCK_TERMS):
+            part = total[block : block + BLOCK_TERMS]
+            if part.any():
+                yield pd.DataFrame({"block": [block], "part": [part.tobytes()]})
+
+    def sum_blocks(group: pa.Table) -> pa.Table:
+        out = None
+        for raw in group.column("part"):
+            part = np.frombuffer(raw.as_py())
+            out = part.copy() if out is None else out + part
+        return pa.table({"block": group.column("block")[:1], "part": pa.array([out.tobytes()], pa.binary())})
+
+    parts = vectors.select("indices", "weights").mapInPandas(add_up, "block int, part binary")
+    # First within groups of about a hundred tasks, then over the groups, so that no task holds all parts of a block.
+    parts = parts.select("block", "part", F.pmod(F.spark_partition_id(), F.lit(SUM_GROUPS)).alias("turn"))
+    once = parts.groupBy("block", "turn").applyInArrow(sum_blocks, "block int, part binary")
+    summed = once.groupBy("block").applyInArrow(sum_blocks, "block int, part binary")
+    result = np.zeros(shape)
+    for row in summed.toLocalIterator():
+        part = np.frombuffer(bytes(row["part"])).reshape(-1, shape[1])
+        result[row["block"] : row["block"] + len(part)] = part
     shared.unpersist()
-    return summed
+    return result
 
 
 def fit_svd(
@@ -176,7 +238,12 @@ def project(vectors: DataFrame, basis: np.ndarray, id_column: str = K.ID, out: s
     def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         v = shared.value
         for indices, weights in batches:
-            yield pd.Series([np.asarray(w) @ v[np.asarray(i, dtype=int)] for i, w in zip(indices, weights)])
+            batch = pd.DataFrame({"indices": indices, "weights": weights})
+            image = np.zeros((len(batch), v.shape[1]))
+            starts, flat, values = _flat(batch)
+            if len(starts):
+                image[(indices.map(len) > 0).to_numpy()] = _images(starts, flat, values, v)
+            yield pd.Series(list(image))
 
     apply = F.pandas_udf(score, "array<double>")
     return vectors.select(id_column, apply("indices", "weights").alias(out))

@@ -4,8 +4,8 @@ Two things every operator with a "group statistic back onto the rows" shape need
 
 * ``materialize`` writes a small-to-medium aggregate once, to the folder that all executors share,
   so that it is not recomputed for every use and survives lost executors.
-* ``lookup`` joins such an aggregate back.  It is broadcast only when its counted rows are within a
-  bound.  Beyond the bound, keys that own a large share of the rows (few, by definition) are broadcast
+* ``lookup`` joins such an aggregate back.  It is broadcast only when its counted rows and its bytes are within
+  bounds.  Beyond the bound, keys that own a large share of the rows (few, by definition) are broadcast
   and everything else goes through one shuffle join in which no key is hot.
 """
 
@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 BROADCAST_ROWS_CONF = "spark.ledger.broadcastRows"
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES_CONF = "spark.ledger.broadcastBytes"
+BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_KEYS = 2_000
 SALTS = 256
 
@@ -29,6 +31,15 @@ def broadcast_limit(spark: SparkSession) -> int:
     return int(spark.conf.get(BROADCAST_ROWS_CONF, str(BROADCAST_ROWS)))
 
 
+def fits_broadcast(table: DataFrame, rows: int) -> bool:
+    """Whether a written table is small in rows and in bytes on disk."""
+    spark = table.sparkSession
+    if rows > broadcast_limit(spark):
+        return False
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size <= int(spark.conf.get(BROADCAST_BYTES_CONF, str(BROADCAST_BYTES)))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a local one only for a local session without it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -78,12 +89,14 @@ def lookup(
     values: list[str],
     spread_by: str | None = None,
     weight: str | None = None,
+    count_keys: bool = False,
 ) -> DataFrame:
     """Left join ``values`` of a written ``table`` with unique, possibly null ``keys`` onto ``rows``.
 
     ``weight`` names the column of ``table`` that says how many rows carry the key; with it and a
     ``spread_by`` column of ``rows``, hot keys are split off when the table is too large to broadcast.
-    Without them the caller vouches that no key can be hot.
+    With ``count_keys`` hot keys are counted on ``rows`` instead, for tables fitted on other rows, where a key may be
+    new and frequent.  Without either the caller vouches that no key can be hot.
     """
     known = table if isinstance(table, Sized) else sized(table, weight)
     names = {k: f"__key_{i}" for i, k in enumerate(keys)}
@@ -94,11 +107,24 @@ def lookup(
     def matches(left: DataFrame, suffix: str = "") -> Column:
         return reduce(and_, [left[k].eqNullSafe(F.col(n + suffix)) for k, n in names.items()])
 
-    if known.rows <= broadcast_limit(rows.sparkSession):
+    if fits_broadcast(known.table, known.rows):
         return rows.join(F.broadcast(side), matches(rows), "left").select(*columns, *values)
     if weight is None or spread_by is None:
         return rows.join(side, matches(rows), "left").select(*columns, *values)
 
+    if count_keys:
+        counted = materialize(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")), "key-counts")
+        total = counted.agg(F.sum("__rows")).first()[0] or 0
+        frequent = counted.where(F.col("__rows") * F.lit(HOT_KEYS) > F.lit(total))
+        on = reduce(and_, [F.col(n).eqNullSafe(F.col(k)) for k, n in names.items()])
+        # Frequent keys without an entry are hot as well; their weight stands for the rows being joined.
+        present = side.drop(weight).join(F.broadcast(frequent), on, "left").drop(*keys)
+        absent = frequent.join(side.drop(weight), on, "left_anti").select(
+            *[F.col(k).alias(n) for k, n in names.items()], *[F.lit(None).cast(side.schema[v].dataType).alias(v) for v in values], "__rows"
+        )
+        side = present.unionByName(absent).withColumn(weight, F.coalesce("__rows", F.lit(0))).drop("__rows")
+        side, known = materialize(side, "keys"), Sized(known.table, known.rows, total)
+
     # At most HOT_KEYS keys can each own more than 1/HOT_KEYS of all rows.
     is_hot = F.col(weight) * F.lit(HOT_KEYS) > F.lit(known.weight)
     hot = side.where(is_hot).select(
