@@ -49,11 +49,22 @@ def brute(rows):
             gone |= set(left)
         return out - math.log10(max(1, ppm.ALPHABET - len(gone)))
 
+    def spelled(x):
+        return sum(cost(framed(x)[max(0, i - ppm.ORDER) : i], framed(x)[i]) for i in range(1, len(framed(x))))
+
+    singles = sum(c == 1 for c in counts.values())
+    rest = 1 - sum(10 ** spelled(x) for x in counts)
+
+    def whole(x):
+        if x in counts:
+            return math.log10(counts[x] / (total + singles + 1))
+        return math.log10((singles + 1) / (total + singles + 1)) + spelled(x) - math.log10(max(rest, ppm.LEAST_REST))
+
     want = []
     for d, t in rows:
         parts = tokens(t)
         base = sum(math.log10((counts.get(x, 0) + 0.5) / (total + 0.5 * (distinct + 1))) for x in parts)
-        score = sum(cost(framed(x)[max(0, i - ppm.ORDER) : i], framed(x)[i]) for x in parts for i in range(1, len(framed(x))))
+        score = sum(map(whole, parts))
         want.append((d, held[d], len(parts), sum(counts.get(x, 0) > 0 for x in parts), total, base, score))
     return want
 
