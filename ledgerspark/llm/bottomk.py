@@ -13,8 +13,8 @@ the ``K`` smallest of a set are its sketch.  Steps:
    the leader, can only be linked when they differ from the leader in a shared way (see ``_differences``): they
    share a shingle that the leader lacks, which makes the lists of the next level, or one of them is shorter than the
    leader by more than the other one misses, which makes pairs that share a missing shingle.
-5. After ``LEVELS`` levels, what is left in lists is expanded into pairs between different components; the estimate
-   from the union's sketch drops pairs far below the threshold, and the whole sets decide on the rest.
+5. When the lists left are short, and after ``LEVELS`` levels, they are expanded into pairs between different
+   components; the estimate from the union's sketch drops pairs far below the threshold, and the whole sets decide.
 
 Links are confirmed on whole sets only; no list, partner or candidate is capped.  What the sketch can lose is a pair
 whose sketches overlap far less than its sets: under ``MISS`` overlap out of ``K`` at the threshold, with a
@@ -43,6 +43,8 @@ K = 64
 #: Least overlap of two full sketches that is followed up.
 MISS = 28
 LEVELS = 3
+#: Lists are expanded into pairs when that makes at most so many pairs per member, and after the last level.
+SHORT = 20
 KEPT_WORDS = 500_000
 
 
@@ -133,11 +135,14 @@ def _with_component(rows: DataFrame, column: str, components: DataFrame | None,
     return joined.withColumn(out, F.coalesce("__c", column)).drop("__v", "__c")
 
 
-def _open_lists(lists: DataFrame, components: DataFrame | None, label: str) -> DataFrame:
-    """The lists whose members lie in two components or more, with each member's component ``comp``."""
+def _open_lists(lists: DataFrame, components: DataFrame | None, label: str) -> tuple[DataFrame, bool]:
+    """The lists whose members lie in two components or more, with each member's component ``comp``; and whether these
+    lists are short: all their pairs together are at most ``SHORT`` times their members."""
     tagged = materialize(_with_component(lists, "id", components, "comp"), f"{label}-tagged")
-    mixed = tagged.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
-    return materialize(tagged.join(materialize(mixed.select("key"), f"{label}-mixed"), "key"), f"{label}-open")
+    mixed = tagged.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("n"))
+    mixed = materialize(mixed.where("low < high").select("key", "n"), f"{label}-mixed")
+    members, pairs = mixed.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.expr("double(n) * (n - 1) / 2")), F.lit(0.0))).first()
+    return materialize(tagged.join(mixed.select("key"), "key"), f"{label}-open"), pairs <= SHORT * members
 
 
 def _linked(both: Column, n_a: Column, n_b: Column, percent: int) -> Column:
@@ -229,7 +234,7 @@ def near_duplicates(
         "bottomk-classes",
     )
     lists, weights = _lists(classes, percent, k, miss)
-    lists = _open_lists(lists, None, "bottomk-1")
+    lists, _ = _open_lists(lists, None, "bottomk-1")
     involved = materialize(lists.select("id").distinct(), "bottomk-involved")
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     sets = materialize(shingle_sets(chosen.join(involved, "id", "left_semi"), "id", "text", words).dropDuplicates(["id"]), "bottomk-sets")
@@ -244,10 +249,11 @@ def near_duplicates(
         edges = found if edges is None else edges.union(found)
         components = materialize(connected_components(edges), f"{label}-components")
         children = compared.select(F.explode("extra").alias("shingle"), "leader", F.col("member").alias("id"))
-        lists = _open_lists(children.select(F.xxhash64("leader", "shingle").alias("key"), "id").distinct(), components, f"bottomk-{level + 1}")
-        if lists.isEmpty():
+        children = children.select(F.xxhash64("leader", "shingle").alias("key"), "id").distinct()
+        lists, short = _open_lists(children, components, f"bottomk-{level + 1}")
+        if short:
             break
-    else:
+    if not lists.isEmpty():
         a = lists.select("key", F.col("id").alias("a"), F.col("comp").alias("comp_a"))
         b = lists.select("key", F.col("id").alias("b"), F.col("comp").alias("comp_b"))
         rest = a.join(b, "key").where("a < b and comp_a != comp_b").select("a", "b").distinct()

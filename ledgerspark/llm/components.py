@@ -28,11 +28,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Loops, repeated edges and nulls are allowed; null ends are left out.
     """
     pairs = edges.where("a is not null and b is not null and a != b")
-    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now, before = materialize(pairs, "components"), None
-    while True:
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before or state[0] == 0:
-            return now.select(F.col("a").alias("id"), F.col("b").alias("component"))
-        before = state
+    now = materialize(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components")
+    while not _finished(now):
         now = materialize(_star(materialize(_star(now, True), "components-large"), False), "components")
+    return now.select(F.col("a").alias("id"), F.col("b").alias("component"))
+
+
+def _finished(edges: DataFrame) -> bool:
+    """Whether every vertex points at one other that points nowhere."""
+    targets = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    if not targets.where("n > 1").isEmpty():
+        return False
+    return edges.select(F.col("b").alias("a")).distinct().join(targets, "a", "left_semi").isEmpty()
