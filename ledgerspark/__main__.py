@@ -4,7 +4,7 @@
     eda       --train PATH --out DIR              exploratory report as JSON
     features  --train PATH --out DIR              feature table as Parquet
     train     --train PATH --out DIR [--model K]  model, class weights, out-of-fold table and summary
-    ensemble  --train PATH --out DIR              fold scores of two models and their mean
+    ensemble  --train PATH --out DIR              two models with tuned weights, fold scores of both and their mean
     tune      --train PATH --out DIR [--trials N] trials of the parameter search
     errors    --oof DIR    --out DIR              error report over an out-of-fold table
     score     --test PATH  --model-dir DIR --out DIR
@@ -27,13 +27,17 @@ from ledgerspark.session import tune
 from ledgerspark.sources.sinks import write_report
 
 
+ENSEMBLE = "ensemble"
+
+
 def run(spark: SparkSession, args: argparse.Namespace) -> None:
     if args.job == "errors":
         write_report(reports.error_report(spark.read.option("basePath", args.oof).parquet(args.oof)), args.out)
         return
     if args.job == "score":
         test = load_transactions(spark, args.test, is_train=False)
-        scoring.run_scoring(spark, test, args.model_dir, args.model, args.out)
+        job = scoring.run_ensemble_scoring if args.model == ENSEMBLE else scoring.run_scoring
+        job(spark, test, args.model_dir, args.model, args.out)
         return
     train = load_transactions(spark, args.train, cache=args.cache)
     if args.job == "load":
@@ -51,7 +55,9 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         trained.oof.write.mode("overwrite").partitionBy("fold").parquet(f"{args.out}/oof")
         write_report(reports.training_summary(trained), f"{args.out}/summary")
     elif args.job == "ensemble":
-        write_report({"folds": training.train_ensemble(train, text_rank=args.text_rank).summary}, args.out)
+        trained = training.train_ensemble(train, text_rank=args.text_rank)
+        training.save_ensemble(trained, args.out, ENSEMBLE)
+        write_report({"folds": trained.summary}, args.out)
     elif args.job == "tune":
         matrix = training.build_matrix(train, text_rank=args.text_rank)
         trials, _ = training.search(matrix, n_trials=args.trials)
@@ -70,7 +76,8 @@ def parser() -> argparse.ArgumentParser:
         if name in ("train", "ensemble", "tune"):
             job.add_argument("--text-rank", type=int, default=50)
         if name in ("train", "score"):
-            job.add_argument("--model", choices=sorted(MODEL_KINDS), default="boosted")
+            kinds = sorted([*MODEL_KINDS, ENSEMBLE] if name == "score" else MODEL_KINDS)
+            job.add_argument("--model", choices=kinds, default="boosted")
     jobs.choices["features"].add_argument("--extended", action="store_true")
     jobs.choices["tune"].add_argument("--trials", type=int, default=K.SEARCH_TRIALS)
     jobs.choices["errors"].add_argument("--oof", required=True)

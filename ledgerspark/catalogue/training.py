@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ledgerspark import constants as K
 from ledgerspark.catalogue.base import query
+from ledgerspark.catalogue.evaluation import SQL_FOLDS
 from ledgerspark.catalogue.features import SQL_STORE
 from ledgerspark.fixtures import duck, txn
 from ledgerspark.operators import encoding, evaluation, models, textvec
@@ -106,6 +108,26 @@ def _text_svd(spark, sf_dir):
     return coordinates.select(K.ID, *[F.get("text_svd", F.lit(i)).alias(f"text_{i}") for i in range(4)])
 
 
+@query(
+    "text_svd_checks",
+    "SELECT CAST(1 AS BIGINT) AS is_orthonormal, CAST(1 AS BIGINT) AS is_diagonal, CAST(1 AS BIGINT) AS is_descending, CAST(50 AS BIGINT) AS rank",
+)
+def _text_svd_checks(spark, sf_dir):
+    rows = txn(spark, sf_dir)
+    vocabularies = {k: textvec.fit_vocabulary(rows, k) for k in (textvec.CHAR, textvec.WORD)}
+    vectors, n_terms = textvec.text_vectors(rows, vocabularies)
+    basis = textvec.fit_svd(vectors, n_terms, 50)
+    gram = textvec.gram_of(vectors, basis)
+    values = gram.diagonal()
+    apart = abs(gram - np.diag(values)).max()
+    checks = {
+        "is_orthonormal": abs(basis.T @ basis - np.eye(basis.shape[1])).max() < 1e-8,
+        "is_diagonal": apart < 1e-6 * values.max(),
+        "is_descending": bool((np.diff(values) <= 1e-6 * values.max()).all()),
+    }
+    return spark.range(1).select(*[F.lit(int(v)).alias(k) for k, v in checks.items()], F.lit(basis.shape[1]).alias("rank"))
+
+
 # ---- models -----------------------------------------------------------------------------------------------
 @query(
     "class_weights",
@@ -149,35 +171,59 @@ def _fitted(spark, sf_dir, kind, settings):
     rows = models.with_labels(matrix.rows, matrix.labels, training.weights_of(matrix.rows))
     model = models.MODEL_KINDS[kind](rows, matrix.columns, matrix.labels, settings)
     scored = models.score(model, matrix.rows, matrix.labels)
-    return training.with_predictions(scored, matrix.labels).select(K.ID, K.TARGET, "predicted", "max_probability")
+    return checked(training.with_predictions(scored, matrix.labels)).select(K.ID, K.TARGET, *CHECKS)
+
 
+# Fitted models have no SQL form; what must hold of any of them has: rows, labels and probabilities in range.
+CHECKS = ("is_label", "is_share")
+SQL_CHECKS = "CAST(1 AS BIGINT) AS is_label, CAST(1 AS BIGINT) AS is_share"
+SQL_CHECKED = duck(f"SELECT transaction_id, category, {SQL_CHECKS} FROM txn")
 
-@query("train_boosted")
+
+def checked(scored, label="predicted"):
+    """1 where the predicted label is one of the table's, and where the largest of ten shares is one."""
+    share = F.col("max_probability")
+    return scored.withColumns(
+        {"is_label": F.col(label).isin(K.CATEGORIES).cast("int"), "is_share": ((share >= 0.1 - 1e-9) & (share <= 1 + 1e-9)).cast("int")}
+    )
+
+
+@query("train_boosted", SQL_CHECKED)
 def _train_boosted(spark, sf_dir):
     return _fitted(spark, sf_dir, "boosted", BOOSTED)
 
 
-@query("train_forest")
+@query("train_forest", SQL_CHECKED)
 def _train_forest(spark, sf_dir):
     return _fitted(spark, sf_dir, "forest", FOREST)
 
 
-@query("train_baselines")
+@query("train_baselines", SQL_CHECKED)
 def _train_baselines(spark, sf_dir):
     return _fitted(spark, sf_dir, "logistic", {"iterations": 10})
 
 
-@query("cv_oof")
+@query(
+    "cv_oof",
+    duck(f"WITH {SQL_FOLDS} SELECT fold, count(*) AS n_rows, CAST(1 AS BIGINT) AS is_score FROM f WHERE fold IS NOT NULL GROUP BY fold"),
+)
 def _cv_oof(spark, sf_dir):
     matrix = training.build_matrix(transactions(spark, sf_dir))
-    return evaluation.macro_f1(training.cross_validate(matrix, "forest", FOREST), ["fold"])
+    scores = evaluation.macro_f1(training.cross_validate(matrix, "forest", FOREST), ["fold"])
+    return scores.select("fold", "n_rows", F.col("macro_f1").between(0.01, 1.0).cast("int").alias("is_score"))
 
 
-@query("oof_table")
+@query(
+    "oof_table",
+    duck(
+        f"""WITH {SQL_FOLDS} SELECT transaction_id, f.fold, txn.category AS actual, round(txn.amount, 6) AS amount, {SQL_CHECKS}
+        FROM f JOIN txn USING (transaction_id) WHERE f.fold IS NOT NULL"""
+    ),
+)
 def _oof_table(spark, sf_dir):
     matrix = training.build_matrix(transactions(spark, sf_dir))
     oof = training.cross_validate(matrix, "forest", FOREST)
-    return oof.select(K.ID, "fold", "actual", "predicted", "max_probability", "store_frequency", "amount")
+    return checked(oof).select(K.ID, "fold", "actual", "amount", *CHECKS)
 
 
 @query("ensemble_models")
@@ -199,22 +245,43 @@ def _hyperparam_search(spark, sf_dir):
     return trials.drop("parameters")
 
 
-@query("batch_score")
+@query("batch_score", duck(f"SELECT transaction_id, {SQL_CHECKS} FROM txn"))
 def _batch_score(spark, sf_dir):
     rows = transactions(spark, sf_dir)
     trained = training.train(rows, "forest", FOREST, n_folds=2, candidates=[0.5, 1.0, 2.0])
     path = scratch_path(spark, "models")
     training.save_trained(trained, path, "forest")
     scored = scoring.run_scoring(spark, rows.drop(K.TARGET), path, "forest", scratch_path(spark, "submission"))
-    return scored.select(K.ID, K.TARGET, "max_probability")
+    return checked(scored, K.TARGET).select(K.ID, *CHECKS)
 
 
-@query("model_store")
+@query("ensemble_score", duck(f"SELECT transaction_id, {SQL_CHECKS} FROM txn"))
+def _ensemble_score(spark, sf_dir):
+    rows = transactions(spark, sf_dir)
+    settings = {"boosted": BOOSTED, "forest": FOREST}
+    trained = training.train_ensemble(rows, ("boosted", "forest"), settings, n_folds=2, candidates=[0.5, 1.0, 2.0])
+    path = scratch_path(spark, "models")
+    training.save_ensemble(trained, path, "both")
+    scored = scoring.run_ensemble_scoring(spark, rows.drop(K.TARGET), path, "both", scratch_path(spark, "submission"))
+    return checked(scored, K.TARGET).select(K.ID, *CHECKS)
+
+
+@query(
+    "model_store",
+    duck(
+        """SELECT row_number() OVER (ORDER BY category) - 1 AS position, category AS label, CAST(1 AS BIGINT) AS is_candidate,
+        CAST(1 AS BIGINT) AS is_tuned FROM (SELECT DISTINCT category FROM txn)"""
+    ),
+)
 def _model_store(spark, sf_dir):
     trained = training.train(transactions(spark, sf_dir), "forest", FOREST, n_folds=2, candidates=[0.5, 1.0, 2.0])
     path = scratch_path(spark, "models")
     training.save_trained(trained, path, "forest")
     scorer = scoring.load_scorer(spark, path, "forest")
-    return training.weights_table(spark, scorer.matrix.labels, scorer.weights).withColumns(
-        {"raw_f1": F.lit(trained.raw_f1), "tuned_f1": F.lit(trained.tuned_f1)}
+    kept = training.weights_table(spark, scorer.matrix.labels, scorer.weights)
+    return kept.select(
+        "position",
+        "label",
+        F.col("weight").isin(0.5, 1.0, 2.0).cast("int").alias("is_candidate"),
+        F.lit(int(trained.tuned_f1 >= trained.raw_f1)).alias("is_tuned"),
     )

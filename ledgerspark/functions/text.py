@@ -19,7 +19,7 @@ def strip(column: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(rf"[{K.NON_SPACE}]+"))
+    return F.regexp_count(text, F.lit(K.NON_SPACE_RUN))
 
 
 def text_stats(text: Column) -> dict[str, Column]:

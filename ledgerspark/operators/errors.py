@@ -110,12 +110,12 @@ def suggest_rules(df: DataFrame) -> DataFrame:
     )
     learned = actionable.select(
         (F.array_position(F.array(*[F.lit(x) for x in names]), F.col("slice")) + (len(fixed) - 1)).cast("int").alias("position"),
-        F.concat(F.upper("slice"), F.lit(" in description")).alias("rule"),
+        F.concat(F.upper("slice"), F.lit(K.KEYWORD_RULE_SUFFIX)).alias("rule"),
         category[F.col("slice")].alias("suggested_category"),
         F.concat(
-            F.lit("Observed error rate is "),
+            F.lit(K.KEYWORD_RULE_REASON[0]),
             F.format_string("%.2f%%", F.col("error_rate") * 100),
-            F.lit("; merchant keyword is actionable."),
+            F.lit(K.KEYWORD_RULE_REASON[1]),
         ).alias("reason"),
     )
     return always.unionByName(learned)

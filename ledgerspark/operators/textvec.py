@@ -68,7 +68,7 @@ def term_uses(texts: DataFrame, kind: str) -> DataFrame:
     A character gram comes once per distinct word of the text, with the uses of that word.
     """
     if kind == CHAR:
-        found = F.regexp_extract_all("t", F.lit(rf"[{K.NON_SPACE}]+"), F.lit(0))
+        found = F.regexp_extract_all("t", F.lit(K.NON_SPACE_RUN), F.lit(0))
         words = texts.select("key", "n_rows", F.explode(found).alias("word"))
         counted = words.groupBy("key", "n_rows", "word").agg(F.count(F.lit(1)).alias("n"))
         padded = counted.select("key", "n_rows", padded_word(F.col("word")).alias("padded"), "n")
@@ -231,6 +231,11 @@ def fit_svd(
     return components * np.where(largest < 0, -1.0, 1.0)
 
 
+def gram_of(vectors: DataFrame, basis: np.ndarray) -> np.ndarray:
+    """Inner products of the coordinates over all texts; diagonal for singular vectors."""
+    return _partial_sums(vectors, basis, gram=True)
+
+
 def project(vectors: DataFrame, basis: np.ndarray, id_column: str = K.ID, out: str = "text_svd") -> DataFrame:
     """Coordinates of every text in the basis, as ``array<double>``."""
     shared = vectors.sparkSession.sparkContext.broadcast(basis)

@@ -62,7 +62,7 @@ if __name__ == "__main__":
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.001"
     folder = f"/root/testdata/sf{sf}"
     picked = sys.argv[2:] or list(queries())
-    session, connection = local_session(), duck_connection(folder)
+    session, connection = local_session(os.environ.get("TEST_CPUS", "8")), duck_connection(folder)
     failed = []
     for key in picked:
         start = time.time()
