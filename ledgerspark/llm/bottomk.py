@@ -14,7 +14,8 @@ the ``K`` smallest of a set are its sketch.  Steps:
    share a shingle that the leader lacks, which makes the lists of the next level, or one of them is shorter than the
    leader by more than the other one misses, which makes pairs that share a missing shingle.
 5. When the lists left are short, and after ``LEVELS`` levels, they are expanded into pairs between different
-   components; the estimate from the union's sketch drops pairs far below the threshold, and the whole sets decide.
+   components; sketches of ``WIDE`` values and the estimate from the union's sketch drop pairs below the threshold, and
+   the whole sets decide.
 
 Links are confirmed on whole sets only; no list, partner or candidate is capped.  What the sketch can lose is a pair
 whose sketches overlap far less than its sets: under ``MISS`` overlap out of ``K`` at the threshold, with a
@@ -28,6 +29,7 @@ columns of the input are ignored, whatever their names.
 from __future__ import annotations
 
 import hashlib
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -44,7 +46,9 @@ K = 64
 MISS = 28
 LEVELS = 3
 #: Lists are expanded into pairs when that makes at most so many pairs per member, and after the last level.
-SHORT = 20
+SHORT = 100
+#: Values of the sketches that are compared then.
+WIDE = 256
 KEPT_WORDS = 500_000
 
 
@@ -110,7 +114,7 @@ def _least_overlap(n: Column, percent: int, k: int, miss: int) -> Column:
 
 
 def _lists(classes: DataFrame, percent: int, k: int, miss: int) -> tuple[DataFrame, DataFrame]:
-    """Lists of level 1, ``key long, id long``, and ``id, weight`` of their members."""
+    """Lists of level 1, ``key long, id long, weight long``, and ``id, weight`` of their members."""
     values = classes.select("id", "n", F.size("shingles").alias("size"), F.explode("shingles").alias("value"))
     shared = materialize(values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "bottomk-shared")
     held = (
@@ -123,19 +127,16 @@ def _lists(classes: DataFrame, percent: int, k: int, miss: int) -> tuple[DataFra
     members = materialize(
         held.where(length > 0).select("id", "weight", F.slice("held", F.lit(1), length).alias("held")), "bottomk-members"
     )
-    lists = members.select(F.explode("held.value").alias("key"), "id")
-    return lists, members.select("id", "weight")
+    return members.select(F.explode("held.value").alias("key"), "id", "weight"), members.select("id", "weight")
 
 
-def _with_component(rows: DataFrame, column: str, components: DataFrame | None, out: str) -> DataFrame:
-    if components is None:
-        return rows.withColumn(out, F.col(column))
+def _with_component(rows: DataFrame, column: str, components: DataFrame, out: str) -> DataFrame:
     names = components.select(F.col("id").alias("__v"), F.col("component").alias("__c"))
     joined = rows.join(names, F.col(column) == F.col("__v"), "left")
     return joined.withColumn(out, F.coalesce("__c", column)).drop("__v", "__c")
 
 
-def _open_lists(lists: DataFrame, components: DataFrame | None, label: str) -> tuple[DataFrame, bool]:
+def _open_lists(lists: DataFrame, components: DataFrame, label: str) -> tuple[DataFrame, bool]:
     """The lists whose members lie in two components or more, with each member's component ``comp``; and whether these
     lists are short: all their pairs together are at most ``SHORT`` times their members."""
     tagged = materialize(_with_component(lists, "id", components, "comp"), f"{label}-tagged")
@@ -151,9 +152,9 @@ def _linked(both: Column, n_a: Column, n_b: Column, percent: int) -> Column:
 
 def _leader_pairs(lists: DataFrame, weights: DataFrame, label: str) -> DataFrame:
     """Each list's leader against its other members: distinct ``leader, member``."""
-    weighed = lists.join(weights, "id")
-    leaders = weighed.groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"))).alias("best"))
-    leaders = materialize(leaders.select("key", (-F.col("best.minus")).alias("leader")), f"{label}-leaders")
+    weighed = lists if "weight" in lists.columns else lists.join(weights, "id")
+    leaders = weighed.groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"))).alias("best"), F.count(F.lit(1)).alias("n"))
+    leaders = materialize(leaders.where("n > 1").select("key", (-F.col("best.minus")).alias("leader")), f"{label}-leaders")
     pairs = lists.join(leaders, "key").where("id != leader").select("leader", F.col("id").alias("member")).distinct()
     return materialize(pairs, f"{label}-pairs")
 
@@ -186,7 +187,7 @@ def _differences(compared: DataFrame, sets: DataFrame, percent: int, label: str)
     gap = t * (F.col("n_m") - F.col("both")) + (F.col("n_l") - F.col("both")) - (1 - t) * F.col("n_l")
     rows = compared.select("leader", "member", "linked", (t * (F.col("n_l") - F.col("n_m"))).alias("short"), gap.alias("gap"))
     bounds = rows.groupBy("leader").agg(F.max("short").alias("most"), F.min(F.when(~F.col("linked"), F.col("gap"))).alias("least"))
-    bounds = materialize(bounds.where("most >= least - 1e-6"), f"{label}-bounds")
+    bounds = materialize(bounds.where("most >= least - 1e-6"), f"{label}-bounds")  # most often empty
     near = rows.join(bounds, "leader").where("(not linked and gap <= most + 1e-6) or short >= least - 1e-6")
     one = sets.select(F.col("id").alias("leader"), F.col("shingles").alias("s_l"))
     two = sets.select(F.col("id").alias("member"), F.col("shingles").alias("s_m"))
@@ -214,6 +215,28 @@ def _confirm(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int
     return rows.join(s_a, "a").join(s_b, "b").where(_linked(both, F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
 
 
+def _expand(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs ``a, b`` of different components in one list whose sizes and wider sketches allow a link.
+
+    The sketches are compared inside the join, so pairs that cannot be linked are never rows.
+    """
+    wide = sets.select("id", "n", F.slice("shingles", 1, WIDE).alias("wide"))
+    held = lists.select("key", "id", "comp").join(wide, "id")
+    held = held.withColumn("least", _least_overlap(F.col("n"), percent, WIDE, _rare_overlap(WIDE, percent)))
+    a, b = (held.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "comp", "n", "wide", "least")]) for x in "ab")
+    sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    alike = F.size(F.array_intersect("wide_a", "wide_b")) >= F.greatest("least_a", "least_b")
+    on = (a["key"] == b["key"]) & (F.col("id_a") < F.col("id_b")) & (F.col("comp_a") != F.col("comp_b")) & sizes & alike
+    pairs = a.join(b, on).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    return materialize(pairs, "bottomk-rest")
+
+
+def _rare_overlap(k: int, percent: int) -> int:
+    """An overlap of two sketches of ``k`` values that a pair at the threshold falls below once in 10^8 times."""
+    share = percent / 100
+    return math.floor(k * share - 5.7 * math.sqrt(k * share * (1 - share)))
+
+
 def near_duplicates(
     docs: DataFrame,
     words: int = 5,
@@ -234,10 +257,8 @@ def near_duplicates(
         "bottomk-classes",
     )
     lists, weights = _lists(classes, percent, k, miss)
-    lists, _ = _open_lists(lists, None, "bottomk-1")
-    involved = materialize(lists.select("id").distinct(), "bottomk-involved")
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    sets = materialize(shingle_sets(chosen.join(involved, "id", "left_semi"), "id", "text", words).dropDuplicates(["id"]), "bottomk-sets")
+    sets = materialize(shingle_sets(chosen.join(weights, "id", "left_semi"), "id", "text", words).dropDuplicates(["id"]), "bottomk-sets")
 
     edges, components = None, None
     for level in range(1, levels + 1):
@@ -253,12 +274,9 @@ def near_duplicates(
         lists, short = _open_lists(children, components, f"bottomk-{level + 1}")
         if short:
             break
-    if not lists.isEmpty():
-        a = lists.select("key", F.col("id").alias("a"), F.col("comp").alias("comp_a"))
-        b = lists.select("key", F.col("id").alias("b"), F.col("comp").alias("comp_b"))
-        rest = a.join(b, "key").where("a < b and comp_a != comp_b").select("a", "b").distinct()
-        edges = edges.union(materialize(_confirm(materialize(rest, "bottomk-rest"), classes, sets, percent, k, miss), "bottomk-last"))
-        components = materialize(connected_components(edges), "bottomk-components")
+    last = materialize(_confirm(_expand(lists, sets, percent), classes, sets, percent, k, miss), "bottomk-last")
+    if not last.isEmpty():
+        components = materialize(connected_components(edges.union(last)), "bottomk-components")
 
     # Documents to classes by digest, then classes to components.
     of_class = classes.select("digest", F.col("id").alias("class"))
