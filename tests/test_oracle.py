@@ -4,6 +4,7 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from conftest import SMALL
+from ledgerspark.catalogue import ORACLES
 from oracle import compare, duck_connection
 
 
@@ -12,7 +13,7 @@ def duck():
     return duck_connection(SMALL)
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_sql(spark, duck, name):
     assert compare(spark, duck, name, SMALL) is None
 
