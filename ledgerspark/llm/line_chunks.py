@@ -8,7 +8,8 @@ neither hash nor count, so blank lines don't move boundaries either.
 A chunk of at least ``MIN_LINES`` lines with words and ``MIN_CHARS`` characters that stands anywhere before, in the
 order of document id and position, is removed.  Repeats are found by a 64-bit hash of the chunk, then the bytes of the
 chunks decide: only equal texts count as repeats.  Counting is by partial sums and the join back has plain exchanges on
-both sides, so adaptive execution splits a chunk that very many documents share; each row of that join carries one hash.
+both sides, so adaptive execution splits a chunk that very many documents share.  Documents are shuffled once, into
+buckets of their row number; suspects and spans then meet them there, and only suspected chunks travel as texts.
 
 Null and empty texts have no chunks and stay as they are.  Repeated rows are repeats of each other like any others;
 rows with equal ids are told apart by an arbitrary but fixed row number.  Other columns are kept.
@@ -16,9 +17,12 @@ rows with equal ids are told apart by an arbitrary but fixed row number.  Other
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ledgerspark.llm.base import SPACE_BYTES, materialize
+from ledgerspark.llm.base import SPACE_BYTES, materialize, partitions
+from ledgerspark.storage import scratch_path
 
 WINDOW = 2
 DIVISOR = 3
@@ -95,6 +99,16 @@ def chunks(docs: DataFrame, text_col: str = "text", window: int = WINDOW, diviso
     return F.transform(F.array(lines), of_lines)[0]
 
 
+def bucketed(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` written in buckets of ``key``: shuffled once, then joined by the key without moving them again."""
+    spark = rows.sparkSession
+    n = partitions(spark)
+    name = f"lines_{uuid.uuid4().hex}"
+    writer = rows.repartition(n, key).write.format("parquet").bucketBy(n, key)
+    writer.option("path", scratch_path(spark, "lines-documents")).saveAsTable(name)
+    return spark.table(name)
+
+
 def dedup_lines(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -110,9 +124,8 @@ def dedup_lines(
     Columns named like the last two are replaced.
     """
     names = [c for c in docs.columns if c not in ("removed_lines", "removed_chars")]
-    numbered = materialize(
-        docs.select(*[F.col(f"`{c}`") for c in names], F.monotonically_increasing_id().alias("__row")), "lines-documents"
-    )
+    numbered = docs.select(*[F.col(f"`{c}`") for c in names], F.monotonically_increasing_id().alias("__row"))
+    numbered = bucketed(numbered, "__row")
     parts = numbered.select(
         F.col(id_col).alias("__id"), "__row", F.explode(chunks(numbered, text_col, window, divisor, max_lines)).alias("__chunk")
     )
@@ -120,11 +133,27 @@ def dedup_lines(
         F.struct("__id", "__row", F.col("__chunk.first").alias("first")).alias("at"),
         F.col("__chunk.last").alias("last"),
         F.xxhash64("__chunk.body").alias("hash"),
-        F.col("__chunk.body").alias("body"),
     )
-    # A hash that occurs twice may be two equal texts; only then do texts travel.
-    repeated = large.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
-    pieces = materialize(large.join(materialize(repeated, "lines-hashes"), "hash", "left_semi"), "lines-candidates")
+    # A hash that occurs twice may be two equal texts; only then are texts sent out to be compared.
+    repeated = materialize(large.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "lines-hashes")
+    suspects = large.join(repeated, "hash").groupBy(F.col("at.__row").alias("__of"))
+    suspects = suspects.agg(F.collect_list(F.struct("at", "last", "hash")).alias("__suspects"))
+    bodies = numbered.join(suspects, F.col("__row") == F.col("__of")).select(
+        F.split(F.col(f"`{text_col}`").cast("string"), "\n", -1).alias("lines"), "__suspects"
+    )
+    piece = F.transform(
+        F.array(F.struct("lines", "__suspects")),
+        lambda p: F.transform(
+            p["__suspects"],
+            lambda s: F.struct(
+                s["at"].alias("at"),
+                s["last"].alias("last"),
+                s["hash"].alias("hash"),
+                F.array_join(F.slice(p["lines"], s["at"]["first"] + 1, s["last"] - s["at"]["first"] + 1), "\n").alias("body"),
+            ),
+        ),
+    )[0]
+    pieces = materialize(bodies.select(F.inline(piece)), "lines-candidates")
     first = pieces.groupBy("hash", "body").agg(F.min("at").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1")
     keepers = materialize(first.select("hash", "body", "keeper"), "lines-keepers")
     gone = (
