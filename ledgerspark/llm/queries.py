@@ -133,8 +133,8 @@ SOURCE_WEIGHTS = {"src3": 2.0, "src7": 0.5}
 
 
 def domain_of(source_col: str = "source"):
-    """The tables have no domain; sources are dealt to four by their number."""
-    number = F.regexp_extract(source_col, "([0-9]+)$", 1).cast("int")
+    """The tables have no domain; sources are dealt to four by their number, those without one form a fifth (null)."""
+    number = F.regexp_extract(source_col, "([0-9]+)$", 1).try_cast("int")
     return F.concat(F.lit("d"), (number % 4).cast("string"))
 
 
