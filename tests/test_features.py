@@ -224,3 +224,11 @@ def test_class_column_with_too_many_labels_is_refused(spark, monkeypatch):
     df = spark.range(10).select(F.col("id").cast("string").alias("category"))
     with pytest.raises(ValueError, match="labels"):
         encoding.class_labels(df, "category")
+
+
+def test_stop_words_are_those_of_spark():
+    from pyspark.ml.feature import StopWordsRemover
+
+    from ledgerspark import constants
+
+    assert sorted(constants.STOP_WORDS) == sorted(StopWordsRemover.loadDefaultStopWords("english"))
