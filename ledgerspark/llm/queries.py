@@ -203,13 +203,16 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc-archives")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
-    captures = warc.assemble(materialize(warc.read_archives(spark, path), "warc-records"))
+    # The result asks for digest and size of each payload that is read back, so these travel instead of the payload.
+    records = warc.read_archives(spark, path).withColumns({"sha1": F.sha1("payload"), "size": F.octet_length("payload").cast("long")})
+    records = materialize(records.drop("payload"), "warc-records")
+    captures = warc.assemble(records, ("type", "refers_to", "payload_digest", "sha1", "size"))
     field = lambda name: F.get("metadata", F.lit(0))["fields"][name].cast("long")
     rows = captures.select(
         "capture_id",
         field("pageId").alias("page_id"),
-        F.coalesce(field("payloadLength"), F.octet_length("capture.payload").cast("long")).alias("payload_bytes"),
-        F.when(F.col("capture.type") == "response", F.sha1("capture.payload"))
+        F.coalesce(field("payloadLength"), F.col("capture.size")).alias("payload_bytes"),
+        F.when(F.col("capture.type") == "response", F.col("capture.sha1"))
         .otherwise(F.regexp_replace("capture.payload_digest", "^sha1:", ""))
         .alias("payload_digest"),
         F.col("capture.type").alias("record_type"),

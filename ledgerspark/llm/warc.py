@@ -213,10 +213,11 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD)
 
 
-def assemble(records: DataFrame) -> DataFrame:
+def assemble(records: DataFrame, nested: tuple[str, ...] = ("type", "refers_to", "payload_digest", "http", "payload")) -> DataFrame:
     """One nested row per capture: ``capture_id, uri, capture`` (its response or revisit), ``request``, ``metadata`` (array).
 
-    ``records`` is read several times; give a written table.
+    ``nested`` names the columns of ``records`` that ``capture`` holds.  ``records`` is read several times; give a
+    written table.
     """
     captures = records.where("type in ('response', 'revisit', 'resource')")
     small = [F.col(c) for c in ("type", "id", "uri", "http", "fields")]
@@ -240,7 +241,7 @@ def assemble(records: DataFrame) -> DataFrame:
     return joined.select(
         F.coalesce("id", "root").alias("capture_id"),
         F.coalesce("uri", "request.uri").alias("uri"),
-        F.when(F.col("type").isNotNull(), F.struct("type", "refers_to", "payload_digest", "http", "payload")).alias("capture"),
+        F.when(F.col("type").isNotNull(), F.struct(*nested)).alias("capture"),
         "request",
         F.coalesce("metadata", F.expr("array()")).alias("metadata"),
     )
