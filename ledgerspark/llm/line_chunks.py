@@ -11,6 +11,12 @@ chunks decide: only equal texts count as repeats.  Counting is by partial sums a
 both sides, so adaptive execution splits a chunk that very many documents share.  Documents are shuffled once, into
 buckets of their row number; suspects and spans then meet them there, and only suspected chunks travel as texts.
 
+``dedup_lines`` compares chunks alone, so lines of a repeated passage that share a chunk with other lines stay.
+``dedup_runs`` removes whole repeated runs instead: each line that lies in a run of at least ``MIN_LINES`` lines with
+words and ``MIN_CHARS`` characters, from a line with words to another, that stands anywhere before.  It compares the
+shortest such run from each line on and up to each line; these cover the lines of every longer run, and each of them
+stands before when the longer run does.  Runs may overlap their own copies; the first place of any line stays.
+
 Null and empty texts have no chunks and stay as they are.  Repeated rows are repeats of each other like any others;
 rows with equal ids are told apart by an arbitrary but fixed row number.  Other columns are kept.
 """
@@ -99,6 +105,36 @@ def chunks(docs: DataFrame, text_col: str = "text", window: int = WINDOW, diviso
     return F.transform(F.array(lines), of_lines)[0]
 
 
+def shortest_runs(docs: DataFrame, text_col: str = "text", min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> Column:
+    """The text's shortest runs that are long enough, from each line with words on and up to each,
+    ``array<struct<first int, last int, body string>>``."""
+    # Lines with words have a character and a line break at least, so no shortest run has more steps.
+    steps = range(min_lines - 1, max(min_lines - 1, (min_chars + 1) // 2) + 1)
+
+    def of_lines(x: Column) -> Column:
+        worded = F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: F.get(x, i).rlike(f"[^{SPACE_BYTES}]"))
+
+        def body(first: Column, last: Column) -> Column:
+            return F.array_join(F.slice(x, first + 1, last - first + 1), "\n")
+
+        def of_worded(w: Column) -> Column:
+            def code(a: Column, b: Column) -> Column:
+                long_enough = (a >= 0) & (b < F.size(w)) & (F.char_length(body(F.get(w, a), F.get(w, b))) >= min_chars)
+                return F.when(long_enough, F.shiftleft(F.get(w, a).cast("long"), 32) + F.get(w, b))
+
+            onward = F.transform(w, lambda i, n: F.coalesce(*[code(n, n + k) for k in steps]))
+            back = F.transform(w, lambda i, n: F.coalesce(*[code(n - k, n) for k in steps]))
+            return F.filter(F.array_distinct(F.concat(onward, back)), lambda c: c.isNotNull())
+
+        def piece(c: Column) -> Column:
+            first, last = F.shiftright(c, 32).cast("int"), c.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+            return F.struct(first.alias("first"), last.alias("last"), body(first, last).alias("body"))
+
+        return F.transform(F.transform(F.array(worded), of_worded)[0], piece)
+
+    return F.transform(F.array(F.split(F.col(f"`{text_col}`").cast("string"), "\n", -1)), of_lines)[0]
+
+
 def bucketed(rows: DataFrame, key: str) -> DataFrame:
     """``rows`` written in buckets of ``key``: shuffled once, then joined by the key without moving them again."""
     spark = rows.sparkSession
@@ -123,13 +159,32 @@ def dedup_lines(
 
     Columns named like the last two are replaced.
     """
-    names = [c for c in docs.columns if c not in ("removed_lines", "removed_chars")]
-    numbered = docs.select(*[F.col(f"`{c}`") for c in names], F.monotonically_increasing_id().alias("__row"))
-    numbered = bucketed(numbered, "__row")
+    numbered = _numbered(docs)
     parts = numbered.select(
         F.col(id_col).alias("__id"), "__row", F.explode(chunks(numbered, text_col, window, divisor, max_lines)).alias("__chunk")
     )
-    large = parts.where((F.col("__chunk.worded") >= min_lines) & (F.char_length("__chunk.body") >= min_chars)).select(
+    large = parts.where((F.col("__chunk.worded") >= min_lines) & (F.char_length("__chunk.body") >= min_chars))
+    return _without_repeats(numbered, large, text_col)
+
+
+def dedup_runs(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS
+) -> DataFrame:
+    """Like ``dedup_lines``, with all lines of repeated runs taken out."""
+    numbered = _numbered(docs)
+    runs = F.explode(shortest_runs(numbered, text_col, min_lines, min_chars)).alias("__chunk")
+    return _without_repeats(numbered, numbered.select(F.col(id_col).alias("__id"), "__row", runs), text_col)
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    names = [c for c in docs.columns if c not in ("removed_lines", "removed_chars")]
+    return bucketed(docs.select(*[F.col(f"`{c}`") for c in names], F.monotonically_increasing_id().alias("__row")), "__row")
+
+
+def _without_repeats(numbered: DataFrame, large: DataFrame, text_col: str) -> DataFrame:
+    """``numbered`` without the lines of those pieces ``__id, __row, __chunk`` that stand before."""
+    names = [c for c in numbered.columns if c != "__row"]
+    large = large.select(
         F.struct("__id", "__row", F.col("__chunk.first").alias("first")).alias("at"),
         F.col("__chunk.last").alias("last"),
         F.xxhash64("__chunk.body").alias("hash"),

@@ -81,3 +81,45 @@ def test_boundaries_survive_shifts():
     one = {c[2] for c in chunks("\n".join(passage))}
     two = {c[2] for c in chunks("\n".join(["inserted", "lines", "here", *passage]))}
     assert len(one & two) >= len(one) - 2
+
+
+def brute_runs(rows):
+    """Lines of all runs that stand before, at the same line breaks, by comparing every run with every earlier one."""
+    seen, want = set(), []
+    for d, t in rows:
+        lines, gone = (t or "").split("\n"), set()
+        own = [i for i, x in enumerate(lines) if worded(x)]
+        for a in range(len(own)):
+            for b in range(a + lc.MIN_LINES - 1, len(own)):
+                body = "\n".join(lines[own[a] : own[b] + 1])
+                if len(body) >= lc.MIN_CHARS:
+                    if body in seen:
+                        gone |= set(range(own[a], own[b] + 1))
+                    seen.add(body)
+        kept = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+        want.append((d, t if not gone else kept, len(gone)))
+    return want
+
+
+def test_whole_repeated_runs_go(spark):
+    rng = random.Random(5)
+    unique = lambda n: [" ".join("u%d" % rng.randrange(10**6) for _ in range(6)) for _ in range(n)]
+    given = []
+    for m in range(2, 12):
+        passage = unique(m)
+        given += [(2 * m, "\n".join(unique(3) + passage + unique(2))), (2 * m + 1, "\n".join(unique(2) + passage + unique(4)))]
+    out = lc.dedup_runs(spark.createDataFrame(given, "doc_id long, text string"))
+    assert {r.doc_id: r.removed_lines for r in out.collect()} == {i: i // 2 * (i % 2) for i, _ in given}
+
+
+def test_runs_match_every_run(spark):
+    given = [r for r in rows(2) if len(r[1] or "") < 10_000]
+    given += [(500, "a\n\nb\n" * 30), (501, "x\ny\nz\n" + "long line " * 5 + "\nq\n \nr"), (502, "z\n" + "long line " * 5 + "\nq\n \nr\ns"), (503, "a\n\nb")]
+    frame = spark.createDataFrame([(*r, 7, 8, "x") for r in given], "doc_id long, text string, hash int, removed_lines int, body string").repartition(3)
+    out = lc.dedup_runs(frame)
+    assert out.columns == ["doc_id", "text", "hash", "body", "removed_lines", "removed_chars"]
+    assert sorted(tuple(r) for r in out.select("doc_id", "text", "removed_lines").collect()) == brute_runs(given)
+    assert lc.dedup_runs(frame.limit(0)).collect() == []
+    long = "\n".join("l%d" % i for i in range(20_000))
+    got = lc.dedup_runs(spark.createDataFrame([(1, long), (2, long), (3, None)], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.removed_lines) for r in got) == [(1, 0), (2, 20_000), (3, 0)]

@@ -49,3 +49,11 @@ def test_stages_take_odd_rows_and_no_rows(spark):
     for name, stage in corpus_pipeline.STAGES:
         stage(spark, odd, SMALL).collect()
         assert stage(spark, odd.limit(0), SMALL).collect() == [], name
+
+
+def test_lines_stage_removes_whole_passages(spark):
+    text = lambda own: "\n".join([f"own line {own} before", "first line of a passage that stands twice", "and its second line", f"own line {own} after"])
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, text(i), "en", "src1", 0) for i in range(5)], schema)
+    got = {r.doc_id: r.text for r in dict(corpus_pipeline.STAGES)["lines"](spark, docs, SMALL).collect()}
+    assert got == {0: text(0), **{i: f"own line {i} before\nown line {i} after" for i in range(1, 5)}}
