@@ -81,3 +81,25 @@ def test_constant_statistics_have_a_distance(spark):
     rows = [(i, text + " ".join(f"w{i}x{j}" for j in range(60)), "en", "s") for i in range(30)]
     got = mcd.judge(spark.createDataFrame(rows, SCHEMA)).collect()
     assert all(r.kept and r.distance is not None for r in got)
+
+
+def test_each_statistic_alone_rejects(spark):
+    words = lambda i, n, size=6: [f"{i}x{j}".rjust(size, "w") for j in range(n)]
+    rows = [(i, " ".join(words(i, 100)), "en", "s") for i in range(300)]
+    symbols = words(600, 100)
+    symbols[::5] = [w[:-1] + "#" for w in symbols[::5]]  # 20 of 600 characters
+    symbols[1] = "w####w"
+    lines = [" ".join(words(601, 200)[k : k + 2]) for k in range(0, 110, 2)]
+    for k in range(45):
+        lines.insert(2 * k + 1, "again again2")
+    repeated = words(602, 86)
+    repeated += repeated[:32]  # 64 of 150 words
+    repeated += words(603, 32)
+    bad = [" ".join(symbols), "\n".join(lines), " ".join(repeated), " ".join(words(604, 100, 9))]
+    rows += [(1000 + i, t, "en", "s") for i, t in enumerate(bad)]
+    got = {r.doc_id: r for r in mcd.judge(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[i].kept for i in range(300))
+    for i in range(1000, 1004):
+        r = got[i]
+        away = [r.n_symbols > 0, r.n_dup_lines > 0, r.n_repeat_words > 0, r.word_chars / r.n_words > 7]
+        assert not r.base_failed and away == [i == 1000 + k for k in range(4)] and not r.kept, (i, r.distance, away)
