@@ -57,3 +57,13 @@ def test_lines_stage_removes_whole_passages(spark):
     docs = spark.createDataFrame([(i, text(i), "en", "src1", 0) for i in range(5)], schema)
     got = {r.doc_id: r.text for r in dict(corpus_pipeline.STAGES)["lines"](spark, docs, SMALL).collect()}
     assert got == {0: text(0), **{i: f"own line {i} before\nown line {i} after" for i in range(1, 5)}}
+
+
+def test_near_duplicates_keep_rows_with_missing_or_repeated_ids(spark):
+    text = lambda k, end="": " ".join(f"w{k}x{j}" for j in range(100)) + end
+    rows = [(None, text(1)), (None, text(2)), (7, text(3)), (7, text(4)), (9, text(5)), (5, text(5, " more")), (None, text(5)), (8, text(6)), (8, text(6)), (None, None), (None, "")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(*r, "en", "src1", 0) for r in rows], schema).repartition(3)
+    got = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, SMALL).collect()
+    want = [(None, text(1)), (None, text(2)), (7, text(3)), (7, text(4)), (5, text(5, " more")), (8, text(6)), (None, None), (None, "")]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got))) == sorted(map(str, want))
