@@ -3,14 +3,16 @@
 A gear rolling hash runs over the bytes of each text: h' = 2h + G[byte] modulo 2^32, so it depends on the last 32
 bytes alone.  A chunk ends where the top bits of the hash are zero, at ``min_bytes`` at the earliest and ``max_bytes``
 at the latest; an insertion moves the cuts near it and no others.  Cuts stay between UTF-8 characters.  Chunks are
-compared by a 128-bit digest.  Of equal chunks the one in the smallest document id, then at the smallest offset, stays.
+compared by a 128-bit digest.  Of equal chunks the one in the smallest document id, then at the smallest offset, stays
+(null ids come first).
 
 Digests are counted with map-side partial sums and only repeated ones are joined back; that join has plain exchanges
 on both sides, so adaptive execution splits a digest that very many chunks share.
 
 Null and empty texts have no chunks and come back empty.  A text's tail shorter than ``min_bytes`` is never removed.
-Repeated document ids count as one document whose copies are told apart by text: give unique ids.  Other columns of
-the input are ignored, whatever their names.
+Rows have a number of their own, which chunks and spans go by: rows with equal ids, equal rows and rows without an id are
+repeats of each other like any others, in an arbitrary but fixed order.  Other columns of the input are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -75,16 +77,17 @@ def chunks(
     min_bytes: int = MIN_BYTES,
     mean_bits: int = MEAN_BITS,
     max_bytes: int = MAX_BYTES,
+    row_col: str = "row",
 ) -> DataFrame:
-    """One row per chunk: ``id, start int, size int, digest binary``; offsets count UTF-8 bytes."""
+    """One row per chunk: ``id, row long, start int, size int, digest binary``; offsets count UTF-8 bytes."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         gear = gear_table()
         for whole in batches:
-            for batch in slices(whole, 1):
+            for batch in slices(whole, 2):
                 rows, starts, sizes, digests = [], [], [], []
-                for i, text in enumerate(batch.column(1).to_pylist()):
+                for i, text in enumerate(batch.column(2).to_pylist()):
                     raw = text.encode()
                     start = 0
                     for end in cut_points(np.frombuffer(raw, np.uint8), gear, min_bytes, mean_bits, max_bytes):
@@ -96,30 +99,31 @@ def chunks(
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array(rows, pa.int32())),
+                        batch.column(1).take(pa.array(rows, pa.int32())),
                         pa.array(starts, pa.int32()),
                         pa.array(sizes, pa.int32()),
                         pa.array(digests, pa.binary()),
                     ],
-                    ["id", "start", "size", "digest"],
+                    ["id", "row", "start", "size", "digest"],
                 )
 
-    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, start int, size int, digest binary")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(row_col).alias("row"), text_or_empty(text_col).alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, row long, start int, size int, digest binary")
 
 
 def repeated_chunks(pieces: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """The chunks to remove: all but the first of those with an equal digest; ``id, start, size, first_id``."""
+    """The chunks to remove: all but the first of those with an equal digest; ``row, start, size, first_id``."""
     pieces = pieces.where(F.col("size") >= min_bytes)
     first = materialize(
         pieces.groupBy("digest")
-        .agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "start")).alias("first"))
+        .agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "row", "start")).alias("first"))
         .where("copies > 1"),
         "gear-repeated",
     )
     return (
         pieces.join(first, "digest")
-        .where(F.struct("id", "start") != F.col("first"))
-        .select("id", "start", "size", F.col("first.id").alias("first_id"))
+        .where(F.struct("id", "row", "start") != F.col("first"))
+        .select("row", "start", "size", F.col("first.id").alias("first_id"))
     )
 
 
@@ -128,13 +132,15 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ``spans array<struct<start int, size int, first_id>>``, byte offsets in the given text in order, neighbours
     apart.  ``first_id`` is the document that keeps the chunk."""
     spark = docs.sparkSession
-    pieces = materialize(chunks(docs, id_col, text_col, **sizes), "gear-chunks")
+    numbered = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
+    # Written, so that a row has the same number in both passes.
+    numbered = materialize(numbered, "gear-documents")
+    pieces = materialize(chunks(numbered, "id", "text", **sizes), "gear-chunks")
     spans = (
         repeated_chunks(pieces, sizes.get("min_bytes", MIN_BYTES))
-        .groupBy("id")
+        .groupBy("row")
         .agg(F.sort_array(F.collect_list(F.struct("start", "size", "first_id"))).alias("spans"))
     )
-    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
     span_kind = f"array<struct<start:int,size:int,first_id:{kind}>>"
 
@@ -158,5 +164,5 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             )
 
     none = F.from_json(F.lit("[]"), span_kind)
-    joined = rows.join(spans, "id", "left").select("id", "text", F.coalesce("spans", none).alias("spans"))
+    joined = numbered.join(spans, "row", "left").select("id", "text", F.coalesce("spans", none).alias("spans"))
     return joined.mapInArrow(run, f"id {kind}, text string, removed_bytes long, spans {span_kind}").withColumnRenamed("id", id_col)

@@ -66,3 +66,23 @@ def test_matches_brute_force_and_odd_rows(spark):
         want[i] = kept.decode()
     assert {r.doc_id: r.text for r in gear.dedup_substrings(docs).collect()} == want
     assert gear.dedup_substrings(docs.limit(0)).collect() == []
+
+
+def test_rows_go_by_their_own_number(spark):
+    rng = random.Random(7)
+    one, two, three, umlauts = words(rng, 60), words(rng, 60), words(rng, 60), "äöü中" * 200
+    rows = [(1, one), (1, two), (1, one), (2, umlauts + two), (2, three + umlauts), (None, three), (None, three)]
+    got = gear.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert len(got) == len(rows)
+    table, seen, want = gear.gear_table(), set(), []
+    for i in sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0, i)):
+        raw, start, kept = rows[i][1].encode(), 0, b""
+        for end in gear.cut_points(np.frombuffer(raw, np.uint8), table, gear.MIN_BYTES, gear.MEAN_BITS, gear.MAX_BYTES):
+            piece = raw[start:end]
+            if len(piece) < gear.MIN_BYTES or piece not in seen:
+                kept += piece
+            if len(piece) >= gear.MIN_BYTES:
+                seen.add(piece)
+            start = end
+        want.append((str(rows[i][0]), kept.decode()))
+    assert sorted((str(r.doc_id), r.text) for r in got) == sorted(want)
