@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerspark.llm import bottomk, bpe_trie, gear, html_blocks, line_chunks, mcd, mixing, ppm, tiles, warc
+from ledgerspark.llm import (
+    bottomk, bpe_trie, gear, html_blocks, line_chunks, mcd, mixing, multi_index, ppm, spelling, term_scan, tiles, warc,
+)
 from ledgerspark.llm.base import arrow_rows, materialize, table
 from ledgerspark.storage import scratch_path
 
@@ -222,3 +224,75 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Pages by their records: a revisit names the record, the result the page.
     pages = rows.where("record_type = 'response'").select(F.col("capture_id").alias("target"), F.col("page_id").alias("refers_to"))
     return rows.join(pages, "target", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query(
+    "op11_multi_index",
+    """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+                            WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+            l AS (SELECT a.vec_id, b.vec_id AS other FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+                  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+            r AS (SELECT vec_id, vec_id AS reached FROM embeddings UNION SELECT r.vec_id, l.other FROM r JOIN l ON l.vec_id = r.reached),
+            c AS (SELECT vec_id, min(reached) AS component_id FROM r GROUP BY vec_id),
+            n AS (SELECT vec_id, count(*) AS n_links FROM l GROUP BY vec_id)
+       SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+       FROM c LEFT JOIN n USING (vec_id)""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = multi_index.near_duplicates(table(spark, sf_dir, "embeddings"), 0.93)
+    return found.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+_TERM = "'[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'"
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+@query(
+    "op12_term_scan",
+    f"""WITH d AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, {_LOWER}), {_TERM})) AS term FROM documents),
+             f AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY ALL),
+             n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
+             t AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_words FROM n),
+             i AS (SELECT item_id, term, count(*) AS times FROM (
+                     SELECT item_id, unnest(regexp_extract_all(translate(text, {_LOWER}), {_TERM})) AS term FROM benchmark) GROUP BY ALL),
+             w AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, t GROUP BY term, n_docs),
+             s AS (SELECT item_id, f.doc_id,
+                          CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_words)))) AS BIGINT) AS score
+                   FROM f JOIN i USING (term) JOIN w USING (term) JOIN n ON n.doc_id = f.doc_id, t GROUP BY item_id, f.doc_id),
+             r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 20""",
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return term_scan.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 20)
+
+
+#: DuckDB has no CRC-32; the table of its byte steps follows from the polynomial by eight shifts.
+_CRC_SQL = """bits AS (SELECT b, b AS x, 0 AS k FROM range(256) t(b)
+               UNION ALL SELECT b, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, k + 1 FROM bits WHERE k < 8),
+             crc AS (SELECT list(x ORDER BY b) AS steps FROM bits WHERE k = 8)"""
+_HASH_SQL = """xor(4294967295, list_reduce(list_transform(range(len(h) // 2), lambda i: CAST('0x' || h[2 * i + 1 : 2 * i + 2] AS BIGINT)),
+                    lambda c, x: xor(c >> 8, steps[(xor(c, x) & 255) + 1]), 4294967295))"""
+
+
+@query(
+    "op13_bit_sliced",
+    f"""WITH RECURSIVE {_CRC_SQL},
+             a AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, {_LOWER}), '[a-z\u00C0-\u00FF]+')) AS run FROM documents),
+             b AS (SELECT doc_id, run, count(*) AS n, lower(hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run))) AS h FROM a GROUP BY ALL),
+             k AS (SELECT run, n, {_HASH_SQL} AS hash FROM b, crc),
+             s AS (SELECT CASE WHEN hash % 97 = 0 THEN left(run, CAST(hash % length(run) AS INT)) || substring(run, CAST(hash % length(run) AS INT) + 2)
+                               ELSE run END AS word, n FROM k),
+             v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM s WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+             e AS (SELECT word, n, i, left(word, CAST(i AS INT)) || substring(word, CAST(i AS INT) + 2) AS rest
+                   FROM (SELECT word, n, unnest(range(length(word))) AS i FROM v)),
+             p AS (SELECT x.word, y.word AS other, y.n FROM e x JOIN e y ON x.rest = y.rest AND x.i = y.i AND x.word <> y.word
+                   UNION SELECT e.word, v.word, v.n FROM e JOIN v ON v.word = e.rest
+                   UNION SELECT v.word, e.word, e.n FROM e JOIN v ON v.word = e.rest),
+             m AS (SELECT word, count(*) AS n_near, first(other ORDER BY n DESC, other) AS best, max(n) AS best_n FROM p GROUP BY word),
+             f AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 2 * n THEN best END AS form,
+                          CASE WHEN best_n >= 2 * n THEN best_n END AS form_n FROM v LEFT JOIN m USING (word)),
+             c AS (SELECT word, word AS root, form FROM f UNION ALL SELECT c.word, f.word, f.form FROM c JOIN f ON f.word = c.form)
+        SELECT f.word, f.form, c.root, f.n, n_near, form_n FROM f JOIN c ON c.word = f.word AND c.form IS NULL""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents")))
