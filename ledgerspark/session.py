@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
+#: Bytes of an Arrow batch; a single larger row stands alone.
+ARROW_BYTES = 16 * 1024 * 1024
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Settings the jobs want in any session.
 
@@ -13,6 +17,12 @@ def tune(spark: SparkSession) -> SparkSession:
     feature table of ten million rows takes less than half the time.
     """
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    return bound_batches(spark)
+
+
+def bound_batches(spark: SparkSession) -> SparkSession:
+    """Bound Arrow batches by bytes, whatever rows hold; always by the same value, so no query changes it for another."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return spark
 
 

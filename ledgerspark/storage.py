@@ -26,6 +26,9 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_KEYS = 2_000
 SALTS = 256
 
+#: Folders of local sessions without ``spark.checkpoint.dir``, by application.
+_LOCAL_FOLDERS: dict[str, str] = {}
+
 
 def broadcast_limit(spark: SparkSession) -> int:
     return int(spark.conf.get(BROADCAST_ROWS_CONF, str(BROADCAST_ROWS)))
@@ -47,9 +50,11 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="ledgerspark-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    # The setting is fixed once a session has started, so the folder is kept here for the application's life.
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[application] = tempfile.mkdtemp(prefix="ledgerspark-")
+    return _LOCAL_FOLDERS[application]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
