@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerspark import constants as K
 from ledgerspark.functions import amounts, dates, text
-from ledgerspark.operators.evaluation import ACTUAL, PREDICTED
+from ledgerspark.operators.evaluation import ACTUAL, COUNTED, PREDICTED, size
+from ledgerspark.storage import materialize
 
 
 def is_error() -> Column:
@@ -16,8 +20,8 @@ def is_error() -> Column:
 def slice_rates(df: DataFrame, slices: dict[str, Column]) -> DataFrame:
     """Rows, errors and error rate of each named condition, in one pass; rate 0 for an empty slice."""
     counted = df.agg(
-        *[F.count_if(c).alias(f"n{i}") for i, c in enumerate(slices.values())],
-        *[F.count_if(c & is_error()).alias(f"e{i}") for i, c in enumerate(slices.values())],
+        *[size(df, c).alias(f"n{i}") for i, c in enumerate(slices.values())],
+        *[size(df, c & is_error()).alias(f"e{i}") for i, c in enumerate(slices.values())],
     )
     entries = [
         F.struct(
@@ -31,45 +35,73 @@ def slice_rates(df: DataFrame, slices: dict[str, Column]) -> DataFrame:
     return counted.select(F.inline(F.array(*entries)))
 
 
-def _terms() -> dict[str, Column]:
+#: Named conditions of a row, as bits of one number in counted tables.
+MASK = "__slices"
+
+
+def _terms(df: DataFrame) -> dict[str, Column]:
     words = text.description()
     return {name: text.has_term(words, terms) for name, terms in K.AMBIGUOUS_TERMS.items()}
 
 
+def _amounts(df: DataFrame) -> dict[str, Column]:
+    amount = amounts.number()
+    whole = F.coalesce(F.pmod(amount, F.lit(1.0)) == 0, F.lit(False))
+    return {"round_amount_over_500": whole & F.coalesce(amount > 500, F.lit(False)), "decimal_amount": ~whole}
+
+
+def _times(df: DataFrame) -> dict[str, Column]:
+    date = dates.timestamp(df)
+    slices = {
+        "month_start": F.dayofmonth(date) <= 10,
+        "month_end": F.dayofmonth(date) >= 21,
+        "weekend": F.weekday(date) >= 5,
+    }
+    return {k: F.coalesce(c, F.lit(False)) for k, c in slices.items()}
+
+
+_SLICES = (_terms, _amounts, _times)
+_NAMES = [*K.AMBIGUOUS_TERMS, "round_amount_over_500", "decimal_amount", "month_start", "month_end", "weekend"]
+
+
+def _slices(df: DataFrame, make) -> dict[str, Column]:
+    """Conditions from the row itself, or from the bits of a counted table."""
+    if MASK not in df.columns:
+        return make(df)
+    names = {_terms: _NAMES[:-5], _amounts: _NAMES[-5:-3], _times: _NAMES[-3:]}[make]
+    return {name: F.col(MASK).bitwiseAND(F.lit(1 << _NAMES.index(name))) != 0 for name in names}
+
+
+def slice_mask(df: DataFrame) -> Column:
+    """All named conditions of a row as bits of one number."""
+    conditions = {name: c for make in _SLICES for name, c in make(df).items()}
+    return reduce(add, [F.when(conditions[name], F.lit(1 << i)).otherwise(0) for i, name in enumerate(_NAMES)])
+
+
 def errors_by_keyword(df: DataFrame) -> DataFrame:
-    return slice_rates(df, _terms())
+    return slice_rates(df, _slices(df, _terms))
 
 
 def keyword_distribution(df: DataFrame) -> DataFrame:
     """Actual labels of the rows that mention each ambiguous term."""
-    found = F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in _terms().items()]))
-    return df.select(F.explode(found).alias("slice"), ACTUAL).groupBy("slice", ACTUAL).agg(F.count(F.lit(1)).alias("n_rows"))
+    found = F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in _slices(df, _terms).items()]))
+    rows = [COUNTED] if COUNTED in df.columns else []
+    each = df.select(F.explode(found).alias("slice"), ACTUAL, *rows)
+    return each.groupBy("slice", ACTUAL).agg(size(each).alias("n_rows"))
 
 
 def errors_by_amount(df: DataFrame) -> DataFrame:
     """Whole amounts over 500, and amounts with decimals; a missing amount counts as decimal."""
-    amount = amounts.number()
-    whole = F.coalesce(F.pmod(amount, F.lit(1.0)) == 0, F.lit(False))
-    return slice_rates(
-        df, {"round_amount_over_500": whole & F.coalesce(amount > 500, F.lit(False)), "decimal_amount": ~whole}
-    )
+    return slice_rates(df, _slices(df, _amounts))
 
 
 def errors_by_time(df: DataFrame) -> DataFrame:
-    date = dates.timestamp(df)
-    slices = {
-        "month_start": F.dayofmonth(date) <= 10,
-        "month_end": F.dayofmonth(date) >= 21,
-        "weekend": F.weekday(date) >= 5,
-    }
-    return slice_rates(df, {k: F.coalesce(c, F.lit(False)) for k, c in slices.items()})
+    return slice_rates(df, _slices(df, _times))
 
 
 def errors_by_store(df: DataFrame, n: int = 30, min_rows: int = 5) -> DataFrame:
     """Merchants with the highest error rates; ties by name."""
-    stores = df.groupBy("store_name").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count_if(is_error()).alias("n_errors")
-    )
+    stores = df.groupBy("store_name").agg(size(df).alias("n_rows"), size(df, is_error()).alias("n_errors"))
     rated = stores.where(F.col("n_rows") >= min_rows).withColumn("error_rate", F.col("n_errors") / F.col("n_rows"))
     return rated.orderBy(F.desc("error_rate"), "store_name").limit(n)
 
@@ -82,18 +114,55 @@ def misclassified_examples(df: DataFrame, n: int = 10, fold: str = "fold") -> Da
     return placed.select("label", "position", K.ID, "description", ACTUAL, PREDICTED, "amount", fold)
 
 
+def facets(df: DataFrame) -> dict[str, Column]:
+    """What wrong rows are told apart by: amount bucket, weekday, one-off or repeat merchant."""
+    amount = amounts.number()
+    return {
+        "amount": F.when(amount < 25, "low").when(amount < 100, "medium").when(amount >= 100, "high"),
+        "day_of_week": F.col("day_of_week").cast("string"),
+        "store_frequency": F.when(F.col("store_frequency") == 1, "single").when(F.col("store_frequency") > 1, "repeat"),
+    }
+
+
 def misclassified_profile(df: DataFrame) -> DataFrame:
     """Wrong rows by amount bucket (below 25, below 100, above), weekday, and one-off or repeat merchant."""
-    amount = amounts.number()
-    bucket = F.when(amount < 25, "low").when(amount < 100, "medium").when(amount >= 100, "high")
-    frequency = F.when(F.col("store_frequency") == 1, "single").when(F.col("store_frequency") > 1, "repeat")
-    facets = F.array(
-        F.struct(F.lit("amount").alias("facet"), bucket.alias("value")),
-        F.struct(F.lit("day_of_week").alias("facet"), F.col("day_of_week").cast("string").alias("value")),
-        F.struct(F.lit("store_frequency").alias("facet"), frequency.alias("value")),
+    is_counted = COUNTED in df.columns
+    values = {name: F.col(f"__{name}") for name in ("amount", "day_of_week", "store_frequency")} if is_counted else facets(df)
+    entries = F.array(*[F.struct(F.lit(name).alias("facet"), value.alias("value")) for name, value in values.items()])
+    rows = df.where(is_error()).select(F.inline(entries), *([COUNTED] if is_counted else [])).where("value is not null")
+    return rows.groupBy("facet", "value").agg(size(rows).alias("n_rows"))
+
+
+# ---- all counts of a report ------------------------------------------------------------------------------------
+#: The groupings that the sections of an error report need.
+GROUPINGS = {
+    "confusion": ["fold", ACTUAL, PREDICTED],
+    "slices": [MASK, ACTUAL, PREDICTED],
+    "stores": ["store_name", "__wrong"],
+    "facets": ["__amount", "__day_of_week", "__store_frequency", "__wrong"],
+}
+
+
+def tally(oof: DataFrame) -> dict[str, DataFrame]:
+    """Every count of an error report from one pass over the predictions: one aggregate over several groupings, written
+    once.  Each part is a counted table that the functions of this module and of ``evaluation`` take for the rows."""
+    rows = oof.select(
+        "fold", ACTUAL, PREDICTED, "store_name", is_error().alias("__wrong"), slice_mask(oof).alias(MASK),
+        *[F.when(is_error(), value).alias(f"__{name}") for name, value in facets(oof).items()],
     )
-    rows = df.where(is_error()).select(F.inline(facets)).where("value is not null")
-    return rows.groupBy("facet", "value").agg(F.count(F.lit(1)).alias("n_rows"))
+    keys = list(dict.fromkeys(k for part in GROUPINGS.values() for k in part))
+    sets = [[F.col(k) for k in part] for part in GROUPINGS.values()]
+    part = F.grouping_id(*[F.col(k) for k in keys]).alias("__part")
+    counted = materialize(rows.groupingSets(sets, *[F.col(k) for k in keys]).agg(part, F.count(F.lit(1)).alias(COUNTED)), "tally")
+
+    def of(name: str) -> DataFrame:
+        number = sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in GROUPINGS[name])
+        found = counted.where(F.col("__part") == number).select(*GROUPINGS[name], COUNTED)
+        if "__wrong" in GROUPINGS[name]:  # labels that say no more than whether they differ
+            found = found.withColumns({ACTUAL: F.lit("1"), PREDICTED: F.when(F.col("__wrong"), "0").otherwise("1")}).drop("__wrong")
+        return found
+
+    return {name: of(name) for name in GROUPINGS}
 
 
 def suggest_rules(df: DataFrame) -> DataFrame:

@@ -1,20 +1,31 @@
 """Confusion counts and the scores that follow from them.
 
 Predictions are counted once per (actual, predicted); everything after that works on a table of at most
-classes × classes rows, so no score needs a second pass over the predictions.
+classes × classes rows, so no score needs a second pass over the predictions.  All functions take predictions, or such
+counts in a column ``COUNTED``, as reports write them once for all their sections (``tally``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerspark.operators.encoding import class_labels
 
 ACTUAL, PREDICTED = "actual", "predicted"
+#: Rows that a row of a counted table stands for.
+COUNTED = "__rows"
+
+
+def size(df: DataFrame, condition: Column | None = None) -> Column:
+    """Aggregate: rows, or rows that meet a condition."""
+    if COUNTED not in df.columns:
+        return F.count(F.lit(1)) if condition is None else F.count_if(condition)
+    rows = F.col(COUNTED) if condition is None else F.when(condition, F.col(COUNTED)).otherwise(0)
+    return F.coalesce(F.sum(rows), F.lit(0))
 
 
 def confusion_counts(df: DataFrame, by: list[str] | None = None) -> DataFrame:
-    return df.groupBy(*(by or []), ACTUAL, PREDICTED).agg(F.count(F.lit(1)).alias("n"))
+    return df.groupBy(*(by or []), ACTUAL, PREDICTED).agg(size(df).alias("n"))
 
 
 def confusion_matrix(df: DataFrame, labels: list[str] | None = None) -> DataFrame:

@@ -36,25 +36,30 @@ def eda_report(df: DataFrame, target: str = K.TARGET) -> dict[str, DataFrame]:
 
 
 def error_report(oof: DataFrame) -> dict[str, DataFrame]:
-    """Error sections of an out-of-fold table; features it lacks are added."""
+    """Error sections of an out-of-fold table; features it lacks are added.
+
+    The table is read twice, whatever the number of sections: once for all counts, once for the examples.
+    """
     rows = oof if "store_frequency" in oof.columns else with_store_frequency(oof)
+    counts = errors.tally(rows)
+    confusion, slices = counts["confusion"], counts["slices"]
     return {
-        "folds": evaluation.macro_f1(rows, ["fold"]),
-        "overall": evaluation.fold_summary(rows),
-        "confusion_matrix": evaluation.confusion_matrix(rows),
-        "per_class_metrics": evaluation.per_class_metrics(rows),
-        "lowest_f1_classes": evaluation.lowest_f1_classes(rows),
-        "error_rates": evaluation.error_rate_chart(rows),
-        "top_misclassifications": evaluation.top_misclassifications(rows),
-        "confused_pairs": evaluation.confused_pairs(rows),
+        "folds": evaluation.macro_f1(confusion, ["fold"]),
+        "overall": evaluation.fold_summary(confusion),
+        "confusion_matrix": evaluation.confusion_matrix(confusion),
+        "per_class_metrics": evaluation.per_class_metrics(confusion),
+        "lowest_f1_classes": evaluation.lowest_f1_classes(confusion),
+        "error_rates": evaluation.error_rate_chart(confusion),
+        "top_misclassifications": evaluation.top_misclassifications(confusion),
+        "confused_pairs": evaluation.confused_pairs(confusion),
         "examples": errors.misclassified_examples(rows),
-        "keywords": errors.errors_by_keyword(rows),
-        "keyword_distribution": errors.keyword_distribution(rows),
-        "amounts": errors.errors_by_amount(rows),
-        "times": errors.errors_by_time(rows),
-        "stores": errors.errors_by_store(rows),
-        "profile": errors.misclassified_profile(rows),
-        "suggested_rules": errors.suggest_rules(rows),
+        "keywords": errors.errors_by_keyword(slices),
+        "keyword_distribution": errors.keyword_distribution(slices),
+        "amounts": errors.errors_by_amount(slices),
+        "times": errors.errors_by_time(slices),
+        "stores": errors.errors_by_store(counts["stores"]),
+        "profile": errors.misclassified_profile(counts["facets"]),
+        "suggested_rules": errors.suggest_rules(slices),
     }
 
 

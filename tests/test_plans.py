@@ -63,3 +63,45 @@ def test_scores_aggregate_before_the_shuffle(rows):
     df = rows.withColumns({"actual": F.col(K.TARGET), "predicted": F.lit("Travel")})
     plan = plan_of(evaluation.per_class_metrics(df))
     assert "partial_count" in plan and "Join" not in plan
+
+
+def test_an_error_report_reads_its_table_twice_and_counts_the_same(spark, rows, tmp_path):
+    from ledgerspark.operators.recurrence import with_store_frequency
+    from ledgerspark.plans import reports
+
+    labels = F.when(F.col(K.ID) % 7 == 0, "Travel").otherwise(F.col(K.TARGET))
+    oof = with_store_frequency(rows).withColumns({"actual": F.col(K.TARGET), "predicted": labels, "fold": (F.col(K.ID) % 5).cast("int")})
+    path = str(tmp_path / "oof")
+    oof.write.parquet(path)
+    oof = spark.read.parquet(path)
+    before = {s.id() for s in _executions(spark)}
+    report = reports.error_report(oof)
+    counting = [s for s in _executions(spark) if s.id() not in before and path in s.plan()]
+    assert len(counting) == 1  # the tally
+    direct = {
+        "folds": evaluation.macro_f1(oof, ["fold"]), "overall": evaluation.fold_summary(oof), "confusion_matrix": evaluation.confusion_matrix(oof),
+        "per_class_metrics": evaluation.per_class_metrics(oof), "top_misclassifications": evaluation.top_misclassifications(oof),
+        "keywords": errors.errors_by_keyword(oof), "keyword_distribution": errors.keyword_distribution(oof),
+        "amounts": errors.errors_by_amount(oof), "times": errors.errors_by_time(oof), "stores": errors.errors_by_store(oof),
+        "profile": errors.misclassified_profile(oof), "suggested_rules": errors.suggest_rules(oof),
+    }
+    for name, want in direct.items():
+        assert sorted(map(str, report[name].collect())) == sorted(map(str, want.select(report[name].columns).collect())), name
+    scanning = [name for name, df in report.items() if path in plan_of(df)]
+    assert scanning == ["examples"]
+
+
+class _Execution:
+    def __init__(self, data):
+        self.data = data
+
+    def id(self):
+        return self.data.executionId()
+
+    def plan(self):
+        return self.data.physicalPlanDescription()
+
+
+def _executions(spark):
+    found = spark._jsparkSession.sharedState().statusStore().executionsList()
+    return [_Execution(found.apply(i)) for i in range(found.size())]
