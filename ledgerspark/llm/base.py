@@ -8,16 +8,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType
 
+from ledgerspark.session import bound_batches
 from ledgerspark.storage import materialize
 
 #: Words are maximal runs of anything but these six bytes.
 SPACE_BYTES = "\\x20\\x09-\\x0D"
 
 
-#: Bytes of an Arrow batch; a single larger row stands alone.
-BATCH_BYTES = 16 * 1024 * 1024
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -27,11 +24,6 @@ def arrow_rows(spark: SparkSession, rows: int) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes, whatever rows hold; the same value for all, so the order of queries is no matter."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-
-
 def slices(batch: pa.RecordBatch, column: int, limit: int = 8_000_000) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose texts hold about ``limit`` bytes; one longer text stands alone."""
     texts = batch.column(column)
@@ -53,4 +45,4 @@ def text_or_empty(column: str):
     return F.coalesce(F.col(column).cast(StringType()), F.lit(""))
 
 
-__all__ = ["SPACE_BYTES", "arrow_rows", "bounded_batches", "materialize", "partitions", "slices", "table", "text_or_empty"]
+__all__ = ["SPACE_BYTES", "arrow_rows", "bound_batches", "materialize", "partitions", "slices", "table", "text_or_empty"]

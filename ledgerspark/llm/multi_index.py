@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from ledgerspark.llm.base import bounded_batches, materialize
+from ledgerspark.llm.base import bound_batches, materialize
 from ledgerspark.llm.components import connected_components
 from ledgerspark.storage import lookup
 
@@ -246,7 +246,7 @@ def near_duplicates(
     """One row per vector: ``id_col``, ``n_links long`` (other vectors linked directly) and ``component_id long`` (the
     smallest id reachable by links).  ``label_col`` None compares all with all."""
     spark = vectors.sparkSession
-    bounded_batches(spark)
+    bound_batches(spark)
     label = F.lit("") if label_col is None else F.col(label_col).cast("string")
     infinite = F.lit(float("inf"))
     usable = (

@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerspark.llm.base import bounded_batches, materialize
+from ledgerspark.llm.base import bound_batches, materialize
 from ledgerspark.storage import lookup
 
 #: Letters that the words of a group share at one end, at most.
@@ -74,7 +74,7 @@ def vocabulary(
 
     Runs whose hash with the document's id ``every`` divides lose a letter first: misspellings to be found.
     """
-    bounded_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession)
     rows = docs.select(
         F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text")
     ).where("text is not null")
@@ -197,7 +197,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def near_words(words: DataFrame, min_letters: int = MIN_LETTERS, block: int = BLOCK) -> DataFrame:
     """``word, n_near, best_n, best`` of each word of ``words (word, n)`` that has near ones."""
-    bounded_batches(words.sparkSession)
+    bound_batches(words.sparkSession)
     size = F.char_length("word")
     lengths = F.filter(F.array(size, size - 1), lambda x: x >= min_letters)
     each = words.select("word", "n", F.explode(lengths).alias("length")).withColumn("affix", F.least(F.lit(AFFIX), F.expr("int(length div 2)")))

@@ -37,7 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ledgerspark.llm.base import bounded_batches, materialize
+from ledgerspark.llm.base import bound_batches, materialize
 
 #: Bytes of the distinct terms of one automaton.
 GROUP_BYTES = 4 * 1024 * 1024
@@ -196,7 +196,7 @@ def rank(
 ) -> DataFrame:
     """``item_id, rank int, doc_id long, score long``: each item's ``k`` highest-scoring documents, best first."""
     spark = docs.sparkSession
-    bounded_batches(spark)
+    bound_batches(spark)
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(doc_text).cast("string").cast("binary").alias("text")).where("text is not null")
     kind = items.schema[item_id].dataType.simpleString()
     found = []
