@@ -162,8 +162,8 @@ def _leader_pairs(lists: DataFrame, weights: DataFrame, label: str) -> DataFrame
 def _compare(pairs: DataFrame, sets: DataFrame, percent: int, label: str) -> DataFrame:
     """``leader, member`` with set sizes, whether they are linked, and the shingles that one has and the other lacks.
 
-    An unlinked pair can only be reached by another one through enough shared extra shingles: a member that shares
-    little with the leader shows the first of its extra shingles only, one more than it can do without.
+    A member can only be linked to another one, beside the leader, through enough shared extra shingles: ``needed`` of
+    them at least.
     """
     one = sets.select(F.col("id").alias("leader"), F.col("n").alias("n_l"), F.col("shingles").alias("s_l"))
     two = sets.select(F.col("id").alias("member"), F.col("n").alias("n_m"), F.col("shingles").alias("s_m"))
@@ -171,9 +171,28 @@ def _compare(pairs: DataFrame, sets: DataFrame, percent: int, label: str) -> Dat
     both = F.size(F.array_intersect("s_l", "s_m")).cast("long")
     rows = rows.withColumn("both", both).withColumn("linked", _linked(F.col("both"), F.col("n_l"), F.col("n_m"), percent))
     needed = F.greatest(F.lit(1), F.ceil(F.col("n_m") * percent / 100).cast("int") - F.col("both").cast("int"))
-    extra = F.array_sort(F.array_except("s_m", "s_l"))
-    rows = rows.withColumn("extra", F.slice(extra, F.lit(1), F.greatest(F.lit(0), F.size(extra) - needed + 1)))
-    return materialize(rows.select("leader", "member", "n_l", "n_m", "both", "linked", "extra"), f"{label}-compared")
+    rows = rows.withColumn("needed", needed).withColumn("extra", F.array_except("s_m", "s_l"))
+    return materialize(rows.select("leader", "member", "n_l", "n_m", "both", "linked", "needed", "extra"), f"{label}-compared")
+
+
+def _children(compared: DataFrame, label: str) -> DataFrame:
+    """Lists of the next level, ``key long, id long``: members of one leader that share an extra shingle.
+
+    As in ``_lists``, members enter the lists of their rarest extra shingles only, as many as leave too few others for a
+    link, and shingles of one member alone take the first places without making a list.
+    """
+    values = compared.where(F.size("extra") >= F.col("needed")).select(
+        "leader", F.col("member").alias("id"), "needed", F.explode("extra").alias("value")
+    )
+    values = values.withColumn("key", F.xxhash64("leader", "value")).drop("value")
+    shared = materialize(values.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), f"{label}-shared")
+    held = (
+        values.join(shared, "key")
+        .groupBy("leader", "id", "needed")
+        .agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("held"))
+    )
+    length = F.size("held") - F.col("needed") + 1
+    return held.where(length > 0).select(F.explode(F.slice("held", F.lit(1), length)).alias("at"), "id").select("at.key", "id")
 
 
 def _differences(compared: DataFrame, sets: DataFrame, percent: int, label: str) -> DataFrame:
@@ -272,9 +291,7 @@ def near_duplicates(
         found = materialize(found.union(missing), f"{label}-edges")
         edges = found if edges is None else edges.union(found)
         components = materialize(connected_components(edges), f"{label}-components")
-        children = compared.select(F.explode("extra").alias("shingle"), "leader", F.col("member").alias("id"))
-        children = children.select(F.xxhash64("leader", "shingle").alias("key"), "id").distinct()
-        lists, short = _open_lists(children, components, f"bottomk-{level + 1}")
+        lists, short = _open_lists(_children(compared, label), components, f"bottomk-{level + 1}")
         if short:
             break
     last = materialize(_confirm(_expand(lists, sets, percent), classes, sets, percent, k, miss), "bottomk-last")
