@@ -11,6 +11,7 @@ from ledgerspark.fixtures import PROBS_B_FACTOR, duck, probs, txn
 from ledgerspark.functions.merchants import with_merchant
 from ledgerspark.operators import errors, evaluation, folds, probabilities as prob, recurrence, thresholds
 from ledgerspark.operators.encoding import code_of, label_at
+from ledgerspark.storage import materialize
 
 
 def predictions(spark, sf_dir):
@@ -429,9 +430,72 @@ def _tune_thresholds_grid(spark, sf_dir):
     return thresholds.grid_scores(_indexed(spark, sf_dir), [1.0] * len(K.CATEGORIES), GRID)
 
 
-@query("tune_thresholds")
+#: Steps of the ascent that the SQL spells out; once no change helps, a step changes nothing.
+SQL_STEPS = 24
+
+
+def _sql_step(step: int) -> str:
+    """The best single change of one weight in state ``w{step - 1}``, as state ``w{step}``."""
+    n = len(K.CATEGORIES)
+    w, low, high = f"w{step - 1}", *(f"{b}e0" for b in K.MULTIPLIER_BOUNDS)
+    f1 = " + ".join(f"f{k}" for k in range(n))
+    seen = " + ".join(f"CAST(f{k} IS NOT NULL AS INT)" for k in range(n))
+    moved = ", ".join(
+        f"""p.q{k} + s.s{k} + CASE WHEN e.c = {k} THEN gone ELSE -out{k} END AS size{k}, p.h{k} + CASE WHEN e.c = {k} THEN won ELSE -lost{k} END AS hit{k}"""
+        for k in range(n)
+    )
+    sums = ", ".join(
+        f"""coalesce(sum(sum(n) FILTER (WHERE rival = {k})) OVER o, 0) AS out{k}, coalesce(sum(sum(n) FILTER (WHERE rival = {k} AND actual = {k})) OVER o, 0) AS lost{k}"""
+        for k in range(n)
+    )
+    base = ", ".join(
+        f"""coalesce(sum(n) FILTER (WHERE CASE WHEN ratio = 0 THEN c ELSE rival END = {k}), 0) AS q{k},
+            coalesce(sum(n) FILTER (WHERE CASE WHEN ratio = 0 THEN c ELSE rival END = {k} AND actual = {k}), 0) AS h{k}"""
+        for k in range(n)
+    )
+    return f"""
+    r{step} AS MATERIALIZED (SELECT transaction_id, actual, k AS c, p AS own,
+        max(v) OVER (PARTITION BY transaction_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE CURRENT ROW) AS rival_score,
+        arg_max({{'v': v, 'k': -k}}, {{'v': v, 'k': -k}}) OVER (PARTITION BY transaction_id ORDER BY k
+            ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE CURRENT ROW) AS top
+        FROM (SELECT long.*, p * weights[k + 1] AS v FROM long, {w})),
+    e{step} AS MATERIALIZED (SELECT c, CAST(-top.k AS INT) AS rival, actual, CASE WHEN own <= 0 THEN NULL WHEN rival_score / own <= {low} THEN 0
+        WHEN rival_score / own < {high} THEN rival_score / own END AS ratio, count(*) AS n FROM r{step} GROUP BY ALL),
+    p{step} AS MATERIALIZED (SELECT c, {base} FROM e{step} GROUP BY c),
+    x{step} AS MATERIALIZED (SELECT c, ratio, {sums}, coalesce(sum(sum(n)) OVER o, 0) AS gone, coalesce(sum(sum(n) FILTER (WHERE actual = c)) OVER o, 0) AS won,
+        lead(ratio) OVER (PARTITION BY c ORDER BY ratio) AS following
+        FROM (SELECT * FROM e{step} WHERE ratio > 0 UNION ALL SELECT unnest(range({n})), -1, -1, {low}, 0) GROUP BY c, ratio
+        WINDOW o AS (PARTITION BY c ORDER BY ratio)),
+    m{step} AS MATERIALIZED (SELECT c, ratio, following, {moved} FROM x{step} e JOIN p{step} p USING (c), support s),
+    f{step} AS (SELECT c, ratio, following, {', '.join(f'CASE WHEN size{k} > 0 THEN 2e0 * hit{k} / size{k} END AS f{k}' for k in range(n))} FROM m{step}),
+    g{step} AS MATERIALIZED (SELECT c, ratio, following, round(({' + '.join(f'coalesce(f{k}, 0)' for k in range(n))}) / ({seen}), 12) AS f1 FROM f{step}),
+    b{step} AS MATERIALIZED (SELECT c, f1, (ratio + coalesce(following, {high})) / 2 AS multiplier FROM g{step} ORDER BY f1 DESC, c, ratio LIMIT 1),
+    w{step} AS MATERIALIZED (SELECT CASE WHEN b.f1 > w.f1 + 1e-9 THEN list_transform(weights, lambda x, i: CASE WHEN i = b.c + 1 THEN multiplier ELSE x END)
+        ELSE weights END AS weights, CASE WHEN b.f1 > w.f1 + 1e-9 THEN b.f1 ELSE w.f1 END AS f1,
+        w.steps + CASE WHEN b.f1 > w.f1 + 1e-9 THEN 1 ELSE 0 END AS steps FROM {w} w, b{step} b)"""
+
+
+def _sql_tuning(steps: int) -> str:
+    n = len(K.CATEGORIES)
+    named = ", ".join("'" + c.replace("'", "''") + "'" for c in K.CATEGORIES)
+    sizes = ", ".join(f"count(*) FILTER (WHERE actual = {k}) AS s{k}" for k in range(n))
+    return f"""WITH long AS MATERIALIZED (SELECT transaction_id, CAST(txn.ci AS INT) AS actual, CAST(k AS INT) AS k, p FROM probs JOIN txn USING (transaction_id)),
+        support AS MATERIALIZED (SELECT {sizes} FROM long WHERE k = 0),
+        plain AS (SELECT transaction_id, actual, -max({{'v': p, 'k': -k}}).k AS predicted FROM long GROUP BY ALL),
+        label AS (SELECT label, 2e0 * count(*) FILTER (WHERE actual = label AND predicted = label)
+                    / (count(*) FILTER (WHERE actual = label) + count(*) FILTER (WHERE predicted = label)) AS f
+                  FROM plain, (SELECT unnest(range({n})) AS label) GROUP BY label
+                  HAVING count(*) FILTER (WHERE actual = label) + count(*) FILTER (WHERE predicted = label) > 0),
+        w0 AS MATERIALIZED (SELECT list_transform(range({n}), lambda i: 1e0) AS weights, avg(f) AS f1, 0 AS steps FROM label),
+        {', '.join(_sql_step(i) for i in range(1, steps + 1))}
+        SELECT unnest([{named}]) AS label, round(unnest(w{steps}.weights), 6) AS multiplier, round(w0.f1, 6) AS raw_f1,
+               round(w{steps}.f1, 6) AS tuned_f1, CAST(w{steps}.steps AS BIGINT) AS n_steps FROM w0, w{steps}"""
+
+
+@query("tune_thresholds", duck(_sql_tuning(SQL_STEPS), "probs"))
 def _tune_thresholds(spark, sf_dir):
-    weights, steps = thresholds.tune_weights(_indexed(spark, sf_dir), len(K.CATEGORIES), GRID)
+    indexed = materialize(_indexed(spark, sf_dir), "indexed")
+    weights, steps = thresholds.tune_weights(indexed, len(K.CATEGORIES))
     rows = [
         F.struct(F.lit(label).alias("label"), F.lit(w).alias("multiplier")) for label, w in zip(K.CATEGORIES, weights)
     ]

@@ -135,17 +135,21 @@ WORD_NGRAMS = (1, 2)
 MAX_TERMS = 50_000  # of character n-grams; words are not bounded
 TARGET_ENCODING_SMOOTHING = 10.0
 BOOSTED_SETTINGS = {"iterations": 500, "learning_rate": 0.1, "depth": 6, "early_stop": 50}
-FOREST_SETTINGS = {"trees": 500, "leaves": 31, "subsample": 0.8, "colsample": 0.8, "min_leaf": 20}
+LEAFWISE_SETTINGS = {
+    "iterations": 500, "learning_rate": 0.1, "leaves": 31, "subsample": 0.8, "colsample": 0.8, "min_leaf": 20, "early_stop": 50,
+}
 SEARCH_SPACE = {
     "boosted_iterations": ("int", 300, 1000),
     "boosted_learning_rate": ("log", 0.01, 0.3),
     "boosted_depth": ("int", 4, 8),
+    "boosted_l2": ("log", 1.0, 10.0),
     "boosted_subsample": ("float", 0.6, 1.0),
-    "forest_trees": ("int", 300, 1000),
-    "forest_leaves": ("int", 15, 50),
-    "forest_subsample": ("float", 0.6, 1.0),
-    "forest_colsample": ("float", 0.6, 1.0),
-    "forest_min_leaf": ("int", 5, 30),
+    "leafwise_iterations": ("int", 300, 1000),
+    "leafwise_learning_rate": ("log", 0.01, 0.3),
+    "leafwise_leaves": ("int", 15, 50),
+    "leafwise_subsample": ("float", 0.6, 1.0),
+    "leafwise_colsample": ("float", 0.6, 1.0),
+    "leafwise_min_leaf": ("int", 5, 30),
 }
 SEARCH_TRIALS = 25
 SEARCH_STARTUP_TRIALS = 5

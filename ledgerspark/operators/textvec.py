@@ -8,19 +8,25 @@ against it, so the full table of terms per text is never stored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerspark import constants as K
 from ledgerspark.functions import text
 from ledgerspark.operators.ordering import with_label_rank
-from ledgerspark.storage import fits_broadcast, materialize
+from ledgerspark.session import bound_batches
+from ledgerspark.storage import fits_broadcast, lookup, materialize
 
 CHAR, WORD = "char", "word"
 BLOCK_TERMS = 4_096
+#: Texts of a row group, and tiles of one term block that a task meets.
+GROUP_ROWS = 1_024
+CHUNK_TILES = 64
 SUM_GROUPS = 128
 
 
@@ -150,105 +156,261 @@ def text_vectors(
     return materialize(joined, "vectors"), offset
 
 
-def _flat(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All entries of a batch of sparse rows: row starts, indices, weights.  Rows without entries are left out."""
-    kept = batch[batch["indices"].map(len) > 0]
-    if kept.empty:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    sizes = kept["indices"].map(len).to_numpy()
-    return np.cumsum(sizes) - sizes, np.concatenate(kept["indices"].to_numpy()).astype(np.int64), np.concatenate(kept["weights"].to_numpy())
+# ---- truncated SVD -----------------------------------------------------------------------------------------
+@dataclass
+class Basis:
+    """``rank`` orthonormal columns over all terms, as a written table of blocks of ``BLOCK_TERMS`` terms."""
 
+    table: DataFrame  # block int, values binary: terms × rank doubles
+    rank: int
 
-def _images(starts: np.ndarray, indices: np.ndarray, weights: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Rows times ``q``, by segmented sums over a batch's entries."""
-    return np.add.reduceat(q[indices] * weights[:, None], starts, axis=0)
 
+TILE = "group long, block int, rows binary, cols binary, weights binary, ids array<long>"
+IDS = -1  # the block number under which a row group keeps its ids
 
-def _partial_sums(vectors: DataFrame, basis: np.ndarray, gram: bool) -> np.ndarray:
-    """Sum over all texts of ``a (a·Q)`` (terms × l), or of ``(a·Q)(a·Q)`` (l × l) if ``gram``.
 
-    Every task adds up its texts and hands on its matrix in blocks of ``BLOCK_TERMS`` rows, without the blocks that it
-    has not touched.  Blocks are summed by a shuffle, so the driver receives one matrix.
+def _matrix(raw: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(raw, "<f8").reshape(-1, width)
+
+
+def tiles_of(vectors: DataFrame, id_column: str = K.ID) -> DataFrame:
+    """The sparse matrix cut into row groups and term blocks: one row per non-empty tile, and one with a group's ids.
+
+    A row group lies within one task, so nothing is shuffled.
     """
-    spark = vectors.sparkSession
-    shared = spark.sparkContext.broadcast(basis)
-    shape = (basis.shape[1] if gram else basis.shape[0], basis.shape[1])
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for start in range(0, len(batch), GROUP_ROWS):
+                part = batch.iloc[start : start + GROUP_ROWS]
+                out = [(group, IDS, b"", b"", b"", part["id"].to_numpy())]
+                sizes = part["indices"].map(len).to_numpy()
+                if sizes.sum():
+                    rows = np.repeat(np.arange(len(part)), sizes)
+                    terms = np.concatenate(part["indices"].to_numpy()).astype(np.int64)
+                    weights = np.concatenate(part["weights"].to_numpy())
+                    order = np.argsort(terms, kind="stable")
+                    rows, terms, weights = rows[order], terms[order], weights[order]
+                    blocks, first = np.unique(terms // BLOCK_TERMS, return_index=True)
+                    for block, low, high in zip(blocks.tolist(), first, [*first[1:], len(terms)]):
+                        cols = terms[low:high] - block * BLOCK_TERMS
+                        packed = (rows[low:high].astype("<i4").tobytes(), cols.astype("<i4").tobytes(), weights[low:high].astype("<f8").tobytes())
+                        out.append((group, block, *packed, np.zeros(0, np.int64)))
+                yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in TILE.split(", ")])
+                group += 1
+
+    bound_batches(vectors.sparkSession)
+    rows = vectors.select(F.col(id_column).cast("long").alias("id"), "indices", "weights")
+    tiles = materialize(rows.mapInPandas(cut, TILE), "svd-tiles")
+    # Tiles of a frequent block are dealt into chunks, so that no task meets all of them.
+    counts = materialize(tiles.groupBy("block").agg(F.count(F.lit(1)).alias("n")), "svd-blocks")
+    counts = counts.withColumn("chunks", F.ceil(F.col("n") / CHUNK_TILES).cast("int"))
+    dealt = lookup(tiles, counts, ["block"], ["chunks"], spread_by="group", weight="n")
+    return materialize(dealt.withColumn("chunk", F.pmod(F.xxhash64("group"), F.col("chunks")).cast("int")), "svd-tiles")
+
+
+def _entries(tile: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.frombuffer(tile["rows"], "<i4"), np.frombuffer(tile["cols"], "<i4"), np.frombuffer(tile["weights"], "<f8")
+
+
+def _segment_sums(keys: np.ndarray, values: np.ndarray) -> tuple[bytes, bytes]:
+    """Rows of ``values`` with equal keys added up: the distinct keys, and the sums."""
+    order = np.argsort(keys, kind="stable")
+    distinct, first = np.unique(keys[order], return_index=True)
+    return distinct.astype("<i4").tobytes(), np.add.reduceat(values[order], first, axis=0).astype("<f8").tobytes()
+
+
+PART = "key long, rows binary, values binary"
+
+
+def _add_parts(width: int):
+    """Sum of the sparse parts of one key, as a sparse part."""
+
+    def add(group: pa.Table) -> pa.Table:
+        rows = [np.frombuffer(r, "<i4") for r in group.column("rows").to_pylist()]
+        values = [_matrix(v, width) for v in group.column("values").to_pylist()]
+        keys, sums = _segment_sums(np.concatenate(rows), np.concatenate(values))
+        return pa.table({"key": group.column("key")[:1], "rows": pa.array([keys], pa.binary()), "values": pa.array([sums], pa.binary())})
+
+    return add
+
+
+def _summed(parts: DataFrame, width: int) -> DataFrame:
+    """Parts added up per key: first within groups of about a hundred tasks, so that no task holds all parts of a key."""
+    turned = parts.select("key", "rows", "values", F.pmod(F.spark_partition_id(), F.lit(SUM_GROUPS)).alias("turn"))
+    once = turned.groupBy("key", "turn").applyInArrow(_add_parts(width), PART)
+    return once.groupBy("key").applyInArrow(_add_parts(width), PART)
+
+
+def _parts(rows: list[tuple]) -> pa.Table:
+    kinds = (("key", pa.int64()), ("rows", pa.binary()), ("values", pa.binary()))
+    return pa.table({name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(kinds)})
+
+
+def images(tiles: DataFrame, basis: Basis) -> DataFrame:
+    """``key`` (row group), ``rows``, ``values``: every text's coordinates in the basis; texts without terms are left out."""
+    width = basis.rank
+
+    def multiply(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return _parts([])
+        q, out = _matrix(right.column("values")[0].as_py(), width), []
+        for tile in left.to_pylist():
+            rows, cols, weights = _entries(tile)
+            out.append((tile["group"], *_segment_sums(rows, q[cols] * weights[:, None])))
+        return _parts(out)
+
+    inner = tiles.where(F.col("block") != IDS)
+    chunks = inner.groupBy("block").agg(F.max("chunks").alias("chunks"))
+    sent = basis.table.join(chunks, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "values")
+    both = inner.groupBy("block", "chunk").cogroup(sent.groupBy("block", "chunk")).applyInArrow(multiply, PART)
+    return _summed(both, width)
+
+
+def _back(tiles: DataFrame, image: DataFrame, width: int, n_terms: int) -> DataFrame:
+    """The transposed matrix times the images, as a written table of term blocks."""
+
+    def multiply(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return _parts([])
+        y = np.zeros((GROUP_ROWS, width))
+        one = right.to_pylist()[0]
+        y[np.frombuffer(one["rows"], "<i4")] = _matrix(one["values"], width)
+        out = []
+        for tile in left.to_pylist():
+            rows, cols, weights = _entries(tile)
+            out.append((tile["block"], *_segment_sums(cols, y[rows] * weights[:, None])))
+        return _parts(out)
+
+    def dense(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for key, rows, values in zip(batch["key"], batch["rows"], batch["values"]):
+                whole = np.zeros((min(BLOCK_TERMS, n_terms - key * BLOCK_TERMS), width))
+                whole[np.frombuffer(rows, "<i4")] = _matrix(values, width)
+                yield pd.DataFrame({"block": [key], "values": [whole.tobytes()]})
+
+    inner = tiles.where(F.col("block") != IDS).select("group", "block", "rows", "cols", "weights")
+    both = inner.groupBy("group").cogroup(image.groupBy("key")).applyInArrow(multiply, PART)
+    return materialize(_summed(both, width).mapInPandas(dense, "block int, values binary"), "svd-basis")
+
+
+def _gram(parts: DataFrame, width: int) -> np.ndarray:
+    """Inner products of the columns of a matrix that is given in parts: the only sums that reach the driver."""
 
     def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q, total = shared.value, np.zeros(shape)
+        total = np.zeros((width, width))
+        for batch in batches:
+            for values in batch["values"]:
+                part = _matrix(values, width)
+                total += part.T @ part
+        yield pd.DataFrame({"at": range(width * width), "x": total.ravel()})
+
+    found = parts.select("values").mapInPandas(add_up, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect()
+    gram = np.zeros(width * width)
+    for r in found:
+        gram[r["at"]] = r["x"]
+    return gram.reshape(width, width)
+
+
+def _times(table: DataFrame, width: int, factor: np.ndarray) -> DataFrame:
+    """Every block times a small matrix."""
+
+    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            starts, indices, weights = _flat(batch)
-            if not len(starts):
-                continue
-            image = _images(starts, indices, weights, q)
-            if gram:
-                total += image.T @ image
-            else:
-                rows = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(indices))))
-                order = np.argsort(indices, kind="stable")
-                terms, first = np.unique(indices[order], return_index=True)
-                total[terms] += np.add.reduceat(image[rows[order]] * weights[order][:, None], first, axis=0)
-        for block in range(0, shape[0], BLOCK_TERMS):
-            part = total[block : block + BLOCK_TERMS]
-            if part.any():
-                yield pd.DataFrame({"block": [block], "part": [part.tobytes()]})
-
-    def sum_blocks(group: pa.Table) -> pa.Table:
-        out = None
-        for raw in group.column("part"):
-            part = np.frombuffer(raw.as_py())
-            out = part.copy() if out is None else out + part
-        return pa.table({"block": group.column("block")[:1], "part": pa.array([out.tobytes()], pa.binary())})
-
-    parts = vectors.select("indices", "weights").mapInPandas(add_up, "block int, part binary")
-    # First within groups of about a hundred tasks, then over the groups, so that no task holds all parts of a block.
-    parts = parts.select("block", "part", F.pmod(F.spark_partition_id(), F.lit(SUM_GROUPS)).alias("turn"))
-    once = parts.groupBy("block", "turn").applyInArrow(sum_blocks, "block int, part binary")
-    summed = once.groupBy("block").applyInArrow(sum_blocks, "block int, part binary")
-    result = np.zeros(shape)
-    for row in summed.toLocalIterator():
-        part = np.frombuffer(bytes(row["part"])).reshape(-1, shape[1])
-        result[row["block"] : row["block"] + len(part)] = part
-    shared.unpersist()
-    return result
-
-
-def fit_svd(
-    vectors: DataFrame, n_terms: int, k: int, iterations: int = 5, oversample: int = 10, seed: int = K.SEED
-) -> np.ndarray:
-    """Right singular vectors (terms × k) of the uncentred matrix, by randomized subspace iteration.
-
-    ``iterations`` + 2 passes over the written ``vectors``, whatever their number.  What the driver holds is
-    bounded by the vocabularies and ``k``.
+            yield pd.DataFrame({"block": batch["block"], "values": [(_matrix(v, width) @ factor).tobytes() for v in batch["values"]]})
+
+    return materialize(table.mapInPandas(multiply, "block int, values binary"), "svd-basis")
+
+
+def orthonormal(table: DataFrame, width: int) -> Basis:
+    """The same span with orthonormal columns, through the small Gram matrix; twice, as once loses half of the digits.
+
+    Directions that are no more than rounding are dropped, so the rank may be smaller than ``width``.
     """
+    for least in (1e-14, 0.25):  # after the first round the Gram matrix is near the identity
+        values, vectors = np.linalg.eigh(_gram(table, width))
+        kept = values > least * max(values.max(initial=0.0), 1e-300)
+        factor = vectors[:, kept] / np.sqrt(values[kept])
+        table, width = _times(table, width, factor), int(kept.sum())
+        if not width:
+            break
+    return Basis(table, width)
+
+
+def fit_svd(vectors: DataFrame, n_terms: int, k: int, iterations: int = 5, oversample: int = 10, seed: int = K.SEED) -> Basis:
+    """Right singular vectors of the uncentred matrix, by randomized subspace iteration.
+
+    The basis is a table of term blocks all along: images and blocks are joined and summed by shuffles, columns are made
+    orthonormal through their Gram matrix.  The driver holds matrices of ``k`` + ``oversample`` rows and columns only.
+    Signs are such that the entry of largest size in a column is positive (ties: the first term's).
+    """
+    spark = vectors.sparkSession
+    tiles = tiles_of(vectors)
     width = min(k + oversample, n_terms)
-    basis, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((n_terms, width)))
+
+    def start(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for block in batch["id"]:
+                drawn = np.random.default_rng([seed, block]).standard_normal((min(BLOCK_TERMS, n_terms - block * BLOCK_TERMS), width))
+                yield pd.DataFrame({"block": [block], "values": [drawn.tobytes()]})
+
+    blocks = spark.range(-(-n_terms // BLOCK_TERMS)).mapInPandas(start, "block int, values binary")
+    if not width:
+        return Basis(materialize(blocks, "svd-basis"), 0)
+    basis = orthonormal(materialize(blocks, "svd-basis"), width)
     for _ in range(iterations + 1):
-        basis, _ = np.linalg.qr(_partial_sums(vectors, basis, gram=False))
-    values, rotation = np.linalg.eigh(_partial_sums(vectors, basis, gram=True))
-    components = basis @ rotation[:, np.argsort(values)[::-1][: min(k, width)]]
-    largest = components[np.abs(components).argmax(axis=0), np.arange(components.shape[1])]
-    return components * np.where(largest < 0, -1.0, 1.0)
+        basis = orthonormal(_back(tiles, images(tiles, basis), basis.rank, n_terms), basis.rank)
+        if not basis.rank:
+            return basis
+    values, rotation = np.linalg.eigh(gram_of(tiles, basis))
+    rotation = rotation[:, np.argsort(values)[::-1][:k]]
+    rotated = Basis(_times(basis.table, basis.rank, rotation), rotation.shape[1])
+    return Basis(_times(rotated.table, rotated.rank, np.diag(_signs(rotated))), rotated.rank)
 
 
-def gram_of(vectors: DataFrame, basis: np.ndarray) -> np.ndarray:
+def _signs(basis: Basis) -> np.ndarray:
+    width = basis.rank
+
+    def largest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for block, values in zip(batch["block"], batch["values"]):
+                part = _matrix(values, width)
+                at = np.abs(part).argmax(axis=0)
+                top = part[at, np.arange(width)]
+                yield pd.DataFrame({"col": range(width), "size": np.abs(top), "term": block * BLOCK_TERMS + at, "x": top})
+
+    each = basis.table.mapInPandas(largest, "col int, size double, term long, x double")
+    best = each.groupBy("col").agg(F.max_by("x", F.struct("size", -F.col("term"))).alias("x")).collect()
+    signs = np.ones(width)
+    for r in best:
+        signs[r["col"]] = -1.0 if r["x"] < 0 else 1.0
+    return signs
+
+
+def gram_of(tiles: DataFrame, basis: Basis) -> np.ndarray:
     """Inner products of the coordinates over all texts; diagonal for singular vectors."""
-    return _partial_sums(vectors, basis, gram=True)
+    return _gram(images(tiles, basis), basis.rank)
+
+
+def gram_of_basis(basis: Basis) -> np.ndarray:
+    """Inner products of the basis columns; the identity up to rounding."""
+    return _gram(basis.table, basis.rank)
 
 
-def project(vectors: DataFrame, basis: np.ndarray, id_column: str = K.ID, out: str = "text_svd") -> DataFrame:
-    """Coordinates of every text in the basis, as ``array<double>``."""
-    shared = vectors.sparkSession.sparkContext.broadcast(basis)
+def project(vectors: DataFrame, basis: Basis, id_column: str = K.ID, out: str = "text_svd") -> DataFrame:
+    """Coordinates of every text in the basis, as ``array<double>``; zeros for texts without known terms."""
+    tiles, width = tiles_of(vectors, id_column), basis.rank
 
-    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        v = shared.value
-        for indices, weights in batches:
-            batch = pd.DataFrame({"indices": indices, "weights": weights})
-            image = np.zeros((len(batch), v.shape[1]))
-            starts, flat, values = _flat(batch)
-            if len(starts):
-                image[(indices.map(len) > 0).to_numpy()] = _images(starts, flat, values, v)
-            yield pd.Series(list(image))
+    def unpack(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids = left.column("ids")[0].as_py() if left.num_rows else []
+        y = np.zeros((len(ids), width))
+        for one in right.to_pylist():
+            y[np.frombuffer(one["rows"], "<i4")] = _matrix(one["values"], width)
+        return pa.table({"id": pa.array(ids, pa.int64()), "at": pa.array(list(y), pa.list_(pa.float64()))})
 
-    apply = F.pandas_udf(score, "array<double>")
-    return vectors.select(id_column, apply("indices", "weights").alias(out))
+    if not width:
+        return vectors.select(id_column, F.array().cast("array<double>").alias(out))
+    groups = tiles.where(F.col("block") == IDS).select("group", "ids").groupBy("group")
+    rows = groups.cogroup(images(tiles, basis).groupBy("key")).applyInArrow(unpack, "id long, at array<double>")
+    return rows.select(F.col("id").alias(id_column), F.col("at").alias(out))

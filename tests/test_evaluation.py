@@ -110,3 +110,57 @@ def test_grid_equals_scoring_each_candidate_and_tuning_helps(spark):
     assert steps[-1]["macro_f1"] >= steps[0]["macro_f1"]
     assert thresholds.score_weights(df, tuned) == pytest.approx(steps[-1]["macro_f1"])
     assert 1.0 in thresholds.default_candidates()
+
+
+def brute_sweep(rows, weights, c):
+    """Best macro F1 of class ``c`` over every stretch between switching points, and the middle of the first such stretch."""
+    low, high = 0.1, 10.0
+    points = {low}
+    for p, _ in rows:
+        others = [q * w for j, (q, w) in enumerate(zip(p, weights)) if j != c]
+        if p[c] > 0 and low < max(others) / p[c] < high:
+            points.add(max(others) / p[c])
+    ordered = [*sorted(points), high]
+    best = (-1.0, 0.0)
+    for left, right in zip(ordered, ordered[1:]):
+        tried = [*weights]
+        tried[c] = (left + right) / 2
+        pairs = []
+        for p, actual in rows:
+            scaled = [q * w for q, w in zip(p, tried)]
+            pairs.append((actual, scaled.index(max(scaled))))
+        found = scores(pairs)
+        best = max(best, (round(sum(found.values()) / len(found), 12), -tried[c]))
+    return best[0], -best[1]
+
+
+@pytest.fixture
+def shares(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(150):
+        p = [rng.choice([0.0, 0.1, 0.2, 0.3, 0.5]) + rng.random() * (i % 3 > 0) for _ in range(4)]
+        p = p if sum(p) else [1.0, 0.0, 0.0, 0.0]
+        rows.append(([x / sum(p) for x in p], rng.choice([0, 0, 1, 1, 1, 2])))  # class 3 is never right
+    return rows, spark.createDataFrame(rows, "probabilities array<double>, actual_index int")
+
+
+@pytest.mark.parametrize("weights, rows_per_range", [([1.0] * 4, 100_000), ([1.0, 0.3, 2.5, 0.7], 20)])
+def test_sweep_equals_brute_force_over_all_switching_points(shares, weights, rows_per_range, monkeypatch):
+    rows, df = shares
+    if rows_per_range < 100:
+        monkeypatch.setattr("ledgerspark.operators.ordering.SMALL_RANGE", 20)
+    got = {r["class_index"]: (r["macro_f1"], r["multiplier"]) for r in thresholds.sweep(df, weights, rows_per_range).collect()}
+    assert got == {c: pytest.approx(brute_sweep(rows, weights, c)) for c in range(4)}
+
+
+def test_exact_weights_are_at_least_as_good_as_the_grid(shares):
+    rows, df = shares
+    exact, steps = thresholds.tune_weights(df, 4)
+    _, on_grid = thresholds.tune_weights(df, 4, thresholds.default_candidates())
+    assert steps[1]["macro_f1"] >= on_grid[1]["macro_f1"] - 1e-12
+    assert thresholds.score_weights(df, exact) == pytest.approx(steps[-1]["macro_f1"])
+    assert all(a["macro_f1"] < b["macro_f1"] for a, b in zip(steps, steps[1:]))
+    assert all(0.1 <= w <= 10 for w in exact)
+    # No single change helps any more.
+    assert max(brute_sweep(rows, exact, c)[0] for c in range(4)) <= steps[-1]["macro_f1"] + 1e-9

@@ -8,7 +8,7 @@ from ledgerspark.fixtures import txn
 from ledgerspark.operators import evaluation, models, textvec
 from ledgerspark.plans import scoring, training
 
-FOREST = {"trees": 5, "leaves": 16, "min_leaf": 2}
+LEAFWISE = {"iterations": 5, "leaves": 8, "min_leaf": 2}
 
 
 @pytest.fixture(scope="module")
@@ -67,22 +67,51 @@ def test_word_grams(spark):
     assert [r[0] for r in df.select(textvec.word_grams(F.col("w"))).collect()] == [["a", "b", "c", "a b", "b c"], ["a"], []]
 
 
-def test_svd_matches_a_dense_one(spark, rows):
-    vocabularies = {k: textvec.fit_vocabulary(rows, k, max_terms=60) for k in ("char", "word")}
-    vectors, n_terms = textvec.text_vectors(rows, vocabularies)
-    basis = textvec.fit_svd(vectors, n_terms, 3, iterations=12)  # enough to converge
-    quick = textvec.fit_svd(vectors, n_terms, 3)
+def dense_vectors(vectors, n_terms):
     dense = np.zeros((vectors.count(), n_terms))
-    collected = vectors.orderBy("transaction_id").collect()
-    for i, r in enumerate(collected):
+    for i, r in enumerate(vectors.orderBy("transaction_id").collect()):
         dense[i, r["indices"]] = r["weights"]
+    return dense
+
+
+def loadings(basis):
+    rows = basis.table.orderBy("block").collect()
+    return np.vstack([np.frombuffer(bytes(r["values"])).reshape(-1, basis.rank) for r in rows])
+
+
+def test_svd_matches_a_dense_one(spark, rows, monkeypatch):
+    vocabularies = {k: textvec.fit_vocabulary(rows, k, max_terms=60) for k in ("char", "word")}
+    vectors, n_terms = textvec.text_vectors(rows, vocabularies)
+    dense = dense_vectors(vectors, n_terms)
     _, singular, vt = np.linalg.svd(dense, full_matrices=False)
-    assert basis.shape == (n_terms, 3)
-    found = np.linalg.norm(dense @ basis, axis=0)
-    assert found == pytest.approx(singular[:3], rel=1e-6)
-    assert np.linalg.norm(dense @ quick, axis=0) == pytest.approx(singular[:3], rel=1e-3)
+    quick = textvec.fit_svd(vectors, n_terms, 3)
+    assert np.linalg.norm(dense @ loadings(quick), axis=0) == pytest.approx(singular[:3], rel=1e-3)
+    # Small blocks, groups and chunks, so that all sums run over several parts; enough rounds to converge.
+    for name, value in {"BLOCK_TERMS": 16, "GROUP_ROWS": 100, "CHUNK_TILES": 3}.items():
+        monkeypatch.setattr(textvec, name, value)
+    basis = textvec.fit_svd(vectors, n_terms, 3, iterations=8)
+    v = loadings(basis)
+    assert v.shape == (n_terms, 3) and v.T @ v == pytest.approx(np.eye(3), abs=1e-9)
+    assert np.linalg.norm(dense @ v, axis=0) == pytest.approx(singular[:3], rel=1e-6)
+    top = np.abs(v).argmax(axis=0)
+    assert (v[top, range(3)] > 0).all()
+    assert np.abs((v * vt[:3].T).sum(axis=0)) == pytest.approx(np.ones(3), abs=1e-4)  # the same axes up to sign
     projected = textvec.project(vectors, basis).orderBy("transaction_id").collect()
-    assert np.array([r["text_svd"] for r in projected]) == pytest.approx(dense @ basis, abs=1e-9)
+    assert np.array([r["text_svd"] for r in projected]) == pytest.approx(dense @ v, abs=1e-9)
+    assert textvec.gram_of(textvec.tiles_of(vectors), basis) == pytest.approx((dense @ v).T @ (dense @ v), abs=1e-7)
+
+
+def test_svd_of_low_rank_and_of_nothing(spark):
+    texts = [(i, t) for i, t in enumerate(["ab cd", "ab cd", "ef", "ef gh", None, ""] * 3)]
+    df = spark.createDataFrame(texts, "transaction_id long, description string")
+    vocabularies = {"word": textvec.fit_vocabulary(df, "word")}
+    vectors, n_terms = textvec.text_vectors(df, vocabularies)
+    basis = textvec.fit_svd(vectors, n_terms, 50)
+    assert basis.rank == np.linalg.matrix_rank(dense_vectors(vectors, n_terms)) == 3
+    none = spark.createDataFrame([(1, None)], "transaction_id long, description string")
+    vectors, n_terms = textvec.text_vectors(none, {"word": textvec.fit_vocabulary(none, "word")})
+    empty = textvec.fit_svd(vectors, n_terms, 5)
+    assert n_terms == 0 and empty.rank == 0 and textvec.project(vectors, empty).count() == 0
 
 
 def test_class_weights_balance(rows):
@@ -91,7 +120,7 @@ def test_class_weights_balance(rows):
 
 
 @pytest.mark.parametrize("kind, settings", [
-    ("forest", FOREST), ("logistic", {"iterations": 5}), ("boosted", {"iterations": 2, "depth": 2}),
+    ("leafwise", LEAFWISE), ("logistic", {"iterations": 5}), ("boosted", {"iterations": 2, "depth": 2}),
 ])
 def test_models_give_distributions(matrix, kind, settings):
     unseen_class = matrix.labels[-1]
@@ -107,20 +136,24 @@ def test_models_give_distributions(matrix, kind, settings):
 
 
 def test_cross_validation_covers_the_last_five_sixths(matrix):
-    oof = training.cross_validate(matrix, "forest", FOREST)
+    oof, fitted = training.cross_validate(matrix, "leafwise", LEAFWISE, final=True)
     assert {r["fold"]: r["n"] for r in oof.groupBy("fold").agg(F.count("*").alias("n")).collect()} == {k: 166 for k in range(1, 6)}
     assert oof.select(K.ID).distinct().count() == 830
     assert oof.where("max_probability > array_max(probabilities) or actual <> category").count() == 0
-    majority = models.majority_class(matrix.rows).first()["accuracy"]
-    accuracy = oof.agg(F.avg((F.col("actual") == F.col("predicted")).cast("double"))).first()[0]
-    assert accuracy >= majority
+    assert oof.where(F.col("predicted").isin(matrix.labels) & F.col("max_probability").between(0.1 - 1e-9, 1 + 1e-9)).count() == 830
     both = training.ensemble_summary(oof, oof, matrix.labels).collect()
     assert len(both) == 6 and all(r["improvement"] == pytest.approx(0) for r in both)
     assert evaluation.macro_f1_score(oof) > 0
+    # Each fold keeps its best round, the final model their mean; history and table agree.
+    assert len(fitted) == 6 and len(fitted[-1].trees) == max(1, round(sum(len(m.trees) for m in fitted[:5]) / 5))
+    history = training.round_history(matrix.rows.sparkSession, fitted[:5])
+    chosen = {r["fold"]: r for r in history.where("is_chosen").collect()}
+    by_fold = {r["fold"]: r["macro_f1"] for r in evaluation.macro_f1(oof, ["fold"]).collect()}
+    assert {k: r["macro_f1"] for k, r in chosen.items()} == pytest.approx(by_fold)
 
 
 def test_trained_model_survives_saving_and_scores_unseen_merchants(spark, rows, tmp_path):
-    trained = training.train(rows, "forest", FOREST, n_folds=2, candidates=[0.5, 1.0, 2.0], text_rank=2, max_terms=50)
+    trained = training.train(rows, "leafwise", LEAFWISE, n_folds=2, text_rank=2, max_terms=50)
     assert trained.tuned_f1 >= trained.raw_f1
     training.save_trained(trained, str(tmp_path), "m")
     scorer = scoring.load_scorer(spark, str(tmp_path), "m")
@@ -130,8 +163,9 @@ def test_trained_model_survives_saving_and_scores_unseen_merchants(spark, rows,
     assert scored.count() == 1000 and scored.where(f"{K.TARGET} is null or max_probability is null").count() == 0
 
 
-def test_scoring_training_rows_equals_the_in_memory_model(spark, rows, tmp_path):
-    trained = training.train(rows, "forest", FOREST, n_folds=2, candidates=[1.0])
+@pytest.mark.parametrize("kind, settings", [("boosted", {"iterations": 3, "depth": 3}), ("logistic", {"iterations": 5})])
+def test_scoring_training_rows_equals_the_in_memory_model(spark, rows, tmp_path, kind, settings):
+    trained = training.train(rows, kind, settings, n_folds=2)
     training.save_trained(trained, str(tmp_path), "m")
     loaded = scoring.run_scoring(spark, rows.drop(K.TARGET), str(tmp_path), "m", str(tmp_path / "out"))
     direct = models.score(trained.model, training.matrix_for(rows, trained.matrix), trained.matrix.labels)
@@ -139,25 +173,53 @@ def test_scoring_training_rows_equals_the_in_memory_model(spark, rows, tmp_path)
     assert joined.where("probabilities <> q").count() == 0 and joined.count() == 1000
 
 
-def test_search_prunes_and_reports(matrix, monkeypatch):
+def sequential_pruning(scores, startup, warmup):
+    """Trials one after another, as the rule is usually stated."""
+    seen, stopped = [], {}
+    for number in sorted(scores):
+        means = []
+        for k, _ in enumerate(scores[number], start=1):
+            means.append(np.mean(scores[number][:k]))
+            earlier = [m[k - 1] for m in seen if len(m) >= k]
+            if number >= startup and k > warmup and earlier and means[-1] < np.median(earlier):
+                stopped[number] = k
+                break
+        seen.append(means)
+    return stopped
+
+
+def test_pruning_side_by_side_equals_one_after_another():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        scores = {n: [float(x) for x in rng.random(4)] for n in range(12)}
+        assert training.pruned_at(scores, 3, 1) == sequential_pruning(scores, 3, 1)
+        # Scores that a pruned trial never got make no difference.
+        cut = {n: s[: training.pruned_at(scores, 3, 1).get(n, 4)] for n, s in scores.items()}
+        assert training.pruned_at(cut, 3, 1) == training.pruned_at(scores, 3, 1)
+
+
+def test_search_reports_prunes_and_goes_on_where_it_stopped(spark, matrix, tmp_path, monkeypatch):
     import random
 
-    scripted = iter([0.9, 0.9, 0.9, 0.1, 0.1])
-    monkeypatch.setattr(evaluation, "macro_f1_score", lambda df: next(scripted))
-    space = {"boosted_iterations": ("int", 1, 1), "boosted_depth": ("int", 2, 2), "forest_trees": ("int", 2, 2), "forest_leaves": ("int", 4, 4)}
-    trials, best = training.search(matrix, n_trials=2, space=space, n_folds=3, startup=1)
-    states = {r["number"]: r["state"] for r in trials.collect()}
-    assert states == {0: "COMPLETE", 1: "PRUNED"} and best["number"] == 0
+    space = {"boosted_iterations": ("int", 1, 2), "boosted_depth": ("int", 2, 2), "leafwise_iterations": ("int", 1, 2), "leafwise_leaves": ("int", 4, 4)}
+    options = {"n_trials": 3, "space": space, "n_folds": 2, "startup": 1, "warmup": 0, "path": str(tmp_path), "bins": 8}
+    trials, best = training.search(matrix, **options)
+    rows = {r["number"]: r for r in trials.collect()}
+    scores = {n: r["fold_scores"] for n, r in rows.items()}
+    stopped = sequential_pruning(scores, 1, 0)
+    assert {n for n, r in rows.items() if r["state"] == "PRUNED"} == set(stopped)
+    assert all(len(scores[n]) == stopped.get(n, 2) for n in rows) and rows[best["number"]]["is_best"]
+
+    def no_fit(*_, **__):
+        raise AssertionError("fitted again")
+
+    monkeypatch.setattr("ledgerspark.operators.boosting.fit_ensembles", no_fit)
+    again, _ = training.search(matrix, **options)
+    assert {r["number"]: r["fold_scores"] for r in again.collect()} == scores
     values = training.suggest(random.Random(1), K.SEARCH_SPACE)
     assert all(lo <= values[k] <= hi for k, (_, lo, hi) in K.SEARCH_SPACE.items())
 
 
-def test_boosted_models_can_stop_early(matrix):
-    settings = {"iterations": 6, "depth": 2, "tolerance": 10.0}
-    oof = training.cross_validate(matrix, "boosted", settings, n_folds=1, early_stop=True)
-    assert oof.count() == 500 and oof.where("max_probability between 0 and 1").count() == 500
-
-
 def test_jobs_from_file_to_submission(spark, rows, tmp_path, monkeypatch):
     from ledgerspark import __main__ as jobs
 
@@ -173,9 +235,9 @@ def test_jobs_from_file_to_submission(spark, rows, tmp_path, monkeypatch):
     job("load", *cached, "--out", str(tmp_path / "load"))
     job("eda", *cached, "--out", str(tmp_path / "eda"))
     job("features", *cached, "--out", str(tmp_path / "features"), "--extended")
-    job("train", *cached, "--out", str(tmp_path / "model"), "--model", "forest", "--text-rank", "2")
+    job("train", *cached, "--out", str(tmp_path / "model"), "--model", "leafwise", "--text-rank", "2")
     job("errors", "--oof", str(tmp_path / "model" / "oof"), "--out", str(tmp_path / "errors"))
-    job("score", "--test", str(tmp_path / "test"), "--model", "forest", "--model-dir", str(tmp_path / "model"),
+    job("score", "--test", str(tmp_path / "test"), "--model", "leafwise", "--model-dir", str(tmp_path / "model"),
         "--out", str(tmp_path / "submission"))
     assert len(list((tmp_path / "eda").iterdir())) == 18 and len(list((tmp_path / "errors").iterdir())) == 16
     assert spark.read.parquet(str(tmp_path / "features")).count() == 1000
@@ -188,6 +250,6 @@ def test_jobs_from_file_to_submission(spark, rows, tmp_path, monkeypatch):
 
 def _small_train(train):
     def run(df, kind, **options):
-        return train(df, kind, FOREST, candidates=[0.5, 1.0, 2.0], max_terms=50, **options)
+        return train(df, kind, LEAFWISE, max_terms=50, **options)
 
     return run
