@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 from operator import and_
 from typing import NamedTuple
@@ -28,6 +30,8 @@ SALTS = 256
 
 #: Folders of local sessions without ``spark.checkpoint.dir``, by application.
 _LOCAL_FOLDERS: dict[str, str] = {}
+#: Lists that note the scratch paths being handed out.
+_RECORDS: list[list[str]] = []
 
 
 def broadcast_limit(spark: SparkSession) -> int:
@@ -58,7 +62,31 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/ledgerspark/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/ledgerspark/{label}-{uuid.uuid4().hex}"
+    for made in _RECORDS:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The scratch paths handed out inside, for ``release`` once nothing reads them any more."""
+    made: list[str] = []
+    _RECORDS.append(made)
+    try:
+        yield made
+    finally:
+        _RECORDS[:] = [r for r in _RECORDS if r is not made]
+
+
+def release(spark: SparkSession, paths: list[str], still_read: DataFrame | None = None) -> None:
+    """Delete scratch tables, but for those that the plan of ``still_read`` reads."""
+    files = still_read.inputFiles() if still_read is not None else []
+    names = {part for f in files for part in f.split("/")}
+    for path in paths:
+        if path.rsplit("/", 1)[-1] not in names:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -118,3 +118,19 @@ def test_sequential_ids(spark):
     assert eda.sequential_id(ids.where("transaction_id <> 4")).first()["is_sequential"] == 0
     doubled = ids.where("transaction_id <> 4").union(ids.where("transaction_id = 5"))
     assert eda.sequential_id(doubled).first()["is_sequential"] == 0
+
+
+def test_released_tables_are_gone_but_for_those_still_read(spark):
+    import os
+
+    from ledgerspark.storage import materialize, recorded, release
+
+    with recorded() as made:
+        kept, gone = materialize(spark.range(3), "kept"), materialize(spark.range(4), "gone")
+    assert len(made) == 2 and gone.count() == 4
+    release(spark, made, kept.where("id > 0"))
+    assert [os.path.isdir(p.removeprefix("file:")) for p in made] == [True, False]
+    assert kept.count() == 3
+    with recorded() as other:
+        pass
+    assert other == [] and len(made) == 2
