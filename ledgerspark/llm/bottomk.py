@@ -40,6 +40,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerspark.llm.base import materialize, slices, text_or_empty
 from ledgerspark.llm.components import connected_components
+from ledgerspark.storage import fits_broadcast
 
 K = 64
 #: Least overlap of two full sketches that is followed up.
@@ -280,7 +281,10 @@ def near_duplicates(
     )
     lists, weights = _lists(classes, percent, k, miss)
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    sets = materialize(shingle_sets(chosen.join(weights, "id", "left_semi"), "id", "text", words).dropDuplicates(["id"]), "bottomk-sets")
+    # Ids of members, as long as they are small by count and size, go to the texts; beyond that both are shuffled.
+    ids = materialize(weights.select("id"), "bottomk-ids")
+    members = F.broadcast(ids) if fits_broadcast(ids, ids.count()) else ids
+    sets = materialize(shingle_sets(chosen.join(members, "id", "left_semi"), "id", "text", words).dropDuplicates(["id"]), "bottomk-sets")
 
     edges, components = None, None
     for level in range(1, levels + 1):
