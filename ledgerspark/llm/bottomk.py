@@ -218,20 +218,20 @@ def _confirm(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int
 def _expand(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs ``a, b`` of different components in one list whose sizes and wider sketches allow a link.
 
-    All this is compared inside the join, so pairs that cannot be linked are never rows, and the others are once.
+    List members meet as plain numbers, and a pair that shares several lists is one row before any sketch is joined to it.
     """
-    wide = sets.select("id", "n", F.slice("shingles", 1, WIDE).alias("wide"))
-    # A pair that shares several lists is made in the one with the smallest key.
-    keys = materialize(lists.groupBy("id").agg(F.sort_array(F.collect_list("key")).alias("keys")).join(wide, "id"), "bottomk-wide")
-    held = lists.select("key", "id", "comp").join(keys, "id")
-    held = held.withColumn("least", _least_overlap(F.col("n"), percent, WIDE, _rare_overlap(WIDE, percent)))
-    a, b = (held.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "comp", "n", "wide", "least", "keys")]) for x in "ab")
+    held = materialize(lists.select("key", "id", "comp").join(sets.select("id", "n"), "id"), "bottomk-held")
+    a, b = (held.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "comp", "n")]) for x in "ab")
     sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    on = (a["key"] == b["key"]) & (F.col("id_a") < F.col("id_b")) & (F.col("comp_a") != F.col("comp_b")) & sizes
+    met = materialize(a.join(b, on).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), "bottomk-met")
+
+    least = _least_overlap(F.col("n"), percent, WIDE, _rare_overlap(WIDE, percent))
+    wide = sets.join(held.select("id").distinct(), "id", "left_semi").select("id", F.slice("shingles", 1, WIDE).alias("wide"), least.alias("least"))
+    wide = materialize(wide, "bottomk-wide")
+    side_a, side_b = (wide.select(*[F.col(c).alias(x if c == "id" else f"{c}_{x}") for c in wide.columns]) for x in "ab")
     alike = F.size(F.array_intersect("wide_a", "wide_b")) >= F.greatest("least_a", "least_b")
-    here = F.array_min(F.array_intersect("keys_a", "keys_b")) == a["key"]
-    on = (a["key"] == b["key"]) & (F.col("id_a") < F.col("id_b")) & (F.col("comp_a") != F.col("comp_b")) & sizes & here & alike
-    pairs = a.join(b, on).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
-    return materialize(pairs, "bottomk-rest")
+    return materialize(met.join(side_a, "a").join(side_b, "b").where(alike).select("a", "b"), "bottomk-rest")
 
 
 def _rare_overlap(k: int, percent: int) -> int:
