@@ -160,14 +160,19 @@ def _leader_pairs(lists: DataFrame, weights: DataFrame, label: str) -> DataFrame
     return materialize(pairs, f"{label}-pairs")
 
 
+def _of(sets: DataFrame, pairs: DataFrame, column: str) -> DataFrame:
+    """The sets of the ids in one column of ``pairs``: where these are few, most sets need no shuffle."""
+    return sets.join(pairs.select(F.col(column).alias("id")).distinct(), "id", "left_semi")
+
+
 def _compare(pairs: DataFrame, sets: DataFrame, percent: int, label: str) -> DataFrame:
     """``leader, member`` with set sizes, whether they are linked, and the shingles that one has and the other lacks.
 
     An unlinked pair can only be reached by another one through enough shared extra shingles: a member that shares
     little with the leader shows the first of its extra shingles only, one more than it can do without.
     """
-    one = sets.select(F.col("id").alias("leader"), F.col("n").alias("n_l"), F.col("shingles").alias("s_l"))
-    two = sets.select(F.col("id").alias("member"), F.col("n").alias("n_m"), F.col("shingles").alias("s_m"))
+    one = _of(sets, pairs, "leader").select(F.col("id").alias("leader"), F.col("n").alias("n_l"), F.col("shingles").alias("s_l"))
+    two = _of(sets, pairs, "member").select(F.col("id").alias("member"), F.col("n").alias("n_m"), F.col("shingles").alias("s_m"))
     rows = pairs.join(two, "member").join(one, "leader")
     both = F.size(F.array_intersect("s_l", "s_m")).cast("long")
     rows = rows.withColumn("both", both).withColumn("linked", _linked(F.col("both"), F.col("n_l"), F.col("n_m"), percent))
@@ -210,8 +215,8 @@ def _confirm(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int
     agree = F.size(F.array_intersect(F.array_intersect("k_a", "k_b"), union))
     likely = (agree * k >= F.size(union) * miss) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     rows = materialize(rows.where(likely).select("a", "b", "n_a", "n_b"), "bottomk-likely")
-    s_a = sets.select(F.col("id").alias("a"), F.col("shingles").alias("s_a"))
-    s_b = sets.select(F.col("id").alias("b"), F.col("shingles").alias("s_b"))
+    s_a = _of(sets, rows, "a").select(F.col("id").alias("a"), F.col("shingles").alias("s_a"))
+    s_b = _of(sets, rows, "b").select(F.col("id").alias("b"), F.col("shingles").alias("s_b"))
     both = F.size(F.array_intersect("s_a", "s_b")).cast("long")
     return rows.join(s_a, "a").join(s_b, "b").where(_linked(both, F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
 
