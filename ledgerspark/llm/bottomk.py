@@ -9,11 +9,14 @@ the ``K`` smallest of a set are its sketch.  Steps:
    these make lists.  A passage that very many documents share makes none in documents with enough text of their own.
 3. In each list all members are compared on their whole sets with one leader, the member whose retained values are
    the most frequent (in a family of edited copies, the text that was edited).  Lists are never expanded into pairs.
-4. Components of the links found.  Two members of one list that are still apart, at least one of them not linked to
-   the leader, can only be linked when they differ from the leader in a shared way (see ``_differences``): they
-   share a shingle that the leader lacks, which makes the lists of the next level, or one of them is shorter than the
-   leader by more than the other one misses, which makes pairs that share a missing shingle.
-5. When the lists left are short, and after ``LEVELS`` levels, they are expanded into pairs between different
+4. Components of the links found.  Members near their leader are then held against each other by the shingles that
+   tell them from it, which give their exact overlap.  A family is dealt into blocks, and a task compares all members
+   of two blocks as matrices and returns the links that join components, so no pair is a row (see ``_kin``).
+5. Jaccard distance is a metric, so what is left are pairs of two members far from their leader.  They can only be
+   linked when they differ from the leader in a shared way (see ``_differences``): they share a shingle that the leader
+   lacks, which makes the lists of the next level, or one of them is shorter than the leader by more than the other one
+   misses, which makes pairs that share a missing shingle.
+6. When the lists left are short, and after ``LEVELS`` levels, they are expanded into pairs between different
    components; sketches of ``WIDE`` values and the estimate from the union's sketch drop pairs below the threshold, and
    the whole sets decide.
 
@@ -46,6 +49,13 @@ K = 64
 #: Least overlap of two full sketches that is followed up.
 MISS = 28
 LEVELS = 3
+#: Jaccard distance from the leader beyond which two members meet in lists.
+FAR = 0.7
+#: Members of a family in a block.
+BLOCK = 256
+#: Shingles of so many members of two blocks are compared by matrices, rarer ones in place.
+COMMON = 16
+COLUMNS = 4_096
 #: Lists are expanded into pairs when that makes at most so many pairs per member, and after the last level.
 SHORT = 100
 #: Values of the sketches that are compared then.
@@ -166,9 +176,10 @@ def _of(sets: DataFrame, pairs: DataFrame, column: str) -> DataFrame:
 
 
 def _compare(pairs: DataFrame, sets: DataFrame, percent: int, label: str) -> DataFrame:
-    """``leader, member`` with set sizes, whether they are linked, and the shingles that one has and the other lacks.
+    """``leader, member`` with set sizes, whether they are linked, ``far`` and ``near`` (both, in a margin as wide as a link).
 
-    An unlinked pair can only be reached by another one through enough shared extra shingles: a member that shares
+    ``differs`` of near members are the shingles that one has and the other lacks, either way.  ``extra`` of far ones: an
+    unlinked pair can only be reached by another one through enough shared extra shingles, so a member that shares
     little with the leader shows the first of its extra shingles only, one more than it can do without.
     """
     one = _of(sets, pairs, "leader").select(F.col("id").alias("leader"), F.col("n").alias("n_l"), F.col("shingles").alias("s_l"))
@@ -177,13 +188,83 @@ def _compare(pairs: DataFrame, sets: DataFrame, percent: int, label: str) -> Dat
     both = F.size(F.array_intersect("s_l", "s_m")).cast("long")
     rows = rows.withColumn("both", both).withColumn("linked", _linked(F.col("both"), F.col("n_l"), F.col("n_m"), percent))
     needed = F.greatest(F.lit(1), F.ceil(F.col("n_m") * percent / 100).cast("int") - F.col("both").cast("int"))
+    apart = 1 - F.col("both") / (F.col("n_l") + F.col("n_m") - F.col("both"))
+    rows = rows.withColumn("far", apart > FAR).withColumn("near", apart <= FAR + 1 - percent / 100 + 1e-6)
     extra = F.array_sort(F.array_except("s_m", "s_l"))
-    rows = rows.withColumn("extra", F.slice(extra, F.lit(1), F.greatest(F.lit(0), F.size(extra) - needed + 1)))
-    return materialize(rows.select("leader", "member", "n_l", "n_m", "both", "linked", "extra"), f"{label}-compared")
+    extra = F.slice(extra, F.lit(1), F.greatest(F.lit(0), F.size(extra) - needed + 1))
+    differs = F.concat(F.array_except("s_m", "s_l"), F.array_except("s_l", "s_m"))
+    rows = rows.withColumn("extra", F.when(F.col("far"), extra)).withColumn("differs", F.when(F.col("near"), differs))
+    return materialize(rows.select("leader", "member", "n_l", "n_m", "both", "linked", "far", "near", "extra", "differs"), f"{label}-compared")
+
+
+def _shared(owners: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
+    """How many values each two of ``rows`` sets share, from the owner of each value."""
+    order = np.argsort(values, kind="stable")
+    owners = owners[order]
+    _, first, counts = np.unique(values[order], return_index=True, return_counts=True)
+    out = np.zeros((rows, rows), np.float32)
+    rare = np.repeat(counts < COMMON, counts)
+    which = np.repeat(np.arange(len(counts)), counts)
+    for step in range(1, min(COMMON, int(counts.max(initial=0)))):
+        at = np.flatnonzero(rare[step:] & (which[step:] == which[:-step]))
+        out += np.bincount(owners[at] * rows + owners[at + step], minlength=rows * rows).reshape(rows, rows)
+    out += out.T
+    common = np.flatnonzero(counts >= COMMON)
+    for start in range(0, len(common), COLUMNS):
+        some = common[start : start + COLUMNS]
+        held = np.zeros((rows, len(some)), np.float32)
+        for column, k in enumerate(some.tolist()):
+            held[owners[first[k] : first[k] + counts[k]], column] = 1
+        out += held @ held.T
+    return out.astype(np.int64)
+
+
+def _joining(hits: np.ndarray, comps: np.ndarray) -> list[tuple[int, int]]:
+    """Of the linked rows and columns those that join components which others before have not joined."""
+    root, out = np.unique(comps, return_inverse=True)[1], []
+    for i in np.flatnonzero(hits.any(axis=1)).tolist():
+        others = np.flatnonzero(hits[i])
+        roots, first = np.unique(root[others], return_index=True)
+        for r, j in zip(roots.tolist(), others[first].tolist()):
+            if r != root[i]:
+                out.append((i, j))
+                root[root == r] = root[i]
+    return out
+
+
+def _kin(compared: DataFrame, components: DataFrame, percent: int, label: str) -> DataFrame:
+    """Links ``a, b`` that join the near members of one leader, as far as they are in different components.
+
+    Let x and y share ``both_x`` and ``both_y`` of the leader's n shingles.  Then they share ``both_x + both_y - n`` and one
+    for each shingle that tells both of them from the leader.  Members linked to the leader are in one component.
+    """
+    near = _with_component(compared.where("near"), "member", components, "comp")
+    families = near.groupBy("leader").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size"))
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")
+    families = materialize(families.where("low < high").select("leader", blocks), f"{label}-families")
+
+    def compare(group: pa.Table) -> pa.Table:
+        member, comp, n, both, block = (group.column(c).to_numpy() for c in ("member", "comp", "n_m", "both", "block"))
+        lists = group.column("differs").combine_chunks()
+        owners = np.repeat(np.arange(len(member)), lists.value_lengths().to_numpy(zero_copy_only=False))
+        overlap = both[:, None] + both[None, :] - group.column("n_l")[0].as_py() + _shared(owners, lists.flatten().to_numpy(), len(member))
+        hits = 100 * overlap >= percent * (n[:, None] + n[None, :] - overlap)
+        hits &= comp[:, None] != comp[None, :]
+        if group.column("one")[0].as_py() != group.column("two")[0].as_py():
+            hits &= block[:, None] != block[None, :]
+        links = _joining(hits, comp)
+        ends = [pa.array(member[[link[side] for link in links]], pa.int64()) for side in (0, 1)] if links else [pa.array([], pa.int64())] * 2
+        return pa.table(ends, ["a", "b"])
+
+    dealt = near.join(families, "leader").withColumn("block", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
+    dealt = dealt.select("leader", "one", "two", "block", "member", "comp", "n_l", "n_m", "both", "differs")
+    return materialize(dealt.groupBy("leader", "one", "two").applyInArrow(compare, "a long, b long"), f"{label}-kin")
 
 
 def _differences(compared: DataFrame, sets: DataFrame, percent: int, label: str) -> DataFrame:
-    """Pairs of members that may be linked because both lack the same shingles of the leader.
+    """Pairs of far members that may be linked because both lack the same shingles of the leader.
 
     Let the leader have n shingles, x miss p of them and add u, and y be shorter than the leader by h.  Without shared
     extra shingles x and y can be linked only if ``t h >= t u + p - (1 - t) n`` for the threshold t, and if they miss
@@ -191,7 +272,7 @@ def _differences(compared: DataFrame, sets: DataFrame, percent: int, label: str)
     """
     t = percent / 100
     gap = t * (F.col("n_m") - F.col("both")) + (F.col("n_l") - F.col("both")) - (1 - t) * F.col("n_l")
-    rows = compared.select("leader", "member", "linked", (t * (F.col("n_l") - F.col("n_m"))).alias("short"), gap.alias("gap"))
+    rows = compared.where("far").select("leader", "member", "linked", (t * (F.col("n_l") - F.col("n_m"))).alias("short"), gap.alias("gap"))
     bounds = rows.groupBy("leader").agg(F.max("short").alias("most"), F.min(F.when(~F.col("linked"), F.col("gap"))).alias("least"))
     bounds = materialize(bounds.where("most >= least - 1e-6"), f"{label}-bounds")  # most often empty
     near = rows.join(bounds, "leader").where("(not linked and gap <= most + 1e-6) or short >= least - 1e-6")
@@ -281,7 +362,11 @@ def near_duplicates(
         found = materialize(found.union(missing), f"{label}-edges")
         edges = found if edges is None else edges.union(found)
         components = materialize(connected_components(edges), f"{label}-components")
-        children = compared.select(F.explode("extra").alias("shingle"), "leader", F.col("member").alias("id"))
+        kin = _kin(compared, components, percent, label)
+        if not kin.isEmpty():
+            edges = edges.union(kin)
+            components = materialize(connected_components(edges), f"{label}-components")
+        children = compared.where("far").select(F.explode("extra").alias("shingle"), "leader", F.col("member").alias("id"))
         children = children.select(F.xxhash64("leader", "shingle").alias("key"), "id").distinct()
         lists, short = _open_lists(children, components, f"bottomk-{level + 1}")
         if short:

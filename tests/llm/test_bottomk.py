@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from ledgerspark.llm import bottomk
 from ledgerspark.llm.components import connected_components
 
@@ -65,6 +67,47 @@ def test_families_match_all_pairs(spark):
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute(rows, words, percent)
 
 
+def test_families_in_small_blocks_match_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(bottomk, "BLOCK", 7)
+    rows = corpus(4)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = bottomk.near_duplicates(docs, 3, 85)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute(rows, 3, 85)
+
+
+def test_a_family_below_the_threshold_makes_no_rows_per_pair(spark, monkeypatch):
+    rng = random.Random(5)
+    base = ["w%d" % i for i in range(200)]
+    choices = [["%s%s" % (x, w) for x in "abc"] for w in base]
+
+    def variant():  # a tenth of the words replaced, each by one of three
+        return " ".join(rng.choice(choices[i]) if rng.random() < 0.1 else w for i, w in enumerate(base))
+
+    rows = [(0, " ".join(base))] + [(i, variant()) for i in range(1, 200)]
+    written, materialize = {}, bottomk.materialize
+
+    def counted(df, label):
+        out = materialize(df, label)
+        written[label] = max(written.get(label, 0), out.count())
+        return out
+
+    monkeypatch.setattr(bottomk, "materialize", counted)
+    got = bottomk.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute(rows, 3, 85)
+    assert max(written.get(x, 0) for x in ("bottomk-likely", "bottomk-met", "bottomk-rest")) < len(rows)
+
+
+def test_shared_values_of_rare_and_common_ones(monkeypatch):
+    monkeypatch.setattr(bottomk, "COLUMNS", 5)
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(-40, 40 + 60 * (i % 3), 30)) for i in range(50)] + [np.zeros(0, np.int64)]
+    owners = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    got = bottomk._shared(owners, np.concatenate(sets), len(sets))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            assert i == j or got[i, j] == len(np.intersect1d(x, y))
+
+
 def test_repeated_rows_null_ids_and_empty(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "a b c d e f"), (3, "long " * 100_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
