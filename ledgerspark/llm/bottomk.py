@@ -55,7 +55,7 @@ FAR = 0.7
 BLOCK = 256
 #: Shingles of so many members of two blocks are compared by matrices, rarer ones in place.
 COMMON = 16
-COLUMNS = 4_096
+COLUMNS = 1_024
 #: Lists are expanded into pairs when that makes at most so many pairs per member, and after the last level.
 SHORT = 100
 #: Values of the sketches that are compared then.

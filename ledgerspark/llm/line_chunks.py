@@ -16,6 +16,7 @@ buckets of their row number; suspects and spans then meet them there, and only s
 words and ``MIN_CHARS`` characters, from a line with words to another, that stands anywhere before.  It compares the
 shortest such run from each line on and up to each line; these cover the lines of every longer run, and each of them
 stands before when the longer run does.  Runs may overlap their own copies; the first place of any line stays.
+``dedup_passages`` does both at once: repeated chunks go, and the runs complete them at their edges.
 
 Null and empty texts have no chunks and stay as they are.  Repeated rows are repeats of each other like any others;
 rows with equal ids are told apart by an arbitrary but fixed row number.  Other columns are kept.
@@ -105,9 +106,11 @@ def chunks(docs: DataFrame, text_col: str = "text", window: int = WINDOW, diviso
     return F.transform(F.array(lines), of_lines)[0]
 
 
-def shortest_runs(docs: DataFrame, text_col: str = "text", min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> Column:
+def shortest_runs(
+    docs: DataFrame, text_col: str = "text", min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS, with_chunks: bool = False
+) -> Column:
     """The text's shortest runs that are long enough, from each line with words on and up to each,
-    ``array<struct<first int, last int, body string>>``."""
+    ``array<struct<first int, last int, body string>>``; and its chunks that are long enough, each piece once."""
     # Lines with words have a character and a line break at least, so no shortest run has more steps.
     steps = range(min_lines - 1, max(min_lines - 1, (min_chars + 1) // 2) + 1)
 
@@ -124,7 +127,20 @@ def shortest_runs(docs: DataFrame, text_col: str = "text", min_lines: int = MIN_
 
             onward = F.transform(w, lambda i, n: F.coalesce(*[code(n, n + k) for k in steps]))
             back = F.transform(w, lambda i, n: F.coalesce(*[code(n - k, n) for k in steps]))
-            return F.filter(F.array_distinct(F.concat(onward, back)), lambda c: c.isNotNull())
+            found = [onward, back, *([chunk_codes()] if with_chunks else [])]
+            return F.filter(F.array_distinct(F.concat(*found)), lambda c: c.isNotNull())
+
+        def chunk_codes() -> Column:
+            def of_ends(e: Column) -> Column:
+                def code(end: Column, k: Column) -> Column:
+                    first = F.when(k == 0, F.lit(0)).otherwise(F.get(e, k - 1) + 1)
+                    lines = F.size(F.filter(F.slice(x, first + 1, end - first + 1), lambda y: y.rlike(f"[^{SPACE_BYTES}]")))
+                    long_enough = (lines >= min_lines) & (F.char_length(body(first, end)) >= min_chars)
+                    return F.when(long_enough, F.shiftleft(first.cast("long"), 32) + end)
+
+                return F.transform(e, code)
+
+            return F.transform(F.array(chunk_ends(x, WINDOW, DIVISOR, MAX_LINES)), of_ends)[0]
 
         def piece(c: Column) -> Column:
             first, last = F.shiftright(c, 32).cast("int"), c.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
@@ -176,6 +192,15 @@ def dedup_runs(
     return _without_repeats(numbered, numbered.select(F.col(id_col).alias("__id"), "__row", runs), text_col)
 
 
+def dedup_passages(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS
+) -> DataFrame:
+    """Like ``dedup_lines``, with all lines of repeated runs taken out as well; both are found on the texts as they came."""
+    numbered = _numbered(docs)
+    pieces = F.explode(shortest_runs(numbered, text_col, min_lines, min_chars, with_chunks=True)).alias("__chunk")
+    return _without_repeats(numbered, numbered.select(F.col(id_col).alias("__id"), "__row", pieces), text_col)
+
+
 def _numbered(docs: DataFrame) -> DataFrame:
     names = [c for c in docs.columns if c not in ("removed_lines", "removed_chars")]
     return bucketed(docs.select(*[F.col(f"`{c}`") for c in names], F.monotonically_increasing_id().alias("__row")), "__row")

@@ -4,6 +4,9 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
+import corpus_pipeline
 from ledgerspark.llm import line_chunks as lc
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -123,3 +126,36 @@ def test_runs_match_every_run(spark):
     long = "\n".join("l%d" % i for i in range(20_000))
     got = lc.dedup_runs(spark.createDataFrame([(1, long), (2, long), (3, None)], "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.removed_lines) for r in got) == [(1, 0), (2, 20_000), (3, 0)]
+
+
+def test_passages_are_chunks_completed_by_runs(spark):
+    rng = random.Random(8)
+    lines = [f"line {i} of a text with some words in it" if i % 3 else "" for i in range(60)]
+    rows = []
+    for d in range(40):
+        at = rng.randrange(len(lines) - 12)
+        text = [rng.choice(["", f"own {d} {i} words of this text alone"]) for i in range(6)] + lines[at : at + rng.randint(2, 12)]
+        text.insert(rng.randrange(len(text)), " ")
+        rows.append((d, "\n".join(text + [f"end {d}"])))
+    for d in range(6):  # equal texts that begin with a blank line
+        rows += [(40 + 2 * d + twice, "\n" + "\n".join(f"head {d} line {i} with some words in it" for i in range(8))) for twice in (0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = {r.doc_id: r.text.split("\n") for r in docs.collect()}
+
+    def gone(large):
+        """Line numbers per document of the pieces that stand before."""
+        pieces = sorted((r.doc_id, r.p.first, r.p.last, r.p.body) for r in large.collect())
+        first, out = {}, {d: set() for d in texts}
+        for d, a, b, body in pieces:
+            if (at := first.setdefault(body, (d, a))) != (d, a):
+                assert at < (d, a)
+                out[d] |= set(range(a, b + 1))
+        return out
+
+    every = docs.select("doc_id", F.explode(lc.chunks(docs)).alias("p"))
+    chunks = gone(every.where((F.col("p.worded") >= 2) & (F.char_length("p.body") >= 40)))
+    runs = gone(docs.select("doc_id", F.explode(lc.shortest_runs(docs)).alias("p")))
+    assert any(chunks[d] - runs[d] for d in texts) and any(runs[d] - chunks[d] for d in texts)
+    got = {r.doc_id: r.text.split("\n") for r in corpus_pipeline.lines(spark, docs.selectExpr("*", "'en' lang", "'s' source", "0L n_chars"), "").collect()}
+    for d, x in texts.items():
+        assert got[d] == ([line for i, line in enumerate(x) if i not in chunks[d] | runs[d]] or [""])
