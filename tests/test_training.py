@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from ledgerspark import constants as K
 from ledgerspark.fixtures import txn
 from ledgerspark.operators import evaluation, models, textvec
 from ledgerspark.plans import scoring, training
+from ledgerspark.storage import recorded
 
 LEAFWISE = {"iterations": 5, "leaves": 8, "min_leaf": 2}
 
@@ -114,6 +117,29 @@ def test_svd_of_low_rank_and_of_nothing(spark):
     assert n_terms == 0 and empty.rank == 0 and textvec.project(vectors, empty).count() == 0
 
 
+def test_svd_works_on_distinct_texts_and_leaves_no_old_bases(spark):
+    texts = ["red apple pie", "green apple tart", "red cherry tart", None, "blue plum jam"]
+    rows = [(i, texts[i % 5]) for i in range(400)]
+    df = spark.createDataFrame(rows, "transaction_id long, description string")
+    vectors, n_terms = textvec.text_vectors(df, {"word": textvec.fit_vocabulary(df, "word")})
+    tiles = textvec.tiles_of(vectors)
+    assert sum(len(r.ids) for r in tiles.where(F.col("block") == textvec.IDS).collect()) == 4  # null has no terms
+    with recorded() as made:
+        basis = textvec.fit_svd(vectors, n_terms, 3)
+    assert [p for p in made if "svd-" in p and os.path.exists(p.removeprefix("file://").removeprefix("file:"))] == [
+        p for p in made if p.rsplit("/", 1)[-1] in basis.table.inputFiles()[0]
+    ]
+    dense = np.zeros((400, n_terms))
+    for r in vectors.collect():
+        dense[r.transaction_id, r.indices] = r.weights
+    values = np.linalg.svd(dense, compute_uv=False)[:3]
+    at = {r.transaction_id: r.text_svd for r in textvec.project(vectors, basis).collect()}
+    assert sorted(at) == [i for i, t in rows if t]
+    y = np.array([at[i] for i in sorted(at)])
+    assert y.T @ y == pytest.approx(np.diag(values**2), abs=1e-8)
+    assert textvec.gram_of(tiles, basis) == pytest.approx(np.diag(values**2), abs=1e-8)
+
+
 def test_class_weights_balance(rows):
     weights = models.class_weights(rows).collect()
     assert sum(r["weight"] * r["n_rows"] for r in weights) == pytest.approx(1000)
