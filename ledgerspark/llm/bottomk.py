@@ -16,9 +16,9 @@ the ``K`` smallest of a set are its sketch.  Steps:
    linked when they differ from the leader in a shared way (see ``_differences``): they share a shingle that the leader
    lacks, which makes the lists of the next level, or one of them is shorter than the leader by more than the other one
    misses, which makes pairs that share a missing shingle.
-6. When the lists left are short, and after ``LEVELS`` levels, they are expanded into pairs between different
-   components; sketches of ``WIDE`` values and the estimate from the union's sketch drop pairs below the threshold, and
-   the whole sets decide.
+6. When the lists left are short, and after ``LEVELS`` levels, their members are held against each other in the same
+   way, by their whole sets: all open lists of one leader at once where these have few members, else list by list (see
+   ``_expand``).
 
 Links are confirmed on whole sets only; no list, partner or candidate is capped.  What the sketch can lose is a pair
 whose sketches overlap far less than its sets: under ``MISS`` overlap out of ``K`` at the threshold, with a
@@ -32,7 +32,6 @@ columns of the input are ignored, whatever their names.
 from __future__ import annotations
 
 import hashlib
-import math
 from functools import lru_cache
 
 import numpy as np
@@ -56,10 +55,10 @@ BLOCK = 256
 #: Shingles of so many members of two blocks are compared by matrices, rarer ones in place.
 COMMON = 16
 COLUMNS = 1_024
-#: Lists are expanded into pairs when that makes at most so many pairs per member, and after the last level.
+#: Shingles of a block whose members are compared on whole sets.
+BLOCK_SHINGLES = 262_144
+#: Lists count as short when they hold at most so many pairs per member.
 SHORT = 100
-#: Values of the sketches that are compared then.
-WIDE = 256
 KEPT_WORDS = 500_000
 
 
@@ -149,7 +148,8 @@ def _with_component(rows: DataFrame, column: str, components: DataFrame, out: st
 
 def _open_lists(lists: DataFrame, components: DataFrame, label: str) -> tuple[DataFrame, bool]:
     """The lists whose members lie in two components or more, with each member's component ``comp``; and whether these
-    lists are short: all their pairs together are at most ``SHORT`` times their members."""
+    lists are short: all their pairs together are at most ``SHORT`` times their members.  ``family`` is the leader whose
+    far members a list holds."""
     tagged = materialize(_with_component(lists, "id", components, "comp"), f"{label}-tagged")
     mixed = tagged.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("n"))
     mixed = materialize(mixed.where("low < high").select("key", "n"), f"{label}-mixed")
@@ -232,16 +232,11 @@ def _joining(hits: np.ndarray, comps: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _kin(compared: DataFrame, components: DataFrame, percent: int, label: str) -> DataFrame:
-    """Links ``a, b`` that join the near members of one leader, as far as they are in different components.
+def _met_in_blocks(rows: DataFrame, percent: int, label: str) -> DataFrame:
+    """Links ``a, b`` that join components of the members of each ``leader``, dealt into its ``blocks``.
 
-    Let x and y share ``both_x`` and ``both_y`` of the leader's n shingles.  Then they share ``both_x + both_y - n`` and one
-    for each shingle that tells both of them from the leader.  Members linked to the leader are in one component.
+    Two members share ``both`` of either, less ``n_l``, and one for each of their values in ``differs`` that is the same.
     """
-    near = _with_component(compared.where("near"), "member", components, "comp")
-    families = near.groupBy("leader").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size"))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")
-    families = materialize(families.where("low < high").select("leader", blocks), f"{label}-families")
 
     def compare(group: pa.Table) -> pa.Table:
         member, comp, n, both, block = (group.column(c).to_numpy() for c in ("member", "comp", "n_m", "both", "block"))
@@ -256,11 +251,25 @@ def _kin(compared: DataFrame, components: DataFrame, percent: int, label: str) -
         ends = [pa.array(member[[link[side] for link in links]], pa.int64()) for side in (0, 1)] if links else [pa.array([], pa.int64())] * 2
         return pa.table(ends, ["a", "b"])
 
-    dealt = near.join(families, "leader").withColumn("block", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
     dealt = dealt.select("leader", "one", "two", "block", "member", "comp", "n_l", "n_m", "both", "differs")
-    return materialize(dealt.groupBy("leader", "one", "two").applyInArrow(compare, "a long, b long"), f"{label}-kin")
+    return materialize(dealt.groupBy("leader", "one", "two").applyInArrow(compare, "a long, b long"), label)
+
+
+def _kin(compared: DataFrame, components: DataFrame, percent: int, label: str) -> DataFrame:
+    """Links ``a, b`` that join the near members of one leader, as far as they are in different components.
+
+    Let x and y share ``both_x`` and ``both_y`` of the leader's n shingles.  Then they share ``both_x + both_y - n`` and one
+    for each shingle that tells both of them from the leader.  Members linked to the leader are in one component.
+    """
+    near = _with_component(compared.where("near"), "member", components, "comp")
+    families = near.groupBy("leader").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size"))
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")
+    families = materialize(families.where("low < high").select("leader", blocks), f"{label}-families")
+
+    return _met_in_blocks(near.join(families, "leader"), percent, f"{label}-kin")
 
 
 def _differences(compared: DataFrame, sets: DataFrame, percent: int, label: str) -> DataFrame:
@@ -303,28 +312,27 @@ def _confirm(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int
 
 
 def _expand(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs ``a, b`` of different components in one list whose sizes and wider sketches allow a link.
+    """Links ``a, b`` that join components of members of one list, from whole sets.
 
-    List members meet as plain numbers, and a pair that shares several lists is one row before any sketch is joined to it.
+    Lists of one family share most of their members, so the open lists of a family with no more members than a block are
+    one group; those of a larger family are groups of their own, lists of the same members one.  Pairs are met inside
+    tasks and never rows.
     """
-    held = materialize(lists.select("key", "id", "comp").join(sets.select("id", "n"), "id"), "bottomk-held")
-    a, b = (held.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "comp", "n")]) for x in "ab")
-    sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    on = (a["key"] == b["key"]) & (F.col("id_a") < F.col("id_b")) & (F.col("comp_a") != F.col("comp_b")) & sizes
-    met = materialize(a.join(b, on).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), "bottomk-met")
-
-    least = _least_overlap(F.col("n"), percent, WIDE, _rare_overlap(WIDE, percent))
-    wide = sets.join(held.select("id").distinct(), "id", "left_semi").select("id", F.slice("shingles", 1, WIDE).alias("wide"), least.alias("least"))
-    wide = materialize(wide, "bottomk-wide")
-    side_a, side_b = (wide.select(*[F.col(c).alias(x if c == "id" else f"{c}_{x}") for c in wide.columns]) for x in "ab")
-    alike = F.size(F.array_intersect("wide_a", "wide_b")) >= F.greatest("least_a", "least_b")
-    return materialize(met.join(side_a, "a").join(side_b, "b").where(alike).select("a", "b"), "bottomk-rest")
-
-
-def _rare_overlap(k: int, percent: int) -> int:
-    """An overlap of two sketches of ``k`` values that a pair at the threshold falls below once in 10^8 times."""
-    share = percent / 100
-    return math.floor(k * share - 5.7 * math.sqrt(k * share * (1 - share)))
+    lists = lists.withColumn("leader", F.xxhash64(F.lit("family"), "family"))
+    members = materialize(lists.select("leader", "id", "comp").distinct(), "bottomk-held")
+    sizes = members.groupBy("leader").agg(F.count(F.lit(1)).alias("size"))
+    large = materialize(sizes.where(F.col("size") > BLOCK).select("leader"), "bottomk-large")
+    whole = members.join(large, "leader", "left_anti")
+    apart = materialize(lists.join(large, "leader", "left_semi").select("leader", "key", "id", "comp"), "bottomk-apart")
+    digest = [F.bit_xor(F.xxhash64("id", F.lit(seed))).alias(f"d{seed}") for seed in (1, 2)]
+    alike = apart.groupBy("leader", "key").agg(*digest, F.count(F.lit(1)).alias("n")).groupBy("leader", "d1", "d2", "n")
+    apart = apart.join(alike.agg(F.min("key").alias("key")).select("key"), "key").select(F.col("key").alias("leader"), "id", "comp")
+    held = whole.unionByName(apart).join(_of(sets, members.withColumnRenamed("id", "member"), "member"), "id")
+    held = materialize(held.select("leader", F.col("id").alias("member"), "comp", F.col("n").alias("n_m"), F.col("shingles").alias("differs")), "bottomk-open")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n_m") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+    none = F.lit(0).cast("long")
+    rows = held.join(held.groupBy("leader").agg(blocks), "leader").select("*", none.alias("n_l"), none.alias("both"))
+    return _met_in_blocks(rows, percent, "bottomk-rest")
 
 
 def near_duplicates(
@@ -367,11 +375,11 @@ def near_duplicates(
             edges = edges.union(kin)
             components = materialize(connected_components(edges), f"{label}-components")
         children = compared.where("far").select(F.explode("extra").alias("shingle"), "leader", F.col("member").alias("id"))
-        children = children.select(F.xxhash64("leader", "shingle").alias("key"), "id").distinct()
+        children = children.select(F.xxhash64("leader", "shingle").alias("key"), "id", F.col("leader").alias("family")).distinct()
         lists, short = _open_lists(children, components, f"bottomk-{level + 1}")
         if short:
             break
-    last = materialize(_confirm(_expand(lists, sets, percent), classes, sets, percent, k, miss), "bottomk-last")
+    last = _expand(lists, sets, percent)
     if not last.isEmpty():
         components = materialize(connected_components(edges.union(last)), "bottomk-components")
 

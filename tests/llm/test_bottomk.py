@@ -97,6 +97,30 @@ def test_a_family_below_the_threshold_makes_no_rows_per_pair(spark, monkeypatch)
     assert max(written.get(x, 0) for x in ("bottomk-likely", "bottomk-met", "bottomk-rest")) < len(rows)
 
 
+def test_members_of_open_lists_make_no_rows_per_pair(spark, monkeypatch):
+    rng = random.Random(7)
+    drawn = lambda n: ["w%d" % rng.randrange(5000) for _ in range(n)]
+    shared, passages = drawn(60), [drawn(40), drawn(40)]
+    # Texts of one passage are far from a leader with the other one, and share many of its lists.
+    rows = [(i, " ".join(shared + passages[i % 2] + drawn(40))) for i in range(80)]
+    rows += [(100 + i, rows[i][1] + " more") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    written, materialize = {}, bottomk.materialize
+
+    def counted(df, label):
+        out = materialize(df, label)
+        written[label] = max(written.get(label, 0), out.count())
+        return out
+
+    monkeypatch.setattr(bottomk, "materialize", counted)
+    for block in (bottomk.BLOCK, 7):
+        monkeypatch.setattr(bottomk, "BLOCK", block)
+        got = bottomk.near_duplicates(docs, 3, 85)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute(rows, 3, 85)
+        assert written["bottomk-held"] > 30
+        assert max(written.get(x, 0) for x in ("bottomk-met", "bottomk-rest")) < len(rows)
+
+
 def test_shared_values_of_rare_and_common_ones(monkeypatch):
     monkeypatch.setattr(bottomk, "COLUMNS", 5)
     rng = np.random.default_rng(6)
