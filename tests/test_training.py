@@ -65,6 +65,37 @@ def test_tfidf_against_brute_force(spark):
     assert [r["index"] for r in vocabulary.orderBy("term").collect()] == list(range(20))
 
 
+@pytest.mark.parametrize("kind", ["char", "word"])
+def test_terms_of_a_text_are_counted_without_a_shuffle(spark, kind, monkeypatch):
+    monkeypatch.setattr(textvec, "TASK_CHARS", 20)
+    texts = ["red apple pie", "green apple tart", "red apple pie", None, "red red tart"]
+    df = spark.createDataFrame([(i, texts[i % 5]) for i in range(20)], "transaction_id long, description string")
+    _, found = textvec.distinct_texts(df, "transaction_id", "description")
+    per_text = textvec.term_uses(textvec.dealt(found), kind).groupBy("number", "n_rows", "term").agg(F.sum("n"))
+    assert per_text._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1  # of whole texts
+    vocabulary = textvec.fit_vocabulary(df, kind)
+    long = textvec.tfidf_long(df, vocabulary, kind)
+    norms = long.groupBy("transaction_id").agg(F.sum(F.col("weight") * F.col("weight")).alias("x")).collect()
+    assert {r["transaction_id"]: round(r["x"], 9) for r in norms} == {i: 1.0 for i in range(20) if texts[i % 5]}
+
+
+def test_weights_of_rare_texts_are_not_written(spark, monkeypatch):
+    monkeypatch.setattr(textvec, "HOT_KEYS", 10)
+    rows = [(i, f"text number {i + 10}") for i in range(50)] + [(50 + i, "one popular text") for i in range(50)]
+    df = spark.createDataFrame(rows, "transaction_id long, description string")
+    vocabulary, written, materialize = textvec.fit_vocabulary(df, "word"), {}, textvec.materialize
+
+    def counted(table, label):
+        out = materialize(table, label)
+        written[label] = out.count()
+        return out
+
+    monkeypatch.setattr(textvec, "materialize", counted)
+    per_row = textvec.tfidf_long(df, vocabulary, "word").groupBy("transaction_id").count().collect()
+    assert {r["transaction_id"]: r["count"] for r in per_row} == {i: 5 for i in range(100)}
+    assert written["weights"] == 1
+
+
 def test_word_grams(spark):
     df = spark.createDataFrame([(["a", "b", "c"],), (["a"],), ([],)], "w array<string>")
     assert [r[0] for r in df.select(textvec.word_grams(F.col("w"))).collect()] == [["a", "b", "c", "a b", "b c"], ["a"], []]
