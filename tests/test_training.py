@@ -310,3 +310,25 @@ def _small_train(train):
         return train(df, kind, LEAFWISE, max_terms=50, **options)
 
     return run
+
+
+def test_text_columns_are_made_once_per_text(spark):
+    texts = ["red apple pie", "green apple tart", "red cherry tart", None, "blue plum jam"]
+    ids = [*range(400), 7, None]  # one id twice, with a text and without, and one missing
+    df = spark.createDataFrame([(i, texts[at % 4]) for at, i in enumerate(ids)], "transaction_id long, description string")
+    vocabularies = {k: textvec.fit_vocabulary(df, k) for k in ("char", "word")}
+    units, vectors, n_terms = textvec.unit_vectors(df, vocabularies)
+    assert units.count() == 401 and len(texts) - 2 == 3
+    found = {tuple(r.unit): r for r in vectors.collect()}
+    assert sorted(r.n for r in found.values()) == [1, 100, 100, 101] and max(map(len, found)) == 2  # 7 has both its texts
+    both = next(r for key, r in found.items() if len(key) == 2)
+    assert (both.indices, both.weights) in [(r.indices, r.weights) for key, r in found.items() if len(key) == 1]
+    basis = textvec.fit_svd(vectors, n_terms, 2)
+    with recorded() as made:
+        rows = training.with_text_columns(df, vocabularies, basis)
+    written = [p for p in made if p.rsplit("/", 1)[-1].startswith("vectors-")]
+    assert [spark.read.parquet(p).count() for p in written] == [4]
+    got = [(r.transaction_id, r.description, r.text_0, r.text_1) for r in rows.collect()]
+    assert len(got) == len(ids)
+    assert len({(round(x, 9), round(y, 9)) for i, t, x, y in got if t == "red apple pie" and i != 7 and i is not None}) == 1
+    assert all(x == y == 0 for i, t, x, y in got if i is None or (t is None and i != 7))
