@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerspark.llm import (
-    bottomk, bpe_trie, gear, html_blocks, line_chunks, mcd, mixing, multi_index, ppm, spelling, term_scan, tiles, warc,
+    bottomk, bpe_trie, gear, html_blocks, line_chunks, mcd, mixing, multi_index, ppm_text, spelling, term_scan, tiles, warc,
 )
 from ledgerspark.llm.base import arrow_rows, materialize, table
 from ledgerspark.storage import scratch_path
@@ -92,7 +92,7 @@ def fifth_held_out(id_col: str = "doc_id"):
 @query("op5_ppm")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     arrow_rows(spark, 2000)
-    return ppm.score(table(spark, sf_dir, "documents"), fifth_held_out())
+    return ppm_text.score(table(spark, sf_dir, "documents"), fifth_held_out())
 
 
 @query("op6_bottom_k")
