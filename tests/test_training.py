@@ -332,3 +332,30 @@ def test_text_columns_are_made_once_per_text(spark):
     assert len(got) == len(ids)
     assert len({(round(x, 9), round(y, 9)) for i, t, x, y in got if t == "red apple pie" and i != 7 and i is not None}) == 1
     assert all(x == y == 0 for i, t, x, y in got if i is None or (t is None and i != 7))
+
+
+@pytest.mark.parametrize("part_bytes", [300, 1 << 20])
+def test_parts_of_a_key_are_added_up_as_they_arrive(spark, monkeypatch, part_bytes):
+    """Many parts of one key, in batches of two rows: whole sums, and no step that collects the parts of a key."""
+    monkeypatch.setattr(textvec, "PART_BYTES", part_bytes)
+    rng, want, rows = np.random.default_rng(3), {}, []
+    for i in range(200):
+        key = 7 if i % 4 else i % 5
+        at = np.sort(rng.choice(9, 4, replace=False)).astype("<i4")
+        values = rng.integers(-9, 9, (4, 2)).astype("<f8")
+        np.add.at(want.setdefault(key, np.zeros((9, 2))), at, values)
+        rows.append((key, bytearray(at.tobytes()), bytearray(values.tobytes())))
+    parts = spark.createDataFrame(rows, textvec.PART).repartition(6)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        summed = textvec._summed(parts, 2)
+        assert "FlatMapGroups" not in summed._jdf.queryExecution().executedPlan().toString()
+        found = summed.collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted(r["key"] for r in found) == sorted(want)
+    for r in found:
+        got = np.zeros((9, 2))
+        got[np.frombuffer(r["rows"], "<i4")] = np.frombuffer(r["values"]).reshape(-1, 2)
+        assert (got == want[r["key"]]).all()
