@@ -359,3 +359,19 @@ def test_parts_of_a_key_are_added_up_as_they_arrive(spark, monkeypatch, part_byt
         got = np.zeros((9, 2))
         got[np.frombuffer(r["rows"], "<i4")] = np.frombuffer(r["values"]).reshape(-1, 2)
         assert (got == want[r["key"]]).all()
+
+
+@pytest.mark.parametrize("kind", ["char", "word"])
+def test_weights_by_term_need_no_join_back(spark, no_broadcast, kind):
+    import os
+
+    texts = ["red apple pie", "green apple tart", "red apple pie", None, "red red tart"]
+    df = spark.createDataFrame([(i, texts[i % 5]) for i in range(20)], "transaction_id long, description string")
+    with recorded() as made:
+        vocabulary = textvec.fit_vocabulary(df, kind)
+    gone = [p for p in made if p.rsplit("/", 1)[-1].rsplit("-", 1)[0] in ("texts", "terms")]
+    assert len(gone) == 2 and not any(os.path.exists(p.removeprefix("file:")) for p in gone)
+    by_term = textvec.tfidf_long(df, vocabulary, kind, label="term")
+    by_index = textvec.tfidf_long(df, vocabulary, kind).join(vocabulary, "index")
+    got, want = ({(r.transaction_id, r.term): r.weight for r in t.collect()} for t in (by_term, by_index))
+    assert got == pytest.approx(want) and len(got) == by_term.count() > 50
